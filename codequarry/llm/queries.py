@@ -1,9 +1,15 @@
 """The registered queries of this subpackage, and their SQL where there is one."""
 
 from codequarry.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from codequarry.llm.mixing import op9_mixing
+from codequarry.llm.packing import op7_packing
+from codequarry.llm.token_files import op10_token_files
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_packing": op7_packing,
+    "op9_mixing": op9_mixing,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES = {
