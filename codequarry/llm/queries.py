@@ -4,8 +4,10 @@ from codequarry.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from codequarry.llm.mixing import op9_mixing
 from codequarry.llm.packing import op7_packing
 from codequarry.llm.token_files import op10_token_files
+from codequarry.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_packing": op7_packing,
     "op9_mixing": op9_mixing,
