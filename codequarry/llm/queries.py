@@ -5,9 +5,11 @@ from codequarry.llm.mixing import op9_mixing
 from codequarry.llm.packing import op7_packing
 from codequarry.llm.token_files import op10_token_files
 from codequarry.llm.toxicity import op1_toxicity
+from codequarry.llm.url_filter import op4_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_packing": op7_packing,
     "op9_mixing": op9_mixing,
