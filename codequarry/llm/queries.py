@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and their SQL where there is one."""
 
 from codequarry.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from codequarry.llm.html_text import op2_html_text
 from codequarry.llm.mixing import op9_mixing
 from codequarry.llm.packing import op7_packing
 from codequarry.llm.token_files import op10_token_files
@@ -9,6 +10,7 @@ from codequarry.llm.url_filter import op4_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_html_text": op2_html_text,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_packing": op7_packing,
