@@ -2,6 +2,7 @@
 
 from codequarry.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from codequarry.llm.html_text import op2_html_text
+from codequarry.llm.licence_scan import op6_licence_scan
 from codequarry.llm.mixing import op9_mixing
 from codequarry.llm.packing import op7_packing
 from codequarry.llm.token_files import op10_token_files
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_licence_scan": op6_licence_scan,
     "op7_packing": op7_packing,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
