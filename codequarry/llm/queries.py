@@ -6,12 +6,14 @@ from codequarry.llm.licence_scan import op6_licence_scan
 from codequarry.llm.mixing import op9_mixing
 from codequarry.llm.packing import op7_packing
 from codequarry.llm.token_files import op10_token_files
+from codequarry.llm.topk_search import OP3_SQL, op3_topk_search
 from codequarry.llm.toxicity import op1_toxicity
 from codequarry.llm.url_filter import op4_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_text": op2_html_text,
+    "op3_topk_search": op3_topk_search,
     "op4_url_filter": op4_url_filter,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_licence_scan": op6_licence_scan,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_topk_search": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
