@@ -4,6 +4,7 @@ from codequarry.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from codequarry.llm.html_text import op2_html_text
 from codequarry.llm.licence_scan import op6_licence_scan
 from codequarry.llm.mixing import op9_mixing
+from codequarry.llm.ngram_join import op8_ngram_join
 from codequarry.llm.packing import op7_packing
 from codequarry.llm.token_files import op10_token_files
 from codequarry.llm.topk_search import OP3_SQL, op3_topk_search
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_licence_scan": op6_licence_scan,
     "op7_packing": op7_packing,
+    "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
 }
