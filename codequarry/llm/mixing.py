@@ -14,10 +14,12 @@ are few. Seats are found by bisecting the divisor, not by handing out one at a t
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,15 +97,15 @@ def _quotas(shards: pd.DataFrame, seed: int) -> pd.DataFrame:
 QUOTAS = "source string, shard int, source_size long, target double, blocks long, quota long, step long, shift long"
 
 
-def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs.
+def words_in(text: Column) -> Column:
+    """Words between ASCII white space; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
-    size: words between ASCII white space, 0 for null and empty texts, which are never
-    taken. Repeated rows share one seeded place each, in the order of id and size.
-    """
+
+def placed(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, the place of its words in its shard (first), and the shard's quota."""
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
     rows = stash(rows, "sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
     cell = max(SHARD_WORDS, total // MOST_SHARDS)
@@ -113,21 +115,68 @@ def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str
     place = F.xxhash64("doc_id", F.lit(seed))
     rows = rows.select("doc_id", "source", "size", place.alias("place"), F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), "_shards").cast("int").alias("shard"))
     quotas = _quotas(rows.groupBy("source", "shard").agg(F.sum("size").alias("words")).toPandas(), seed)
-    plan = spark.createDataFrame(quotas.astype(object).where(quotas.notna(), None).values.tolist(), QUOTAS) if len(quotas) else spark.createDataFrame([], QUOTAS)
+    plan = spark.createDataFrame(quotas.astype(object).where(quotas.notna(), None).values.tolist(), QUOTAS)
     before = W.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
+    rows = rows.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
     plan = plan.withColumnsRenamed({"source": "_source", "shard": "_shard"})
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard", "place", "shard")
+
+
+def mix(docs: DataFrame, seed: int = SEED, **columns: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs.
+
+    size: words between ASCII white space, 0 for null and empty texts, which are never
+    taken. Rows of one id lie side by side in the seeded order, by size. Columns besides
+    id, text and source aren't read. An empty table gives no rows.
+    """
     end = F.col("first") + F.col("size")
 
-    def words(b):
+    def words(b: Column) -> Column:
         held = F.least(end, (b + 1) * BLOCK) - F.greatest(F.col("first"), b * BLOCK)
         again = F.pmod(b * F.col("step") + F.col("shift"), F.col("blocks")) < F.pmod(F.col("quota"), F.col("blocks"))
         return held * (F.floor(F.col("quota") / F.col("blocks")) + again.cast("long"))
 
     spans = F.sequence(F.floor(F.col("first") / BLOCK), F.floor((end - 1) / BLOCK))
     taken = F.when(F.col("size") > 0, F.aggregate(spans, F.lit(0).cast("long"), lambda a, b: a + words(b))).otherwise(F.lit(0).cast("long"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return placed(docs, seed, **columns).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def excerpt(text: str, first: int, size: int, blocks: int, quota: int, step: int, shift: int) -> list[str]:
+    """What the mix takes of a text: whole copies, and the words of the blocks taken once more."""
+    if not size or not blocks:
+        return []
+    out = [text] * (quota // blocks)
+    rest = quota % blocks
+    chosen = [b for b in range(first // BLOCK, (first + size - 1) // BLOCK + 1) if (b * step + shift) % blocks < rest]
+    if len(chosen) == (first + size - 1) // BLOCK - first // BLOCK + 1:
+        return [*out, text]
+    if chosen:
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        cuts = [(max(first, b * BLOCK) - first, min(first + size, (b + 1) * BLOCK) - first) for b in chosen]
+        out.append("\n".join(text[spans[a][0] : spans[z - 1][1]] for a, z in cuts))
+    return out
+
+
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself: docs (doc_id, text, source, n_chars and more) as often as they are
+    taken, whole or in excerpts; same columns, n_chars counted anew."""
+    names = docs.columns
+    plan = placed(docs, seed).dropDuplicates(["doc_id", "size"]).select(F.struct("first", "size", "blocks", "quota", "step", "shift").alias("_plan"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (words_in(F.col("text")) == F.col("_size")))
+    at, chars = names.index("text"), names.index("n_chars")
+
+    def takes(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            got = [excerpt(t or "", **p) for t, p in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
+            rows = b.select(list(range(len(names)))).take(pa.array([i for i, g in enumerate(got) for _ in g], pa.int64()))
+            texts = [t for g in got for t in g]
+            columns = list(rows.columns)
+            columns[at], columns[chars] = pa.array(texts, pa.string()), pa.array([len(t) for t in texts], rows.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.select(*[docs[c] for c in names], "_plan").mapInArrow(takes, docs.schema)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,10 +224,11 @@ def score(docs: DataFrame, grammar: Grammar, keep: list[str], text_col: str = "t
 
         scan = Scanner(grammar)
         for b in batches:
-            got = [scan.score(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], out])
+            got = [scan.score(t or "") for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(got, pa.float64())], names=[*keep, out])
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    rows = docs.select(*keep, *([] if at < len(keep) else [F.col(text_col).alias("_text")]))
     return rows.mapInArrow(scores, docs.select(*keep).schema.add(out, "double"))
 
 
