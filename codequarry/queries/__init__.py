@@ -1,6 +1,6 @@
 """Registered queries: each module holds QUERIES (name -> function) and ORACLES (name -> SQL)."""
 
-MODULES = ("texts",)
+MODULES = ("texts", "tables")
 
 
 def load() -> tuple[dict, dict]:
