@@ -52,4 +52,4 @@ def embed(rows: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[l
         for pdf in batches:
             yield pdf.assign(embedding=encoder(pdf[text_col].tolist()))
 
-    return rows.mapInPandas(encode, rows.schema.add("embedding", T.ArrayType(T.DoubleType())))
+    return rows.mapInPandas(encode, T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))

@@ -275,10 +275,10 @@ def e3(spark, sf):
     return V.new_only(X.x_edges_full(spark, sf), X.x_edges_half(spark, sf), ["src", "dst"])
 
 
-@query("e4_shared", sql("x_pag", body="SELECT dst FROM x_pag WHERE kind = 'load' INTERSECT SELECT dst FROM x_pag WHERE kind = 'copy'"))
+@query("e4_shared", sql("x_pag", body="SELECT dst FROM x_pag WHERE kind = 'address' INTERSECT SELECT dst FROM x_pag WHERE kind = 'copy'"))
 def e4(spark, sf):
     p = X.x_pag(spark, sf)
-    return V.shared(p.where("kind = 'load'").select("dst"), p.where("kind = 'copy'").select("dst"))
+    return V.shared(p.where("kind = 'address'").select("dst"), p.where("kind = 'copy'").select("dst"))
 
 
 @query("u2_embed")
