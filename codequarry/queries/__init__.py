@@ -1,6 +1,6 @@
 """Registered queries: each module holds QUERIES (name -> function) and ORACLES (name -> SQL)."""
 
-MODULES = ("texts", "tables")
+MODULES = ("texts", "tables", "linking")
 
 
 def load() -> tuple[dict, dict]:
