@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codequarry.plans.fixpoint import stored
+from codequarry.plans.fixpoint import fixpoint, stored
 
 
 def connected_components(edges: DataFrame, max_iter: int = 100) -> DataFrame:
@@ -30,3 +31,225 @@ def connected_components(edges: DataFrame, max_iter: int = 100) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(top).distinct()
         before = state
     raise RuntimeError(f"components did not settle in {max_iter} rounds")
+
+
+def build_edges(edges: DataFrame) -> DataFrame:
+    return edges.dropDuplicates(["src", "dst", "kind"])
+
+
+def build_nodes(nodes: DataFrame, order: str) -> DataFrame:
+    """id, attr: the last attribute of each node wins."""
+    return nodes.groupBy("id").agg(F.max_by("attr", order).alias("attr"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """id, n_in, n_out."""
+    ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select("dst", F.lit(1), F.lit(0)))
+    return ends.groupBy("id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+
+
+def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes without an incoming edge; blank ones don't count."""
+    return nodes.where("name <> ''").join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+
+
+def reachable(edges: DataFrame, start: DataFrame, key: tuple = ()) -> DataFrame:
+    """key, root, node: all nodes that start (key, root, node) reaches, itself included.
+
+    edges (key, src, dst); key columns keep many graphs apart.
+    """
+    e = edges.select(*key, F.col("src").alias("node"), F.col("dst").alias("_to"))
+    names = [*key, "root", "node"]
+    return fixpoint(start.select(names), lambda d, _: d.join(e, [*key, "node"]).select(*key, "root", F.col("_to").alias("node")), names)
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """root, node: pairs joined by a path of one edge or more. Output is all pairs."""
+    return reachable(edges, edges.select(F.col("src").alias("root"), F.col("dst").alias("node")))
+
+
+def _least_before(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, label: the smallest node that reaches each node (itself included)."""
+    e = edges.select(F.col("src").alias("id"), F.col("dst").alias("_to"))
+    labels = stored(nodes.select("id", F.col("id").alias("label")))
+    for _ in range(1000):
+        came = labels.join(e, "id").groupBy(F.col("_to").alias("id")).agg(F.min("label").alias("_came"))
+        both = stored(labels.join(came, "id", "left").select("id", F.least("label", F.coalesce("_came", "label")).alias("label"), (F.col("_came") < F.col("label")).alias("_new")))
+        labels = both.drop("_new")
+        if both.where("_new").isEmpty():
+            return labels
+    raise RuntimeError("labels did not settle")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 1000) -> DataFrame:
+    """id, scc (its smallest node), in_cycle.
+
+    Nodes without a live predecessor or successor are trimmed, each its own component.
+    Of the rest each takes the smallest node that reaches it as colour; a colour's root and
+    what reaches it backwards in that colour are one component, and leave the graph.
+    """
+    loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
+    all_edges = stored(edges.where("src <> dst").select("src", "dst").distinct())
+    live, live_edges, done = stored(nodes.select("id").distinct()), all_edges, None
+    for _ in range(max_iter):
+        while True:
+            kept = live.join(live_edges.select(F.col("dst").alias("id")), "id", "left_semi").join(live_edges.select(F.col("src").alias("id")), "id", "left_semi")
+            kept = stored(kept)
+            if kept.count() == live.count():
+                break
+            gone = live.join(kept, "id", "left_anti").select("id", F.col("id").alias("scc"))
+            done = gone if done is None else done.union(gone)
+            live = kept
+            live_edges = stored(live_edges.join(live.select(F.col("id").alias("src")), "src", "left_semi").join(live.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        if live.isEmpty():
+            break
+        colour = _least_before(live_edges, live)
+        same = live_edges.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+        back = stored(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        start = colour.where("id = label").select(F.col("id").alias("root"), F.col("id").alias("node"))
+        found = stored(reachable(back, start).select(F.col("node").alias("id"), F.col("root").alias("scc")))
+        done = found if done is None else done.union(found)
+        live = stored(live.join(found, "id", "left_anti"))
+        live_edges = stored(live_edges.join(live.select(F.col("id").alias("src")), "src", "left_semi").join(live.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    done = stored(done if done is not None else nodes.select("id", F.col("id").alias("scc")))
+    sizes = done.groupBy("scc").count()
+    return done.join(sizes, "scc").join(loops.withColumn("_l", F.lit(True)), "id", "left").select("id", "scc", (F.coalesce("_l", F.lit(False)) | (F.col("count") > 1)).alias("in_cycle"))
+
+
+def condense_topo(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """scc, level: components by the longest path to them from a source component."""
+    c = components.select("id", "scc")
+    e = edges.join(c.select(F.col("id").alias("src"), F.col("scc").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("scc").alias("b")), "dst")
+    e = stored(e.where("a <> b").select("a", "b").distinct())
+    seed = c.select("scc", F.lit(0).alias("level")).distinct()
+    walk = fixpoint(seed, lambda d, _: d.join(e, F.col("scc") == F.col("a")).select(F.col("b").alias("scc"), (F.col("level") + 1).alias("level")), ["scc", "level"])
+    return walk.groupBy("scc").agg(F.max("level").alias("level"))
+
+
+def unreachable_blocks(blocks: DataFrame, cfg: DataFrame, start: int = 1) -> DataFrame:
+    """Blocks (method, block) that the start block doesn't reach."""
+    seed = blocks.where(F.col("block") == start).select("method", F.col("block").alias("root"), F.col("block").alias("node"))
+    seen = reachable(cfg, seed, ("method",)).select("method", F.col("node").alias("block"))
+    return blocks.join(seen, ["method", "block"], "left_anti")
+
+
+def _reached(blocks: DataFrame, cfg: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
+    seed = blocks.where(F.col("block") == start).select("method", F.col("block").alias("root"), F.col("block").alias("node"))
+    seen = stored(reachable(cfg, seed, ("method",)).select("method", F.col("node").alias("block")))
+    live = cfg.join(seen.select("method", F.col("block").alias("src")), ["method", "src"], "left_semi")
+    return seen, stored(live.select("method", "src", "dst").distinct())
+
+
+def dominators(blocks: DataFrame, cfg: DataFrame, start: int = 1, max_iter: int = 500) -> DataFrame:
+    """method, block, doms: the sorted dominators of each reachable block, itself included."""
+    seen, live = _reached(blocks, cfg, start)
+    everything = seen.groupBy("method").agg(F.array_sort(F.collect_list("block")).alias("all"))
+    now = seen.join(everything, "method").select("method", "block", F.when(F.col("block") == start, F.array("block")).otherwise(F.col("all")).alias("doms"))
+    now = stored(now)
+    for _ in range(max_iter):
+        came = live.join(now.withColumnRenamed("block", "src"), ["method", "src"]).groupBy("method", F.col("dst").alias("block")).agg(F.collect_list("doms").alias("_in"))
+        inside = F.aggregate(F.slice("_in", F.lit(2), F.size("_in")), F.element_at("_in", 1), lambda a, x: F.array_intersect(a, x))
+        new = F.when((F.col("block") == start) | F.col("_in").isNull(), F.array("block")).otherwise(F.array_sort(F.array_union(inside, F.array("block"))))
+        both = stored(now.join(came, ["method", "block"], "left").select("method", "block", new.alias("doms"), F.size("doms").alias("_was")))
+        now = both.drop("_was")
+        if both.where(F.size("doms") != F.col("_was")).isEmpty():
+            return now
+    raise RuntimeError("dominators did not settle")
+
+
+def immediate_dominators(doms: DataFrame) -> DataFrame:
+    """method, block, idom: the strict dominator with the most dominators; the start has none."""
+    pairs = doms.select("method", "block", F.explode("doms").alias("idom")).where("idom <> block")
+    sizes = doms.select("method", F.col("block").alias("idom"), F.size("doms").alias("_n"))
+    return pairs.join(sizes, ["method", "idom"]).groupBy("method", "block").agg(F.max_by("idom", "_n").alias("idom"))
+
+
+def dominance_frontier(doms: DataFrame, cfg: DataFrame) -> DataFrame:
+    """method, block, frontier: x where block dominates a predecessor of x, not x strictly."""
+    dom = doms.select("method", F.col("block").alias("src"), F.explode("doms").alias("block"))
+    at = cfg.join(dom, ["method", "src"]).select("method", "block", F.col("dst").alias("frontier")).distinct()
+    strict = doms.select("method", F.col("block").alias("frontier"), F.explode("doms").alias("block")).where("block <> frontier")
+    return at.join(strict, ["method", "block", "frontier"], "left_anti")
+
+
+def dominance_tree(idoms: DataFrame, doms: DataFrame) -> DataFrame:
+    """method, block, parent, place: the tree in pre-order, children by number."""
+    # a block's dominators, from the root down, are its path in the tree
+    sizes = doms.select("method", F.col("block").alias("d"), F.size("doms").alias("n"))
+    steps = doms.select("method", "block", F.explode("doms").alias("d")).join(sizes, ["method", "d"])
+    paths = steps.groupBy("method", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "d"))), lambda s: s["d"]).alias("path"))
+    place = F.row_number().over(W.partitionBy("method").orderBy("path"))
+    rows = paths.withColumn("place", place).join(idoms.withColumnRenamed("idom", "parent"), ["method", "block"], "left")
+    return rows.select("method", "block", "parent", "place")
+
+
+def phi_sites(defs: DataFrame, frontier: DataFrame, cfg: DataFrame) -> DataFrame:
+    """method, block, name: where values of a variable (method, block, name) must be merged."""
+    step = frontier.select("method", "block", F.col("frontier").alias("_to"))
+    onward = lambda d: d.join(step, ["method", "block"]).select("method", F.col("_to").alias("block"), "name")
+    sites = fixpoint(onward(defs.select("method", "block", "name").distinct()), lambda d, _: onward(d), ["method", "block", "name"])
+    merges = cfg.groupBy("method", F.col("dst").alias("block")).agg(F.countDistinct("src").alias("_n")).where("_n > 1").drop("_n")
+    return sites.join(merges, ["method", "block"], "left_semi")
+
+
+def version_variables(defs: DataFrame, uses: DataFrame, phis: DataFrame, doms: DataFrame) -> DataFrame:
+    """method, block, name, version: the definition that a use (method, block, name) reads.
+
+    Versions number a name's merges and definitions by block, merges first; 0: none. A use
+    stands before the definition of its own block, after its merges.
+    """
+    sites = phis.select("method", "block", "name", F.lit(0).alias("kind")).union(defs.select("method", "block", "name", F.lit(1)))
+    sites = sites.withColumn("version", F.row_number().over(W.partitionBy("method", "name").orderBy("block", "kind")))
+    depth = doms.select("method", F.col("block").alias("at"), F.size("doms").alias("depth"))
+    above = doms.select("method", "block", F.explode("doms").alias("at")).join(depth, ["method", "at"])
+    rows = uses.join(doms.select("method", "block"), ["method", "block"], "left_semi").join(above, ["method", "block"])
+    # a definition of the use's own block comes too late; its row stays, without a version
+    rows = rows.withColumn("late", F.col("at") == F.col("block"))
+    rows = rows.join(sites.withColumnRenamed("block", "at").withColumn("late", F.explode(F.when(F.col("kind") == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))), ["method", "at", "name", "late"], "left")
+    return rows.groupBy("method", "block", "name").agg(F.coalesce(F.max_by("version", F.when(F.col("version").isNotNull(), F.col("depth") * 2 + F.col("kind"))), F.lit(0)).alias("version"))
+
+
+def def_use_chains(defs: DataFrame, uses: DataFrame, cfg: DataFrame) -> DataFrame:
+    """method, name, def_block, use_block: definitions that reach a use from other blocks.
+
+    One statement a block: its use comes before its definition, so the search starts at
+    the predecessors and stops at blocks that define the name.
+    """
+    back = cfg.select("method", F.col("dst").alias("at"), F.col("src").alias("_to"))
+    d = defs.select("method", F.col("block").alias("at"), "name").distinct()
+    names = ["method", "use_block", "name", "at"]
+    go = lambda x: x.join(back, ["method", "at"]).select("method", "use_block", "name", F.col("_to").alias("at"))
+    seed = go(uses.select("method", F.col("block").alias("use_block"), "name", F.col("block").alias("at")))
+    walk = fixpoint(seed, lambda delta, _: go(delta.join(d, ["method", "at", "name"], "left_anti")), names)
+    return walk.join(d, ["method", "at", "name"], "left_semi").select("method", "name", F.col("at").alias("def_block"), "use_block")
+
+
+def tree_walk(tree: DataFrame, condition) -> DataFrame:
+    """root, node, found: whether the subtree of a node holds one that meets the condition."""
+    up = tree.where("parent is not null").select("root", "node", F.col("parent").alias("_to"))
+    seed = tree.where(condition).select("root", "node")
+    hit = fixpoint(seed, lambda d, _: d.join(up, ["root", "node"]).select("root", F.col("_to").alias("node")), ["root", "node"])
+    return tree.select("root", "node").join(hit.withColumn("found", F.lit(True)), ["root", "node"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def assemble_component_tree(ops: DataFrame) -> DataFrame:
+    """root, ord, name, depth, parent: the tree that ordered create and pop calls build.
+
+    A pop without an open node does nothing. Depth is the balance less its lowest value,
+    so no stack is kept; a node's parent is the last node before it that is one level up.
+    """
+    w = W.partitionBy("root").orderBy("ord")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = ops.withColumn("cum", F.sum(F.when(F.col("op") == "create", 1).otherwise(-1)).over(upto))
+    rows = rows.withColumn("depth", F.col("cum") - F.least(F.lit(0), F.min("cum").over(upto)))
+    made = rows.where("op = 'create'").select("root", "ord", "name", "depth")
+    up = made.select("root", F.col("ord").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    both = made.withColumn("parent", F.lit(None).cast("long")).withColumn("_own", F.lit(True))
+    both = both.unionByName(up.select("root", F.col("parent").alias("ord"), F.lit(None).cast("string").alias("name"), "depth", "parent", F.lit(False).alias("_own")))
+    last = F.last("parent", ignorenulls=True).over(W.partitionBy("root", "depth").orderBy("ord", "_own").rowsBetween(W.unboundedPreceding, -1))
+    return both.withColumn("parent", last).where("_own").select("root", "ord", "name", "depth", "parent")
+
+
+def import_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Files that import each other in a ring: id, scc."""
+    return strong_components(nodes, edges).where("in_cycle").select("id", "scc")
