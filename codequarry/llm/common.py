@@ -36,6 +36,19 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+TEXTS_A_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows that go to Python hold whole texts: no more than TEXTS_A_BATCH at a time.
+
+    The session's own bound stays where it is lower.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS_A_BATCH:
+        spark.conf.set(name, TEXTS_A_BATCH)
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

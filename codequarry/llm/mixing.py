@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import stash, table
+from codequarry.llm.common import small_batches, stash, table
 
 BLOCK, SHARD_WORDS, MOST_SHARDS, SEED = 64, 1 << 20, 100_000, 7
 WEIGHTS, SHARE, CEILING = (3, 1, 2), 1.5, 2
@@ -160,6 +160,7 @@ def excerpt(text: str, first: int, size: int, blocks: int, quota: int, step: int
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: docs (doc_id, text, source, n_chars and more) as often as they are
     taken, whole or in excerpts; same columns, n_chars counted anew."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     plan = placed(docs, seed).dropDuplicates(["doc_id", "size"]).select(F.struct("first", "size", "blocks", "quota", "step", "shift").alias("_plan"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
     joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (words_in(F.col("text")) == F.col("_size")))

@@ -12,8 +12,6 @@ labelled documents; so are the curve's few numbers. The grammar is fixed.
 Learning reads a sample of labelled rows, of a bound that is a parameter.
 """
 
-from __future__ import annotations
-
 import math
 import re
 from collections import Counter
@@ -25,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import bounded_sample, held_out, table
+from codequarry.llm.common import bounded_sample, held_out, small_batches, table
 
 # The grammar's closed word classes.
 TARGETS = "you your yours u he she they them him her his their this that these those who du ihr dein euch sie er tu toi ton vous votre il elle ils usted ustedes tú ellos ella él".split()
@@ -213,27 +211,27 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Gramm
     return grammar
 
 
-def score(docs: DataFrame, grammar: Grammar, keep: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
-    """The columns ``keep`` of docs and a score from 0 to 1 for each whole text.
+def score(docs: DataFrame, grammar: Grammar, text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1 for each whole text.
 
-    Null and empty texts have the lowest score. An empty table gives no rows.
+    Null and empty texts have the lowest score. An empty table gives no rows. Only the
+    text goes to Python, and only the score comes back.
     """
+    import pandas as pd
 
-    def scores(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    small_batches(docs.sparkSession)
 
+    @F.pandas_udf("double")
+    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scan = Scanner(grammar)
-        for b in batches:
-            got = [scan.score(t or "") for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(got, pa.float64())], names=[*keep, out])
+        for batch in texts:
+            yield pd.Series([scan.score(t or "") for t in batch])
 
-    at = keep.index(text_col) if text_col in keep else len(keep)
-    rows = docs.select(*keep, *([] if at < len(keep) else [F.col(text_col).alias("_text")]))
-    return rows.mapInArrow(scores, docs.select(*keep).schema.add(out, "double"))
+    return docs.withColumn(out, scores(F.col(text_col)))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     grammar = learn(docs, table(spark, sf_dir, "labels"))
-    out = score(docs, grammar, ["doc_id"])
+    out = score(docs.select("doc_id", "text"), grammar)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

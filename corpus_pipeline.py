@@ -20,7 +20,7 @@ REJECT_FROM = 0.5  # toxicity score
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under REJECT_FROM; the grammar learns from labels."""
     grammar = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, grammar, docs.columns, out="_score").where(F.col("_score") < REJECT_FROM).select(docs.columns)
+    return toxicity.score(docs, grammar, out="_score").where(F.col("_score") < REJECT_FROM).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
