@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.boosting import Trees, fit
-from codequarry.llm.common import bounded_sample, table
+from codequarry.llm.common import bounded_sample, small_batches, table
 
 SAMPLE_PAGES = 400
 # Elements by role.
@@ -253,6 +253,7 @@ def extract(pages: DataFrame, trees: Trees, keep: list[str], html_col: str = "ht
                 out += [text_of(p, decode(p, o)) for p, o in zip(parsed, odds, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*b.schema.names[:-1], "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select(*keep, F.col(html_col).alias("_html"))
     return rows.mapInArrow(texts, rows.drop("_html").schema.add("text", "string").add("n_chars", "long"))
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import table
+from codequarry.llm.common import small_batches, table
 
 # Base phrases of the contract, and the words of common licence notices.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -227,6 +227,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text", templates=TEM
             if rows:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*b.schema.names[:-1], *names])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(results, f"{kept}, {RESULT}")

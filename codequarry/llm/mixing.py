@@ -162,22 +162,25 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     taken, whole or in excerpts; same columns, n_chars counted anew."""
     small_batches(docs.sparkSession)
     names = docs.columns
-    plan = placed(docs, seed).dropDuplicates(["doc_id", "size"]).select(F.struct("first", "size", "blocks", "quota", "step", "shift").alias("_plan"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (words_in(F.col("text")) == F.col("_size")))
+    plan = placed(docs, seed).dropDuplicates(["doc_id", "size"]).select(F.struct("first", "size", "blocks", "quota", "step", "shift").alias("plan"), "doc_id", "size")
+    row = F.struct(*docs.columns).alias("row")  # one column, so that no name of docs can clash
+    rows = docs.select(row, F.col("doc_id").alias("row_id"), words_in(F.col("text")).alias("row_size"))
+    joined = rows.join(plan, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_size") == F.col("size")))
     at, chars = names.index("text"), names.index("n_chars")
 
     def takes(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            got = [excerpt(t or "", **p) for t, p in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
-            rows = b.select(list(range(len(names)))).take(pa.array([i for i, g in enumerate(got) for _ in g], pa.int64()))
+            rows = pa.RecordBatch.from_arrays(b.column(0).flatten(), names=names)
+            got = [excerpt(t or "", **p) for t, p in zip(rows.column(at).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            rows = rows.take(pa.array([i for i, g in enumerate(got) for _ in g], pa.int64()))
             texts = [t for g in got for t in g]
             columns = list(rows.columns)
             columns[at], columns[chars] = pa.array(texts, pa.string()), pa.array([len(t) for t in texts], rows.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*[docs[c] for c in names], "_plan").mapInArrow(takes, docs.schema)
+    return joined.select("row", "plan").mapInArrow(takes, docs.schema)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.common import bounded_sample, held_out, small_batches, table
@@ -211,11 +211,11 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Gramm
     return grammar
 
 
-def score(docs: DataFrame, grammar: Grammar, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 for each whole text.
+def score_of(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> Column:
+    """A column of docs: a score from 0 to 1 for each whole text.
 
-    Null and empty texts have the lowest score. An empty table gives no rows. Only the
-    text goes to Python, and only the score comes back.
+    Null and empty texts have the lowest score. Only the text goes to Python, and only the
+    score comes back.
     """
     import pandas as pd
 
@@ -227,11 +227,11 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text", out: str =
         for batch in texts:
             yield pd.Series([scan.score(t or "") for t in batch])
 
-    return docs.withColumn(out, scores(F.col(text_col)))
+    return scores(F.col(text_col))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     grammar = learn(docs, table(spark, sf_dir, "labels"))
-    out = score(docs.select("doc_id", "text"), grammar)
+    out = docs.select("doc_id", score_of(docs, grammar).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

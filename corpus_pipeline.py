@@ -20,7 +20,7 @@ REJECT_FROM = 0.5  # toxicity score
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under REJECT_FROM; the grammar learns from labels."""
     grammar = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, grammar, out="_score").where(F.col("_score") < REJECT_FROM).select(docs.columns)
+    return docs.where(toxicity.score_of(docs, grammar) < REJECT_FROM)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = ngram_join.near_duplicates(docs)
     gone = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= ngram_join.MOST_BROADCAST else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
