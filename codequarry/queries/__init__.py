@@ -1,6 +1,6 @@
 """Registered queries: each module holds QUERIES (name -> function) and ORACLES (name -> SQL)."""
 
-MODULES = ("texts", "tables", "linking", "graphs", "programs")
+MODULES = ("texts", "tables", "linking", "graphs", "programs", "components")
 
 
 def load() -> tuple[dict, dict]:
