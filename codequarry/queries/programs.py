@@ -63,7 +63,15 @@ def g15(spark, sf):
     return K.calls_by_hierarchy(found(spark, sf), entries(spark, sf)).select("site", "caller", "callee")
 
 
-@query("g16_calls_by_instantiation")
+# methods and classes are reached together: keyed recursion, since each step reads all so far
+INSTANTIATED = TARGETS + """, cr AS (SELECT DISTINCT caller, creates AS class FROM x_sites), st(item, kind, k) USING KEY (item, kind) AS (
+    SELECT class, 'method', 0 FROM x_classes WHERE class IN (SELECT 'c' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey < 40)
+    UNION SELECT item, kind, 1 FROM (SELECT cr.class AS item, 'class' AS kind FROM recurring.st s JOIN cr ON cr.caller = s.item WHERE s.kind = 'method'
+        UNION SELECT t.callee, 'method' FROM ta t JOIN recurring.st a ON a.kind = 'method' AND a.item = t.caller JOIN recurring.st b ON b.kind = 'class' AND b.item = t.callee) x
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.st r WHERE r.item = x.item AND r.kind = x.kind))"""
+
+
+@query("g16_calls_by_instantiation", sql("x_classes", "x_extends", "x_sites", "x_methods", recursive=True, more=INSTANTIATED, body="SELECT site, caller, callee FROM ta WHERE caller IN (SELECT item FROM st WHERE kind = 'method') AND callee IN (SELECT item FROM st WHERE kind = 'class')"))
 def g16(spark, sf):
     creates = X.x_sites(spark, sf).select("caller", F.col("creates").alias("class"))
     return K.calls_by_instantiation(found(spark, sf), creates, entries(spark, sf))
@@ -113,7 +121,18 @@ def procedures(spark, sf):
     return seeds, normal.union(past), calls, returns, starts
 
 
-@query("g18_dataflow_reach")
+PROCEDURES = """ps AS (SELECT * FROM x_stmts WHERE method < 4000), pc AS (SELECT * FROM x_cfg WHERE method < 4000), pf AS (SELECT s.*, c.dst, f.fact FROM ps s JOIN pc c ON c.method = s.method AND c.src = s.block, (VALUES ('v0'), ('v1'), ('v2')) f(fact)),
+    no AS (SELECT method * 1000 + block AS node, fact, method * 1000 + dst AS t, fact AS ft FROM pf WHERE def <> fact UNION SELECT method * 1000 + block, fact, method * 1000 + dst, def FROM pf WHERE block <> 2 AND use = fact),
+    si AS (SELECT * FROM ps WHERE block = 2 AND method + 1 IN (SELECT method FROM ps)), ca AS (SELECT method * 1000 + 2 AS node, use AS fact, (method + 1) * 1000 + 1 AS start FROM si),
+    rt AS (SELECT (si.method + 1) * 1000 + l.last AS node, 'v1' AS fact, si.method * 1000 + 2 AS call, si.method * 1000 + c.dst AS t, si.def AS ft FROM si JOIN pc c ON c.method = si.method AND c.src = 2 JOIN (SELECT method, max(block) AS last FROM ps GROUP BY method) l ON l.method = si.method + 1),
+    pe(s, sf, n, f, k) USING KEY (s, sf, n, f) AS (SELECT DISTINCT method * 1000 + 1, 'v0', method * 1000 + 1, 'v0', 0 FROM ps WHERE method % 4 = 0 UNION SELECT s, sf, n, f, 1 FROM (
+        SELECT a.s, a.sf, no.t AS n, no.ft AS f FROM recurring.pe a JOIN no ON no.node = a.n AND no.fact = a.f
+        UNION SELECT ca.start, 'v0', ca.start, 'v0' FROM recurring.pe a JOIN ca ON ca.node = a.n AND ca.fact = a.f
+        UNION SELECT a.s, a.sf, rt.t, rt.ft FROM recurring.pe a JOIN ca ON ca.node = a.n AND ca.fact = a.f JOIN recurring.pe z ON z.s = ca.start AND z.sf = 'v0' JOIN rt ON rt.node = z.n AND rt.fact = z.f AND rt.call = a.n) x
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.pe r WHERE r.s = x.s AND r.sf = x.sf AND r.n = x.n AND r.f = x.f))"""
+
+
+@query("g18_dataflow_reach", sql("x_stmts", "x_cfg", recursive=True, more=PROCEDURES, body="SELECT s AS start, sf AS start_fact, n AS node, f AS fact FROM pe"))
 def g18(spark, sf):
     return L.dataflow_reach(*procedures(spark, sf))
 
@@ -133,7 +152,15 @@ def g20(spark, sf):
     return L.undefined_uses(X.x_stmts(spark, sf), X.x_cfg(spark, sf))
 
 
-@query("g21_points_to")
+# f: the field of a cell, -1 for a plain variable
+FIELDS = """pt(v, f, obj, k) USING KEY (v, f, obj) AS (SELECT dst, -1, src, 0 FROM x_pag WHERE kind = 'address' UNION SELECT v, f, obj, 1 FROM (
+    SELECT p.dst AS v, -1 AS f, a.obj FROM recurring.pt a JOIN x_pag p ON p.kind = 'copy' AND a.f = -1 AND p.src = a.v
+    UNION SELECT p.dst, -1, c.obj FROM recurring.pt a JOIN x_pag p ON p.kind = 'load' AND a.f = -1 AND p.src = a.v JOIN recurring.pt c ON c.v = a.obj AND c.f = p.field
+    UNION SELECT a.obj, p.field, w.obj FROM recurring.pt a JOIN x_pag p ON p.kind = 'write' AND a.f = -1 AND p.dst = a.v JOIN recurring.pt w ON w.f = -1 AND w.v = p.src) x
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.pt r WHERE r.v = x.v AND r.f = x.f AND r.obj = x.obj))"""
+
+
+@query("g21_points_to", sql("x_pag", recursive=True, more=FIELDS, body="SELECT v AS var, obj FROM pt WHERE f = -1"))
 def g21(spark, sf):
     return L.variables(L.points_to(X.x_pag(spark, sf)))
 
