@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.boosting import Trees, fit
 from codequarry.llm.common import bounded_sample, small_batches, table
 
-SAMPLE_PAGES = 400
+SAMPLE_PAGES, LONGEST_SAMPLED = 400, 200_000  # pages to learn from, and their characters at most
 # Elements by role.
 BLOCKS = set("html body article main section div header footer nav aside form fieldset ul ol li dl dt dd table tbody thead tfoot tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr center".split())
 VOID = set("br hr img input meta link area base col embed source track wbr param".split())
@@ -223,7 +223,7 @@ def text_of(page: Page, keep: np.ndarray) -> str:
 
 def learn(pages: DataFrame, html_col: str = "html", bound: int = SAMPLE_PAGES) -> Trees:
     """Trees from a sample of about ``bound`` pages and three varied copies of each."""
-    rows = pages.where(F.length(html_col) > 0).select(F.col(html_col).alias("html"))
+    rows = pages.where(F.length(html_col).between(1, LONGEST_SAMPLED)).select(F.col(html_col).alias("html"))
     sample = sorted(r["html"] for r in bounded_sample(rows, F.col("html"), bound).limit(2 * bound).collect())
     x, y = [], []
     for source in sample:
