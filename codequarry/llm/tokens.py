@@ -15,9 +15,11 @@ import re
 import numpy as np
 
 END_ID = 2
-STORE_BOUND = 1_200_000  # pieces kept by a worker
-GROUP_CHARS = 3_000_000  # texts taken together
+STORE_BOUND = 600_000  # pieces kept by a worker
+GROUP_CHARS = 1_500_000  # texts taken together
+JOINED, AT_ONCE = 400, 10  # pieces encoded as one text, and such texts at a time
 _INNER_RUN = re.compile(r"\s \s|\s $|^\s* ")
+_APART = re.compile(r"[\s\x01]")
 _workers: dict = {}
 
 
@@ -41,12 +43,33 @@ class PieceEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.lead, self.store = lead, {"": b""} if not lead else {}
+        # a mark of one id that stands between pieces, so that many are encoded as one text
+        self.between = "\n" if lead else " \x01 "
+        mark = self.whole([self.between.strip(" ")])[0]
+        self.mark = int(np.frombuffer(mark, "<u4")[0]) if len(mark) == 4 else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _many(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space or the mark, encoded side by side."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), JOINED * AT_ONCE):
+            parts = [pieces[i : i + JOINED] for i in range(k, min(k + JOINED * AT_ONCE, len(pieces)), JOINED)]
+            space = " " if self.lead else ""
+            for part, ids in zip(parts, self.whole([self.between.join([space + p for p in part]) for part in parts]), strict=True):
+                cuts = (np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark) * 4).tolist()
+                if len(cuts) != len(part) - 1:
+                    out += self.whole([space + p for p in part])
+                else:
+                    out += [ids[a:z] for a, z in zip([0, *[c + 4 for c in cuts]], [*cuts, len(ids)], strict=True)]
+        return out
+
     def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        found = dict(zip(pieces, self.whole([" " + p for p in pieces] if self.lead else pieces), strict=True))
+        odd = [p for p in pieces if not p or _APART.search(p)] if self.mark is not None else pieces
+        found = dict(zip(odd, self.whole([" " + p for p in odd] if self.lead else odd), strict=True))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._many(rest), strict=True))
         if len(self.store) + len(found) <= STORE_BOUND:
             self.store.update(found)
         return found
