@@ -36,7 +36,7 @@ from codequarry.llm.components import components
 N, SHARE = 5, (75, 100)
 POSTED = 128
 BLOCK_ROWS, FANOUT = 1024, 8
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 500_000  # of text hashed at a time; the work arrays take some 60 bytes for each
 MOST_BROADCAST = 2_000_000  # ids
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
