@@ -5,9 +5,10 @@ Documents with equal sets are one class, and only its first document goes on. Th
 1. Sampling. Each class posts its shingles of small hash, about POSTED of them, or all of
    a small set. A class links with another only if most of its shingles are shared, so
    one that shares too few of the sampled ones with any other class is done. "Too few"
-   is exact for sets that are posted whole; for larger ones the odds of dropping a link
-   are below 2**-64 (Chernoff's bound for sampling without replacement), as small as
-   those of two different shingles having one 64-bit hash.
+   is exact where all sets that may link are posted whole; else it is judged on the
+   shingles that each of them would post, and the odds of dropping a link are below
+   2**-64 (Chernoff's bound for sampling without replacement), as small as those of two
+   different shingles having one 64-bit hash.
 2. Blocks. What is left is grouped so that linked classes share a block: within a size
    range, each class is tied by its rarest sampled shingles (prefix filter, same odds),
    and tied classes are one connected block. Common passages are the last in that order.
@@ -171,9 +172,11 @@ def candidates(classes: DataFrame) -> DataFrame:
     posts = classes.where("n > 0").select("doc_id", "n", F.explode("posted").alias("token"))
     common = stash(posts.groupBy("token").count().where("count > 1").select(F.col("token").alias("_token")), "common")
     hits = stash(posts.join(common, F.col("token") == F.col("_token")).drop("_token"), "hits")
-    tested = F.when(F.col("n") <= POSTED, F.size("posted")).otherwise(F.size(F.filter("posted", lambda x: _below(x, F.col("n"), 0.75 * POSTED))))
-    need = classes.select(F.col("doc_id").alias("_id"), _needed(tested, F.col("n") <= POSTED).alias("_need"))
-    inside = (F.col("n") <= POSTED) | _below(F.col("token"), F.col("n"), 0.75 * POSTED)
+    # a linked set has n / 0.75 shingles at most: all of them are posted whole, or else each posts those under 0.75 * POSTED / n
+    whole = F.col("n") * SHARE[1] <= POSTED * SHARE[0]
+    tested = F.when(whole, F.size("posted")).otherwise(F.size(F.filter("posted", lambda x: _below(x, F.col("n"), 0.75 * POSTED))))
+    need = classes.select(F.col("doc_id").alias("_id"), _needed(tested, whole).alias("_need"))
+    inside = whole | _below(F.col("token"), F.col("n"), 0.75 * POSTED)
     shared = hits.where(inside).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_shared"))
     left = stash(shared.join(need, F.col("doc_id") == F.col("_id")).where("_shared >= _need").select(F.col("doc_id").alias("_id")), "left")
     return stash(hits.join(left, F.col("doc_id") == F.col("_id")).drop("_id"), "left-hits")

@@ -163,6 +163,17 @@ def test_near_duplicates_agree_with_brute_force(spark):
     assert [r["n_shingles"] for r in out] == [len(sets_of(t)) for _, t in docs]
 
 
+def test_near_duplicates_link_sets_across_the_bound_of_whole_ones(spark):
+    docs = []
+    for g in range(60):
+        small = 120 + g % 9  # shingles, posted whole; the larger set posts a part
+        text = [f"g{g}w{k}" for k in range(small * 4 // 3 + 4)]
+        docs += [(2 * g, " ".join(text[: small + 4])), (2 * g + 1, " ".join(text))]
+    out = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()
+    want = components_of(docs)
+    assert [r["component_id"] for r in out] == want == [d - d % 2 for d, _ in docs]
+
+
 def test_near_duplicates_take_awkward_rows(awkward, nothing):
     out = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(awkward).collect()}
     by_id = {d: c for d, _, c in out}
