@@ -27,12 +27,18 @@ from codequarry.llm.common import stash, table
 K, PARTS = 5, 4
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
 QUERY_STEP = 50
+NO_CUT = -(1 << 63)
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and x, an array of integers; rows with unusable vectors are left out."""
-    x = F.transform(F.col(vector_col), lambda v: F.floor(F.lit(256) * v.cast("double")).cast("int"))
-    usable = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(4e6)))
+    """vec_id and x, an array of integers; rows with unusable vectors are left out.
+
+    A finite component that isn't a 64-bit number when multiplied is an error, as in SQL.
+    """
+    grown = lambda v: F.lit(256) * v.cast("double")
+    fits = lambda v: F.abs(grown(v)) < F.lit(float(1 << 63))
+    x = F.transform(F.col(vector_col), lambda v: F.when(fits(v), F.floor(grown(v))).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long")))
+    usable = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return vectors.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"))
 
 
@@ -50,7 +56,7 @@ def _blocks(rows: DataFrame, size: int, total: int, seed: int) -> DataFrame:
         widths = pdf["x"].map(len).to_numpy()
         for w in np.unique(widths):
             own = pdf[widths == w]
-            xs = np.array(own["x"].tolist(), "<i4").reshape(len(own), int(w))
+            xs = np.array(own["x"].tolist(), "<i8").reshape(len(own), int(w))
             out.append((int(key[0]), len(own), int(w), own["vec_id"].to_numpy("<i8").tobytes(), xs.tobytes()))
         return pd.DataFrame(out, columns=["block", "n", "width", "ids", "xs"])
 
@@ -59,7 +65,7 @@ def _blocks(rows: DataFrame, size: int, total: int, seed: int) -> DataFrame:
 
 
 def _unpack(ids: bytes, xs: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(xs, "<i4").reshape(n, width).astype(np.float64)  # sums stay under 2**53: exact
+    return np.frombuffer(ids, "<i8"), np.frombuffer(xs, "<i8").reshape(n, width)
 
 
 def _slices(width: int) -> list[slice]:
@@ -67,37 +73,63 @@ def _slices(width: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray | list[int]:
+    if scores.dtype == object:
+        return sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k]
     return np.lexsort((ids, -scores))[:k]
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(float) ** 2).sum(axis=-1))
+
+
+def _exact(c: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
+    """c @ q without rounding; bound: the product of the norms, which no sum of products passes."""
+    if bound < 2**52:
+        return (c.astype(float) @ q.astype(float)).astype(np.int64)
+    kind = np.int64 if bound < 2**62 else object
+    return c.astype(np.int64).astype(kind) @ q.astype(np.int64).astype(kind)
+
+
 def local_heads(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple]:
     """Phase one: full scores of the k best of each slice's list, for each query."""
     picks = []
+    qf, cf = q.astype(float), c.astype(float)
     for s in _slices(q.shape[1]):
-        part = q[:, s] @ c[:, s].T
+        part = qf[:, s] @ cf[:, s].T
         part[qi[:, None] == ci[None, :]] = -np.inf
         m = min(k, part.shape[1])
         picks.append(np.argpartition(-part, m - 1, axis=1)[:, :m])
+    bounds = _norms(q) * _norms(c).max(initial=0)
     for r, (own, at) in enumerate(zip(qi, np.concatenate(picks, axis=1), strict=True)):
         at = np.unique(at)
         at = at[ci[at] != own]
-        full = c[at] @ q[r]
+        full = _exact(c[at], q[r], bounds[r])
         for j in _best(ci[at], full, k):
-            yield int(own), int(ci[at[j]]), int(full[j])
+            if full[j] > NO_CUT:  # what a 64-bit cutoff can't tell gives none
+                yield int(own), int(ci[at[j]]), int(full[j])
 
 
 def resolved(qi: np.ndarray, q: np.ndarray, cut: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple]:
-    """Phases two and three: entries that may reach the cutoff, their full scores, the best k."""
+    """Phases two and three: entries that may reach the cutoff, their full scores, the best k.
+
+    The screen is in floating point, so its threshold is lower by the most that its
+    rounding can add up to.
+    """
     slices = _slices(q.shape[1])
-    enough = np.zeros((len(qi), len(ci)), bool)
+    qf, cf, nq, nc = q.astype(float), c.astype(float), _norms(q), _norms(c)
+    off = (nq[:, None] * nc[None, :] * (q.shape[1] + 8) + np.abs(cut.astype(float))[:, None]) * 2.0**-51
+    enough = np.broadcast_to((cut <= NO_CUT)[:, None], (len(qi), len(ci))).copy()
     for s in slices:
-        enough |= q[:, s] @ c[:, s].T >= (cut / len(slices))[:, None] - 1e-6
+        enough |= qf[:, s] @ cf[:, s].T >= (cut.astype(float) / len(slices))[:, None] - off - 1e-6
     enough &= qi[:, None] != ci[None, :]
+    bounds = nq * nc.max(initial=0)
     for r in range(len(qi)):
         at = np.flatnonzero(enough[r])
-        full = c[at] @ q[r]
-        at, full = at[full >= cut[r]], full[full >= cut[r]]
+        full = _exact(c[at], q[r], bounds[r])
+        if cut[r] > NO_CUT:
+            reach = np.array([v >= int(cut[r]) for v in full], bool) if full.dtype == object else full >= cut[r]
+            at, full = at[reach], full[reach]
         for j in _best(ci[at], full, k):
             yield int(qi[r]), int(ci[at[j]]), int(full[j])
 
@@ -110,7 +142,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
 
     is_query: a condition on vec_id. Rows whose vector is null or empty, or holds nulls or
     numbers that aren't finite, take no part; vectors of another width than a query's
-    have no score with it. Repeated ids are separate candidates of one id each; of
+    have no score with it. A score in the answer that needs more than 64 bits is an error. Repeated ids are separate candidates of one id each; of
     repeated rows of a query all give the same answer, which is returned once.
     """
     import pyarrow as pa
@@ -142,7 +174,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     def answers(batches: Iterator) -> Iterator:
         for b in batches:
             for qi, q, ci, c, cut in cells(b, "cuts"):
-                yield rows_of(list(resolved(qi, q, np.frombuffer(cut, "<f8"), ci, c, k)))
+                yield rows_of(list(resolved(qi, q, np.frombuffer(cut, "<i8"), ci, c, k)))
 
     right = right.withColumnRenamed("c_width", "width")
     parallel = max(1, -(-n // CANDIDATE_BLOCK)) * count
@@ -152,13 +184,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     worst = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     cutoffs = found.withColumn("r", worst).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cut"))
     asked = asked.select("vec_id", F.size("x").alias("width"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(count)).cast("int").alias("block"))
-    own = asked.join(cutoffs, "vec_id", "left").withColumn("cut", F.coalesce("cut", F.lit(-(1 << 62))).cast("double"))
+    own = asked.join(cutoffs, "vec_id", "left").withColumn("cut", F.coalesce("cut", F.lit(NO_CUT).cast("long")))
 
     def cuts(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("vec_id", kind="stable")
-        return pd.DataFrame([(int(key[0]), int(key[1]), pdf["cut"].to_numpy("<f8").tobytes())], columns=["block", "width", "cuts"])
+        return pd.DataFrame([(int(key[0]), int(key[1]), pdf["cut"].to_numpy("<i8").tobytes())], columns=["block", "width", "cuts"])
 
     cut_blocks = own.groupBy("block", "width").applyInPandas(cuts, "block int, width int, cuts binary")
     second = queries.join(stash(cut_blocks, "cutoffs"), ["block", "width"]).join(right, ["block", "width"])

@@ -78,3 +78,24 @@ def test_uniform_threshold_phases_agree_on_ties():
     for k in range(5):
         best = sorted((-int(c[j] @ q[k]), j) for j in range(300) if j != k)[:5]
         assert sorted((-s, j) for a, j, s in got if a == k)[:5] == best
+
+
+def test_topk_is_exact_for_large_components(spark):
+    rng = np.random.default_rng(12)
+    vecs = [(i, [float(np.float32(v)) for v in rng.normal(size=8) * 10.0 ** float(rng.integers(0, 7))]) for i in range(120)]
+    vecs += [(200 + i, [2.0**21, 2.0**21 + i, 1.0 + i / 256, *[3.0] * 5]) for i in range(40)]
+    vecs += [(300, [5e6] * 8), (301, [-4e6] * 8), (302, [float("inf")] * 8)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    out = topk_search.search(df, F.col("vec_id") % 50 == 0).collect()
+    usable = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in vecs if i != 302}
+    want = set()
+    for q in (i for i in usable if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(usable[c], usable[q], strict=True)), c) for c in usable if c != q)[:5]
+        want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out} == want and 300 in {r["query_id"] for r in out}
+
+
+def test_scores_beyond_64_bits_are_exact():
+    c = np.array([[1 << 40, 1, 0, 0], [1 << 40, 2, 0, 0], [-(1 << 40), 0, 0, 0], [1 << 40, 0, 0, 0]])
+    got = list(topk_search.resolved(np.array([9]), np.array([[1 << 40, 1, 0, 0]]), np.array([topk_search.NO_CUT]), np.arange(4), c, 4))
+    assert got == [(9, 1, (1 << 80) + 2), (9, 0, (1 << 80) + 1), (9, 3, 1 << 80), (9, 2, -(1 << 80))]
