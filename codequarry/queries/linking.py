@@ -400,11 +400,16 @@ def s4(spark, sf):
     return io.read_exemplars(spark, path)
 
 
+RECORDS_A_FILE = 1_000
+
+
 @query("s5_read_rule_meta", sql("x_docs", body="SELECT '@performance/' || CAST(doc_id AS VARCHAR) AS rule, 'here' AS error_location, source AS fix_location, doc_id % 2 = 0 AS needs_context, CASE WHEN doc_id % 3 <> 0 THEN content END AS bad_code FROM x_docs"))
 def s5(spark, sf):
     d, path = X.x_docs(spark, sf), new_path(spark, "rules")
     record = F.struct(F.concat(F.lit("@performance/"), text_of("doc_id")).alias("rule"), F.lit("here").alias("errorLocation"), F.col("source").alias("fixLocation"), (F.col("doc_id") % 2 == 0).alias("needsMoreContext"))
-    d.groupBy("source").agg(F.to_json(F.collect_list(record)).alias("value")).write.partitionBy("source").text(path)
+    # each file is one array, read in one task: a source takes as many as keep them small
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-d.count() // RECORDS_A_FILE)))).alias("part")
+    d.groupBy("source", part).agg(F.to_json(F.collect_list(record)).alias("value")).write.partitionBy("source", "part").text(path)
     bad = d.where("doc_id % 3 <> 0").select(text_of("doc_id").alias("stem"), "content")
     return io.read_rule_meta(spark, path, bad)
 

@@ -223,11 +223,7 @@ def w9(spark, sf):
 
 @query("w10_prefix_target")
 def w10(spark, sf):
-    from codequarry.functions.columns import ordered_text
-
-    lines = T.explode_lines(X.x_docs(spark, sf), "source").withColumn("text", F.concat(F.col("text")))
-    files = lines.groupBy(F.col("source").alias("path")).agg(ordered_text(F.struct("line_no", "text"), "text").alias("content"))
-    return V.prefix_target(files)
+    return V.prefix_target(X.x_docs(spark, sf).select("path", "content"))
 
 
 @query("t1_order_findings", sql("x_findings", more="f AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN NULL ELSE line END AS l FROM x_findings)", body="SELECT event_id, file, CAST(row_number() OVER (PARTITION BY file ORDER BY coalesce(l, 0), event_id) AS INTEGER) AS place FROM f"))

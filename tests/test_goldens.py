@@ -192,3 +192,18 @@ def test_outside_blocks_and_overlaps(spark):
     assert pairs(joins.outside_blocks(lines, blocks).select("line_no")) == {(1,), (4,), (5,), (7,)}
     ranges = spark.createDataFrame([("p", 1, 1, 5000), ("p", 2, 5001, 5001), ("p", 3, 5003, 9000), ("q", 4, 1, 9)], "path string, id int, start int, end int")
     assert pairs(joins.overlapping_findings(ranges).select("a", "b")) == {(1, 2)}
+
+
+def test_groups_of_documents_stay_small(spark, tmp_path, monkeypatch):
+    from codequarry.queries import linking, tables
+
+    docs = [(k, "\n".join(f"d{k} line {j}" for j in range(250 if k < 3 else 2)), "hot") for k in range(2_500)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = tables.w10(spark, str(tmp_path)).collect()
+    assert sorted((r["path"].split(".")[0], r["k"]) for r in out) == [(f"hot/{d}", k) for d in (1, 2) for k in (1, 2)]  # document 0 is emptied
+    assert all(r["prev"] + "\n" + r["target"] == docs[int(r["path"][4])][1] for r in out)
+    monkeypatch.setattr(linking, "new_path", lambda spark, label: str(tmp_path / label))
+    got = linking.s5(spark, str(tmp_path))
+    assert sorted(int(r["rule"].split("/")[1]) for r in got.collect()) == list(range(2_500))
+    sizes = [r["n"] for r in spark.read.text(str(tmp_path / "rules")).select(F.size(F.split("value", '"errorLocation"')).alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) <= 1_200
