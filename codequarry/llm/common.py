@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +39,47 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-TEXTS_A_BATCH = 1_000
+TEXTS_A_BATCH, BYTES_A_BATCH = 1_000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows that go to Python hold whole texts: no more than TEXTS_A_BATCH at a time.
+    """Rows that go to Python hold whole texts: no more than TEXTS_A_BATCH at a time,
+    nor more than about BYTES_A_BATCH bytes, if not one text alone is longer.
 
-    The session's own bound stays where it is lower.
+    The session's own bounds stay where they are lower.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= TEXTS_A_BATCH:
         spark.conf.set(name, TEXTS_A_BATCH)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(name)) <= BYTES_A_BATCH:
+        spark.conf.set(name, BYTES_A_BATCH)
+
+
+def _bytes(size: str) -> int:
+    """A size such as 64MB or 8388608 as a number of bytes; -1 if it isn't one."""
+    units = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    number = size.strip().rstrip("bkmgBKMG")
+    unit = units.get(size.strip()[len(number) :].lower())
+    return int(number) * unit if unit and number.isdigit() else -1
+
+
+def gives_back(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """task, for mapInArrow and its like, returning its free memory at its end.
+
+    Spark keeps Python workers for later tasks; without this they hold all they ever
+    took, beside the memory of whichever stage runs then.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
 
 
 def width(spark: SparkSession) -> int:

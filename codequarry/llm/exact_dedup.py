@@ -97,9 +97,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup doesn't keep; same columns."""
+    """One row of each normalised text: that with the smallest id; same columns.
+
+    Of rows repeated with one id and text, or without an id, one stays, chosen by a hash
+    of all its columns. They are aggregated before the shuffle, however many there are.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_id"), digest(F.col(text_col)).alias("sha"))
-    return mark_copies(rows, "_id").where("kept").select("row.*")
+    kept = mark_copies(rows, "_id").where("kept")
+    alone = kept.where("group_size = 1").select("row")
+    one = kept.where("group_size > 1").groupBy("sha").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return alone.union(one).select("row.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

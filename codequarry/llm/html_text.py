@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.boosting import Trees, fit
-from codequarry.llm.common import bounded_sample, small_batches, table
+from codequarry.llm.common import bounded_sample, gives_back, small_batches, table
 
 SAMPLE_PAGES, LONGEST_SAMPLED = 400, 200_000  # pages to learn from, and their characters at most
 # Elements by role.
@@ -255,7 +255,7 @@ def extract(pages: DataFrame, trees: Trees, keep: list[str], html_col: str = "ht
 
     small_batches(pages.sparkSession)
     rows = pages.select(*keep, F.col(html_col).alias("_html"))
-    return rows.mapInArrow(texts, rows.drop("_html").schema.add("text", "string").add("n_chars", "long"))
+    return rows.mapInArrow(gives_back(texts), rows.drop("_html").schema.add("text", "string").add("n_chars", "long"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ are few. Seats are found by bisecting the divisor, not by handing out one at a t
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import small_batches, stash, table
+from codequarry.llm.common import gives_back, small_batches, stash, table
 
 BLOCK, SHARD_WORDS, MOST_SHARDS, SEED = 64, 1 << 20, 100_000, 7
 WEIGHTS, SHARE, CEILING = (3, 1, 2), 1.5, 2
@@ -75,22 +76,20 @@ def _quotas(shards: pd.DataFrame, seed: int) -> pd.DataFrame:
     shards: source (null last), shard, words; sorted.
     """
     known = sorted(shards.itertuples(index=False), key=lambda r: (r.source is None, r.source or "", r.shard))
-    order = pd.DataFrame(known, columns=["source", "shard", "words"])
-    names = list(dict.fromkeys(order["source"]))
-    sizes = [int(order.loc[order["source"].isna() if n is None else order["source"] == n, "words"].sum()) for n in names]
+    sources = [(name, list(own)) for name, own in itertools.groupby(known, key=lambda r: r.source)]
+    sizes = [sum(int(r.words) for r in own) for _, own in sources]
     goal = targets(sizes)
     seats = sainte_lague(np.array(goal), round(sum(goal) / BLOCK), np.array([math.floor(CEILING * s / BLOCK) + 1 for s in sizes]))
     rows = []
-    for name, size, target, quota in zip(names, sizes, goal, seats, strict=True):
-        own = order[order["source"].isna() if name is None else order["source"] == name]
-        words = own["words"].to_numpy(np.int64)
+    for (name, own), size, target, quota in zip(sources, sizes, goal, seats, strict=True):
+        words = np.array([r.words for r in own], np.int64)
         blocks = -(-words // BLOCK)
-        for (_, s), n, q in zip(own.iterrows(), blocks.tolist(), sainte_lague(words, int(quota), CEILING * blocks).tolist(), strict=True):
+        for s, n, q in zip(own, blocks.tolist(), sainte_lague(words, int(quota), CEILING * blocks).tolist(), strict=True):
             rng = np.random.default_rng([seed, len(rows)])
             step = int(rng.integers(1, max(2, n)))
             while n > 1 and math.gcd(step, n) != 1:
                 step += 1
-            rows.append((name, int(s["shard"]), size, target, int(n), q, step % max(n, 1), int(rng.integers(0, max(1, n)))))
+            rows.append((name, int(s.shard), size, target, int(n), q, step % max(n, 1), int(rng.integers(0, max(1, n)))))
     return pd.DataFrame(rows, columns=["source", "shard", "source_size", "target", "blocks", "quota", "step", "shift"])
 
 
@@ -162,7 +161,8 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     taken, whole or in excerpts; same columns, n_chars counted anew."""
     small_batches(docs.sparkSession)
     names = docs.columns
-    plan = placed(docs, seed).dropDuplicates(["doc_id", "size"]).select(F.struct("first", "size", "blocks", "quota", "step", "shift").alias("plan"), "doc_id", "size")
+    own = F.struct("first", "size", "blocks", "quota", "step", "shift")
+    plan = placed(docs, seed).groupBy("doc_id", "size").agg(F.min(own).alias("plan"))  # rows of one id and size share the first's
     row = F.struct(*docs.columns).alias("row")  # one column, so that no name of docs can clash
     rows = docs.select(row, F.col("doc_id").alias("row_id"), words_in(F.col("text")).alias("row_size"))
     joined = rows.join(plan, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_size") == F.col("size")))
@@ -180,7 +180,7 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
             columns[at], columns[chars] = pa.array(texts, pa.string()), pa.array([len(t) for t in texts], rows.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select("row", "plan").mapInArrow(takes, docs.schema)
+    return joined.select("row", "plan").mapInArrow(gives_back(takes), docs.schema)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

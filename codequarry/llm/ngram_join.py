@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import small_batches, stash, table
+from codequarry.llm.common import gives_back, small_batches, stash, table
 from codequarry.llm.components import components
 
 N, SHARE = 5, (75, 100)
@@ -158,7 +158,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     small_batches(docs.sparkSession)
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows_.mapInArrow(rows, "doc_id long, n long, fa long, fb long, posted array<long>")
+    return rows_.mapInArrow(gives_back(rows), "doc_id long, n long, fa long, fb long, posted array<long>")
 
 
 def _below(token: Column, size: Column, part: float) -> Column:
@@ -313,7 +313,7 @@ def links(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> Dat
             got = [s.tobytes() for s in shingler.sets([t or "" for t in b.column(3).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.binary())], names=["doc_id", "block", "parts", "members"])
 
-    rows = rows.select("doc_id", "block", "parts", "text").mapInArrow(sets, "doc_id long, block long, parts int, members binary")
+    rows = rows.select("doc_id", "block", "parts", "text").mapInArrow(gives_back(sets), "doc_id long, block long, parts int, members binary")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("block", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "doc_id", "members")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import stash, table
+from codequarry.llm.common import gives_back, small_batches, stash, table
 from codequarry.llm.tokens import END_ID, encoder, tokenizer_path
 
 LENGTH, GRAIN = 4096, 8
@@ -148,7 +148,8 @@ def cut(docs: DataFrame, path: str, lead: bool = False, end_id: int = END_ID, id
                 names = ["doc_id", "doc_tokens", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(pieces, PIECES)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(gives_back(pieces), PIECES)
 
 
 def assign(pieces: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import stash, table, width
+from codequarry.llm.common import gives_back, small_batches, stash, table, width
 from codequarry.llm.tokens import END_ID, encoder, tokenizer_path
 
 MAGIC, RANK_BLOCK, SEGMENT_TOKENS = b"DAC1", 512, 1 << 20
@@ -107,6 +107,7 @@ def write_tokens(docs: DataFrame, path: str, lead: bool, end_id: int = END_ID, l
     Null text counts as empty and holds the end id alone; rows with one id are ordered
     by their text, null ids come first. Other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     part = F.spark_partition_id()
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.repartitionByRange(width(docs.sparkSession), "i").sortWithinPartitions("i", "t").withColumn("part", part)
@@ -135,7 +136,7 @@ def write_tokens(docs: DataFrame, path: str, lead: bool, end_id: int = END_ID, l
         if held:
             yield flush()
 
-    return stash(rows.mapInArrow(segments, SEGMENTS), label)
+    return stash(rows.mapInArrow(gives_back(segments), SEGMENTS), label)
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), "start": pa.array(s.starts[:-1] + base), "n_tokens": pa.array(np.diff(s.starts)), "ids_crc32": pa.array(crc, pa.int64())})
 
     joined = segments.select("part", "seq", "payload").join(starts, ["part", "seq"]).select("base", "payload")
-    return joined.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.mapInArrow(gives_back(documents), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
