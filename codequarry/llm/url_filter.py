@@ -3,13 +3,19 @@
 Features: lengths, depth, digit and hyphen ratios, entropy, numbers of parameters and
 labels, and how often labelled urls of the same suffix (the last label, the last two)
 and with the same host words were blocked. The trees learn from labelled urls: those
-that carry a label column, or, where a table has none as here, weak labels: a host word
-of the seed list blocks. At most SAMPLE_ROWS urls are learnt from.
+that carry a label column, or, where a table has none as here, urls that are labelled by
+what they are made of: each sampled url is clean unless a host word is on a seed list, and
+altered copies of clean ones, with the shapes of junk urls (long hyphenated hosts, runs of
+digits and random letters, deep paths, many parameters), block. Half of the listed words
+are replaced by others in the copies that are learnt from, so that a listed word explains
+only part of the labels, and lexical shape must explain the rest. At most SAMPLE_ROWS urls
+of the table are learnt from.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm.boosting import Trees, fit
-from codequarry.llm.common import bounded_sample, table
+from codequarry.llm.common import bounded_sample, gives_back, table
 
 SAMPLE_ROWS = 8_000
 #: Rules of the contract: (host and path prefix, verdict).
@@ -73,7 +79,7 @@ class Lexical:
                 seen[k] += 1
                 bad[k] += int(b)
         share = float(np.mean(blocked)) if len(urls) else 0.0
-        self.rates = {"": share} | {k: (bad[k] + 2 * share) / (n + 2) for k, n in seen.items()}
+        self.rates = {"": share} | {k: (bad[k] + 8 * share) / (n + 8) for k, n in seen.items()}  # a rare key tells little
 
     def row(self, url: str) -> list[float]:
         host, path, query = self._parts(url)
@@ -84,29 +90,76 @@ class Lexical:
         base = rate("", 0.0)
         return [
             len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / n, sum(c.isdigit() for c in path) / max(1, len(path)), host.count("-"), host.count("."),
-            float(-(counts * np.log2(counts)).sum()) if host else 0.0, query.count("=") , max((len(w) for w in _WORDS.findall(host)), default=0),
+            float(-(counts * np.log2(counts)).sum()) if host else 0.0, query.count("="), max((len(w) for w in _WORDS.findall(host)), default=0),
+            sum(c.isdigit() for c in host), path.count("-") + path.count("_"), len(query), max((len(w) for w in _WORDS.findall(path.lower())), default=0),
             rate(last, base), rate(two, base), max((rate(w, base) for w in words), default=base),
         ]
 
     def matrix(self, urls: list[str]) -> np.ndarray:
-        return np.array([self.row(u) for u in urls], float).reshape(len(urls), 14)
+        return np.array([self.row(u) for u in urls], float).reshape(len(urls), 18)
 
 
-def weak_label(url: str) -> int:
+def listed(url: str) -> int:
+    """1 if a host word is on the seed list."""
     return int(not SEED_WORDS.isdisjoint(_WORDS.findall(Lexical._parts(url)[0])))
 
 
+def altered(url: str, rng: np.random.Generator) -> str:
+    """A junk url of a clean one's scheme and suffix."""
+    host, path, query = Lexical._parts(url)
+    labels = host.split(".")
+    letters, digits = list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")
+    some = lambda n, of: "".join(rng.choice(of, n))
+    syllables = lambda: "".join(some(1, list("bcdfghklmnprstvwz")) + some(1, list("aeiou")) for _ in range(int(rng.integers(2, 4))))
+    kind = rng.integers(4)
+    name = "-".join(syllables() for _ in range(int(rng.integers(2, 6)))) if kind < 2 else some(int(rng.integers(10, 24)), letters + digits) if kind == 2 else syllables() + some(int(rng.integers(3, 8)), digits)
+    at = max(0, len(labels) - 3)
+    host = ".".join([*labels[:at], name, *labels[at + 1 :]]) if len(labels) > 2 else ".".join([name, *labels])
+    if rng.random() < 0.4:
+        path = "/" + "/".join(some(int(rng.integers(4, 12)), letters + digits) for _ in range(int(rng.integers(3, 9))))
+    if rng.random() < 0.4:
+        query = "&".join(f"{some(2, letters)}={some(6, letters + digits)}" for _ in range(int(rng.integers(3, 9))))
+    return f"{url.partition('://')[0]}://{host}{path}" + (f"?{query}" if query else "")
+
+
+def unlisted(url: str, rng: np.random.Generator) -> str:
+    """url with each listed word of its host replaced by a word of like length."""
+    head, sep, rest = url.partition("://")
+    host = Lexical._parts(url)[0]
+    put = _WORDS.sub(lambda m: "".join(rng.choice(list("aeioubdklmnrst"), len(m[0]))) if m[0] in SEED_WORDS else m[0], host)
+    return f"{head}{sep}{put}{rest[len(host):]}"
+
+
+def made_labels(urls: list[str]) -> tuple[list[str], np.ndarray]:
+    """urls with altered copies, and their labels; the same urls give the same copies."""
+    names, y = [], []
+    for u in urls:
+        rng, bad = np.random.default_rng(zlib.crc32(u.encode())), listed(u)
+        names.append(unlisted(u, rng) if bad and rng.random() < 0.5 else u)
+        y.append(bad)
+        if "://" in u and not bad and rng.random() < 0.3:
+            names.append(altered(u, rng))
+            y.append(1)
+    return names, np.array(y, float)
+
+
 def learn(urls: DataFrame, url_col: str = "url", label_col: str | None = None, bound: int = SAMPLE_ROWS) -> tuple[Lexical, Trees]:
-    """Trees from labelled urls (label 1: block); weak labels where label_col is None."""
-    rows = urls.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), (F.col(label_col) if label_col else F.lit(None)).cast("int").alias("label"))
-    rows = rows.groupBy("url").agg(F.max("label").alias("label"))
+    """Trees from labelled urls (label 1: block); labels are made where label_col is None.
+
+    Null urls teach nothing, a url labelled twice counts as its higher label, and a null
+    label leaves its url out.
+    """
+    rows = urls.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), (F.col(label_col) if label_col else F.lit(0)).cast("int").alias("label"))
+    rows = rows.where("label is not null").groupBy("url").agg(F.max("label").alias("label"))
     found = sorted(bounded_sample(rows, F.col("url"), bound).collect())
-    names = [r["url"] for r in found]
-    y = np.array([weak_label(r["url"]) if r["label"] is None else r["label"] for r in found], float)
+    names, y = [r["url"] for r in found], np.array([r["label"] for r in found], float)
+    if label_col is None:
+        names, y = made_labels(names)
     lexical = Lexical()
     # rates come from one half and trees from the other, so that rates aren't trusted blindly
-    lexical.learn(names[::2], y[::2])
-    return lexical, fit(lexical.matrix(names[1::2]), y[1::2], rounds=30, depth=4)
+    half = np.array([zlib.crc32(u.encode()) % 2 for u in names], bool) if names else np.zeros(0, bool)
+    lexical.learn([u for u, h in zip(names, half, strict=True) if h], y[half])
+    return lexical, fit(lexical.matrix([u for u, h in zip(names, half, strict=True) if not h]), y[~half], rounds=40, depth=4)
 
 
 def judge(urls: DataFrame, model: tuple[Lexical, Trees], keep: list[str], url_col: str = "url", rules=RULES) -> DataFrame:
@@ -127,7 +180,7 @@ def judge(urls: DataFrame, model: tuple[Lexical, Trees], keep: list[str], url_co
     url = F.col(url_col)
     rows = urls.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"), url.alias("_url"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).select(*keep, "host", "path", "rule", "_url")
-    out = rows.mapInArrow(scores, rows.drop("_url").schema.add("score", "double"))
+    out = rows.mapInArrow(gives_back(scores), rows.drop("_url").schema.add("score", "double"))
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     ruled = F.create_map(*[F.lit(x) for r in rules for x in r])[F.col("rule")]
     return out.select(*keep, "host", "path", "rule", F.when(F.col("rule").isNotNull(), ruled).otherwise(own).alias("verdict"), "score")

@@ -1,4 +1,9 @@
+import re
+import time
+from html.parser import HTMLParser
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codequarry.llm import boosting, html_text, topk_search, url_filter
@@ -17,13 +22,97 @@ def test_html_text(spark):
     df = pages(spark)
     trees = html_text.learn(df)
     out = {r["page_id"]: r for r in html_text.extract(df, trees, ["page_id", "url"]).collect()}
-    assert out[7]["text"] == "A title&\nFirst text of some length here.\nSecond 7, which is longer than the first one."
+    assert out[7]["text"] == "A title&\n\nFirst text of some length here.\n\nSecond 7, which is longer than the first one."
     assert out[7]["n_chars"] == len(out[7]["text"])
     assert out[200]["text"] == out[201]["text"] == "" and out[203]["n_chars"] == 0
     assert html_text.extract(df.where("false"), trees, ["page_id"]).count() == 0
     assert len(html_text.learn(df.where("false")).features)
 
 
+class Article(HTMLParser):
+    """The text blocks of the article element, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+        self.feed(page)
+        self.text = "\n\n".join(t for b in self.blocks if (t := re.sub(r"\s+", " ", b).strip()))
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in html_text.BLOCKS:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in html_text.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+@pytest.fixture(scope="module")
+def site(spark):
+    """Pages to test on, and trees that were learnt from the other half."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    trees = html_text.learn(rows.where("page_id % 2 = 0"))
+    return [r["html"] for r in rows.where("page_id % 2 = 1").collect()], trees
+
+
+CLOUD = " ".join(f"<a href='/t/{k}'>tag{k}</a>" for k in range(30))
+CHANGES = {
+    "as it is": lambda h: h,
+    "container without a telling name": lambda h: h.replace("<article>", "<div id='primary'>").replace("</article>", "</div>"),
+    "no container": lambda h: h.replace("<article>", "").replace("</article>", ""),
+    "misleading name": lambda h: h.replace("<article>", "<div class='page-with-sidebar'>").replace("</article>", "</div>"),
+    "misleading wrapper": lambda h: h.replace("<body>", "<body><div class='legal form side'>").replace("</body>", "</div></body>"),
+    "menu without a telling name": lambda h: h.replace("<nav>", "<div class='topbar'>").replace("</nav>", "</div>"),
+    "foot without a telling name": lambda h: h.replace("<footer>", "<div class='f'>").replace("</footer>", "</div>"),
+    "cloud of links": lambda h: h.replace("</article>", f"</article><div class='tagcloud'>{CLOUD}</div>"),
+    "comments": lambda h: h.replace("</article>", "</article><section id='comments'><div><p>Thank you for it!</p></div><div><p>" + "I agree. " * 40 + "</p></div></section>"),
+    "comments within": lambda h: h.replace("</article>", "<div class='comments'><div><p>Thank you!</p></div><p>" + "I agree. " * 40 + "</p></div></article>"),
+    "forms and asides within": lambda h: h.replace("</h1>", "</h1><aside>Not the text</aside><form><p>Sign up</p><input></form>"),
+}
+
+
+@pytest.mark.parametrize("change", CHANGES)
+def test_html_text_agrees_with_the_article_on_other_pages(site, change):
+    pages, trees = site
+    right = 0
+    for source in pages:
+        page = html_text.Page(CHANGES[change](source))
+        right += html_text.text_of(page, html_text.decode(page, trees.margin(html_text.features(page.nodes)))) == Article(source).text
+    assert right >= (0.99 if change == "as it is" else 0.95) * len(pages)
+
+
+def test_html_trees_use_shape_and_not_names_alone(site):
+    trees = site[1]
+    used = set(trees.features[np.isfinite(trees.thresholds)].tolist())
+    assert len(used) >= 12 and used & set(range(7, 28))
+
+
+@pytest.mark.parametrize("bad", ['<a href="x ', "<div>", "</span>", "<b><p>", "<a \"'>x", "<", "<!--", "<td>", "&", "<script>", '<a "'])
+def test_html_is_parsed_in_one_pass(bad):
+    took = []
+    for n in (20_000, 80_000):
+        start = time.process_time()
+        html_text.Page("<div>" * n + bad * n)
+        html_text.Page(bad * n + ">")
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0] + 0.5  # four times the input
+
+
+def test_html_tags():
+    names = lambda h: [(n, c) for _, _, n, c, _ in html_text.tags(h)]
+    assert names("<p a='>'>x</P ><!-- <b> --><i>y<br/>") == [("p", False), ("p", True), ("", False), ("i", False), ("br", False)]
+    assert names("1 < 2 <b>") == [("b", False)] and names("<script>'<p>'</script><p>") == [("script", False), ("script", True), ("p", False)]
+    assert names('<a title="x>y') == [("a", False)] and names("<a title=x") == []
+
+
 def test_html_decoding_is_hierarchical():
     page = html_text.Page("<div><p>a</p><p>b</p></div><div><p>c</p></div>")
     keep = html_text.decode(page, np.array([1.0, -5.0, 1.0, 1.0, -1.0, 3.0]))
@@ -42,6 +131,34 @@ def test_url_rules_and_trees(spark):
     assert url_filter.judge(df.where("false"), url_filter.learn(df.where("false")), ["page_id"]).count() == 0
 
 
+def test_url_verdicts_agree_with_brute_force(spark):
+    df = pages(spark)
+    model = url_filter.learn(df)
+    for r in url_filter.judge(df.select("page_id", F.col("url"), F.col("url").alias("u")), model, ["page_id", "u"]).collect():
+        rest = (r["u"] or "").partition("://")[2]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(x), x, v) for x, v in url_filter.RULES if ("." + host).endswith("." + x.partition("/")[0]) and path.startswith("/" + x.partition("/")[2])]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits)[1] if fits else None)
+        assert not fits or r["verdict"] == max(fits)[2]
+
+
+def test_url_trees_go_beyond_the_list(spark):
+    urls = sorted({r["url"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect() if r["url"]})
+    rng = np.random.default_rng(4)
+    lexical, trees = url_filter.learn(spark.createDataFrame([(u,) for u in urls[::2]], "url string"))
+    blocked = lambda us: trees.margin(lexical.matrix(us)) > 0
+    held = urls[1::2]
+    listed = np.array([url_filter.listed(u) for u in held], bool)
+    assert (blocked(held) == listed).mean() > 0.98
+    assert blocked([url_filter.unlisted(u, rng) for u, y in zip(held, listed, strict=True) if y]).mean() > 0.9
+    assert blocked([url_filter.altered(u, rng) for u, y in zip(held, listed, strict=True) if not y]).mean() > 0.9
+    assert len(set(trees.features[np.isfinite(trees.thresholds)].tolist())) >= 5
+    asked = spark.createDataFrame([(u, int("s" in u)) for u in urls[:400]] + [(None, 1), (urls[0], None)], "url string, y int")
+    assert len(url_filter.learn(asked, label_col="y")[1].features)
+
+
 def test_trees_learn_on_held_out_rows():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4_000, 6))
