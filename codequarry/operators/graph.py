@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from codequarry.plans.fixpoint import fixpoint, stored
 
 
+HOPS, MOST_JUMPS = 16, 8
+
+
 def connected_components(edges: DataFrame, max_iter: int = 100) -> DataFrame:
     """id, component (its smallest id), for the nodes of edges (src, dst), undirected.
 
@@ -56,11 +59,33 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, key: tuple = ()) -> DataFrame:
     """key, root, node: all nodes that start (key, root, node) reaches, itself included.
 
-    edges (key, src, dst); key columns keep many graphs apart.
+    edges (key, src, dst); key columns keep many graphs apart. The first HOPS rounds go
+    edge by edge. Where paths are longer, as in chains, the edges are squared until one
+    stands for HOPS steps, and each further round doubles the length that is covered. If
+    these jumps grow past MOST_JUMPS for each edge, the rest goes edge by edge.
     """
-    e = edges.select(*key, F.col("src").alias("node"), F.col("dst").alias("_to"))
+    e = stored(edges.select(*key, F.col("src").alias("node"), F.col("dst").alias("_to")).distinct())
     names = [*key, "root", "node"]
-    return fixpoint(start.select(names), lambda d, _: d.join(e, [*key, "node"]).select(*key, "root", F.col("_to").alias("node")), names)
+
+    def along(rows: DataFrame, steps: DataFrame) -> DataFrame:
+        return rows.join(steps, [*key, "node"]).select(*key, "root", F.col("_to").alias("node"))
+
+    def squared(steps: DataFrame) -> DataFrame:
+        first = steps.withColumnsRenamed({"node": "_from", "_to": "node"})
+        return stored(first.join(steps, [*key, "node"]).select(*key, F.col("_from").alias("node"), "_to").distinct())
+
+    known = fixpoint(start.select(names), lambda d, _: along(d, e), names, HOPS)
+    jumps, width, most = e, 1, None
+    while True:
+        new = stored(along(known, jumps).distinct().join(known, names, "left_anti").select(names)) if width == 1 or width >= HOPS else None
+        if new is not None and new.isEmpty():
+            return known
+        if new is not None:
+            known = stored(known.union(new))
+        most = e.count() * MOST_JUMPS if most is None else most
+        jumps, width = squared(jumps), 2 * width
+        if jumps.count() > most:
+            return fixpoint(known, lambda d, _: along(d, e), names)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -71,17 +96,15 @@ def closure(edges: DataFrame) -> DataFrame:
 def _least_before(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, label: the smallest node that reaches each node (itself included)."""
     e = edges.select(F.col("src").alias("id"), F.col("dst").alias("_to"))
-    labels = stored(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(1000):
-        came = labels.join(e, "id").groupBy(F.col("_to").alias("id")).agg(F.min("label").alias("_came"))
-        both = stored(labels.join(came, "id", "left").select("id", F.least("label", F.coalesce("_came", "label")).alias("label"), (F.col("_came") < F.col("label")).alias("_new")))
-        labels = both.drop("_new")
-        if both.where("_new").isEmpty():
-            return labels
-    raise RuntimeError("labels did not settle")
+    labels = changed = stored(nodes.select("id", F.col("id").alias("label")))
+    while not changed.isEmpty():  # labels only fall; only those that fell are sent on
+        came = changed.join(e, "id").groupBy(F.col("_to").alias("id")).agg(F.min("label").alias("_came"))
+        both = stored(labels.join(came, "id", "left").select("id", F.least("label", F.coalesce("_came", "label")).alias("label"), F.coalesce(F.col("_came") < F.col("label"), F.lit(False)).alias("_new")))
+        labels, changed = both.drop("_new"), both.where("_new").drop("_new")
+    return labels
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 1000) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, scc (its smallest node), in_cycle.
 
     Nodes without a live predecessor or successor are trimmed, each its own component.
@@ -91,7 +114,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 1000)
     loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
     all_edges = stored(edges.where("src <> dst").select("src", "dst").distinct())
     live, live_edges, done = stored(nodes.select("id").distinct()), all_edges, None
-    for _ in range(max_iter):
+    while True:  # each round takes at least one component out
         while True:
             kept = live.join(live_edges.select(F.col("dst").alias("id")), "id", "left_semi").join(live_edges.select(F.col("src").alias("id")), "id", "left_semi")
             kept = stored(kept)
@@ -122,8 +145,13 @@ def condense_topo(components: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.join(c.select(F.col("id").alias("src"), F.col("scc").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("scc").alias("b")), "dst")
     e = stored(e.where("a <> b").select("a", "b").distinct())
     seed = c.select("scc", F.lit(0).alias("level")).distinct()
-    walk = fixpoint(seed, lambda d, _: d.join(e, F.col("scc") == F.col("a")).select(F.col("b").alias("scc"), (F.col("level") + 1).alias("level")), ["scc", "level"])
-    return walk.groupBy("scc").agg(F.max("level").alias("level"))
+    levels = raised = stored(seed)
+    while not raised.isEmpty():  # a component's level only rises, and never past their number
+        came = raised.join(e, F.col("scc") == F.col("a")).groupBy("b").agg(F.max(F.col("level") + 1).alias("_came"))
+        both = levels.join(came, F.col("scc") == F.col("b"), "left")
+        both = stored(both.select("scc", F.greatest("level", F.coalesce("_came", "level")).alias("level"), F.coalesce(F.col("_came") > F.col("level"), F.lit(False)).alias("_up")))
+        levels, raised = both.drop("_up"), both.where("_up").drop("_up")
+    return levels
 
 
 def unreachable_blocks(blocks: DataFrame, cfg: DataFrame, start: int = 1) -> DataFrame:
@@ -250,6 +278,17 @@ def assemble_component_tree(ops: DataFrame) -> DataFrame:
     return both.withColumn("parent", last).where("_own").select("root", "ord", "name", "depth", "parent")
 
 
+def dependency_order(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """root, node, hops: the files that each start file (id) needs, and over how few imports.
+
+    edges: src imports dst. Only shortest distances are kept, so rings end too.
+    """
+    e = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct())
+    seed = start.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("hops"))
+    # rounds are hops, so the first row of a pair is the nearest
+    return fixpoint(seed, lambda d, _: d.join(e, "node").select("root", F.col("_to").alias("node"), (F.col("hops") + 1).alias("hops")), ["root", "node"])
+
+
 def import_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Files that import each other in a ring: id, scc."""
     return strong_components(nodes, edges).where("in_cycle").select("id", "scc")

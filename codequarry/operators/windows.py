@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codequarry.operators.text import with_balance
+from codequarry.plans.fixpoint import stored
 
 
 def dedup_findings(findings: DataFrame, key: tuple = ("path", "rule", "line"), order: str = "event_id") -> DataFrame:
@@ -21,10 +22,11 @@ def first_per_rule(findings: DataFrame, group: str, order: tuple) -> DataFrame:
 def global_rank(rows: DataFrame, *order: str) -> DataFrame:
     """rows with rn from 1 in a total order, without sorting in one task.
 
-    Rows are dealt by range; each part is numbered, and parts' sizes are summed.
+    Rows are dealt by range; each part is numbered, and parts' sizes are summed. The
+    numbered rows are stored, so that both uses see the same parts.
     """
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1)
+    parts = stored(parts.withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1), "ranked")
     sizes = parts.groupBy("_part").count()
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
     offsets = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))

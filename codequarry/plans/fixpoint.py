@@ -6,6 +6,7 @@ lineage stays short and a lost executor costs one round's tasks at most.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -33,19 +34,27 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], key: list[str], max_iter: int = 200) -> DataFrame:
+MERGED = 40
+
+
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], key: list[str], rounds: int | None = None) -> DataFrame:
     """All rows that seed and step give; step(delta, all) is fed only the newest rows.
 
-    key: the columns by which a row counts as known. Raises if it doesn't settle.
+    key: the columns by which a row counts as known. There is no cap: each round finds new
+    rows or is the last, so a step over a finite set of keys ends. With ``rounds`` it stops
+    after so many. Every MERGED rounds the tables become one, so that few files are read.
     """
     spark, root, paths = seed.sparkSession, new_path(seed.sparkSession, "fixpoint"), []
+    read = lambda *p: spark.read.schema(seed.schema).parquet(*p)
     new = seed.dropDuplicates(key)
-    for k in range(max_iter):
+    for k in itertools.count():
         paths.append(f"{root}/{k}")
         new.write.parquet(paths[-1])
-        delta = spark.read.schema(seed.schema).parquet(paths[-1])
-        everything = spark.read.schema(seed.schema).parquet(*paths)
-        if delta.isEmpty():
-            return everything
+        delta = read(paths[-1])
+        if delta.isEmpty() or k == rounds:
+            return read(*paths)
+        if len(paths) > MERGED:
+            read(*paths).write.parquet(f"{root}/to-{k}")
+            paths = [f"{root}/to-{k}"]
+        everything = read(*paths)
         new = step(delta, everything).select(seed.columns).dropDuplicates(key).join(everything.select(*key), key, "left_anti").select(seed.columns)
-    raise RuntimeError(f"no fixpoint after {max_iter} rounds")

@@ -67,10 +67,11 @@ def g4b(spark, sf):
     return G.condense_topo(G.strong_components(X.x_nodes(spark, sf), e), e)
 
 
-@query("g5_reachable", sql("x_edges_full", recursive=True, more="w AS (SELECT src AS root, src AS node FROM x_edges_full WHERE src < 5 UNION SELECT root, dst FROM w JOIN x_edges_full ON src = node)", body="SELECT root, node FROM w"))
+@query("g5_reachable", sql("x_edges_full", recursive=True, more="w AS (SELECT src AS root, src AS node FROM x_edges_full WHERE src IN (SELECT c_custkey FROM customer WHERE c_acctbal < -950) UNION SELECT root, dst FROM w JOIN x_edges_full ON src = node)", body="SELECT root, node FROM w"))
 def g5(spark, sf):
     e = X.x_edges_full(spark, sf)
-    start = e.where("src < 5").select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()
+    asked = X.table(spark, sf, "customer").where("c_acctbal < -950").select(F.col("c_custkey").alias("src"))
+    start = e.join(asked, "src", "left_semi").select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()
     return G.reachable(e, start)
 
 
@@ -185,17 +186,39 @@ def g28(spark, sf):
     return G.assemble_component_tree(X.x_tree_ops(spark, sf))
 
 
+# a page's links lead to other pages by their numbers
+IMPORTED = "e AS (SELECT DISTINCT file AS src, CASE WHEN ord % 2 = 0 THEN target ELSE (file * 3 + ord) % (SELECT count(*) FROM pages) END AS dst FROM x_imports)"
+
+
+def imported(spark, sf):
+    n = X.table(spark, sf, "pages").count()
+    return X.x_imports(spark, sf).select(F.col("file").alias("src"), F.when(F.col("ord") % 2 == 0, F.col("target")).otherwise((F.col("file") * 3 + F.col("ord")) % n).alias("dst")).distinct()
+
+
+@query(
+    "g31_dependency_order",
+    sql(
+        "x_imports",
+        recursive=True,
+        more=IMPORTED + ", w AS (SELECT page_id AS root, page_id AS node, 0 AS hops FROM pages WHERE url LIKE '%#top' UNION SELECT root, dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 40)",
+        body="SELECT root, node, min(hops) AS hops FROM w GROUP BY root, node",
+    ),
+)
+def g31_order(spark, sf):
+    start = X.table(spark, sf, "pages").where("url like '%#top'").select(F.col("page_id").alias("id"))
+    return G.dependency_order(imported(spark, sf), start)
+
+
 @query(
     "g31_import_cycles",
     sql(
         "x_imports",
         recursive=True,
-        more="e AS (SELECT DISTINCT file AS src, CASE WHEN ord % 2 = 0 THEN target ELSE (file * 3 + ord) % 60 END AS dst FROM x_imports WHERE file < 60), w AS (SELECT src AS r, dst AS v FROM e UNION SELECT r, dst FROM w JOIN e ON src = v)",
+        more=IMPORTED + ", w AS (SELECT src AS r, dst AS v FROM e UNION SELECT r, dst FROM w JOIN e ON src = v)",
         body="SELECT a.r AS id, min(a.v) AS scc FROM w a JOIN w b ON a.r = b.v AND a.v = b.r GROUP BY a.r",
     ),
 )
 def g31(spark, sf):
-    i = X.x_imports(spark, sf).where("file < 60")
-    e = i.select(F.col("file").alias("src"), F.when(F.col("ord") % 2 == 0, F.col("target")).otherwise((F.col("file") * 3 + F.col("ord")) % 60).alias("dst")).distinct()
+    e = imported(spark, sf)
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     return G.import_cycles(e, nodes)

@@ -269,12 +269,12 @@ def c6(spark, sf):
     sql(
         "x_ranges",
         recursive=True,
-        more=f"r2 AS (SELECT path, id // 2 AS f, start, \"end\" FROM x_ranges WHERE id < 3000), ed AS (SELECT DISTINCT a.f AS s, b.f AS d FROM r2 a JOIN r2 b ON a.path = b.path AND a.f <> b.f AND {MEET}), w AS (SELECT DISTINCT f AS s, f AS d FROM r2 UNION SELECT w.s, ed.d FROM w JOIN ed ON ed.s = w.d)",
+        more=f"r2 AS (SELECT path, id // 2 AS f, start, \"end\" FROM x_ranges), ed AS (SELECT DISTINCT a.f AS s, b.f AS d FROM r2 a JOIN r2 b ON a.path = b.path AND a.f <> b.f AND {MEET}), w AS (SELECT DISTINCT f AS s, f AS d FROM r2 UNION SELECT w.s, ed.d FROM w JOIN ed ON ed.s = w.d)",
         body="SELECT s AS id, min(d) AS group_id FROM w GROUP BY s",
     ),
 )
 def c6_multi(spark, sf):
-    r = X.x_ranges(spark, sf).where("id < 3000").withColumn("id", F.floor(F.col("id") / 2))
+    r = X.x_ranges(spark, sf).withColumn("id", F.floor(F.col("id") / 2))
     return C.group_multi_range(r)
 
 

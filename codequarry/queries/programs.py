@@ -46,26 +46,29 @@ def g14(spark, sf):
     return subs(spark, sf)
 
 
-TARGETS = SUBS + ", ta AS (SELECT s.site, s.caller, m.class AS callee FROM x_sites s JOIN sb ON sb.class = s.declared JOIN x_methods m ON m.class = sb.sub AND m.name = s.name AND NOT m.abstract JOIN x_classes c ON c.class = m.class AND NOT c.abstract WHERE s.site % 40 < 4)"
+TARGETS = SUBS + ", ta AS (SELECT s.site, s.caller, m.class AS callee FROM x_sites s JOIN sb ON sb.class = 'n' || CAST(s.site % 25 AS VARCHAR) JOIN x_methods m ON m.class = sb.sub AND m.name = s.name AND NOT m.abstract JOIN x_classes c ON c.class = m.class AND NOT c.abstract)"
 
 
 def found(spark, sf):
-    sites = X.x_sites(spark, sf).where("site % 40 < 4")
+    """All sites; each declares the nation that its region was taken from."""
+    sites = X.x_sites(spark, sf).withColumn("declared", F.concat(F.lit("n"), (F.col("site") % 25).cast("string")))
     return K.targets(sites, subs(spark, sf), X.x_classes(spark, sf), X.x_methods(spark, sf))
 
 
 def entries(spark, sf):
-    return X.x_classes(spark, sf).where(F.col("class").isin(*[f"c{k}" for k in range(40)])).select("class")
+    """Classes of customers with a balance below 0: a fixed share, whatever the table's size."""
+    c = X.table(spark, sf, "customer").where("c_acctbal < 0")
+    return c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("class"))
 
 
-@query("g15_calls_by_hierarchy", sql("x_classes", "x_extends", "x_sites", "x_methods", recursive=True, more=TARGETS + ", re AS (SELECT class FROM x_classes WHERE class IN (SELECT 'c' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey < 40) UNION SELECT callee FROM re JOIN ta ON ta.caller = re.class)", body="SELECT site, caller, callee FROM ta WHERE caller IN (SELECT class FROM re)"))
+@query("g15_calls_by_hierarchy", sql("x_classes", "x_extends", "x_sites", "x_methods", recursive=True, more=TARGETS + ", re AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS class FROM customer WHERE c_acctbal < 0 UNION SELECT callee FROM re JOIN ta ON ta.caller = re.class)", body="SELECT site, caller, callee FROM ta WHERE caller IN (SELECT class FROM re)"))
 def g15(spark, sf):
     return K.calls_by_hierarchy(found(spark, sf), entries(spark, sf)).select("site", "caller", "callee")
 
 
 # methods and classes are reached together: keyed recursion, since each step reads all so far
 INSTANTIATED = TARGETS + """, cr AS (SELECT DISTINCT caller, creates AS class FROM x_sites), st(item, kind, k) USING KEY (item, kind) AS (
-    SELECT class, 'method', 0 FROM x_classes WHERE class IN (SELECT 'c' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey < 40)
+    SELECT 'c' || CAST(c_custkey AS VARCHAR), 'method', 0 FROM customer WHERE c_acctbal < 0
     UNION SELECT item, kind, 1 FROM (SELECT cr.class AS item, 'class' AS kind FROM recurring.st s JOIN cr ON cr.caller = s.item WHERE s.kind = 'method'
         UNION SELECT t.callee, 'method' FROM ta t JOIN recurring.st a ON a.kind = 'method' AND a.item = t.caller JOIN recurring.st b ON b.kind = 'class' AND b.item = t.callee) x
     WHERE NOT EXISTS (SELECT 1 FROM recurring.st r WHERE r.item = x.item AND r.kind = x.kind))"""
@@ -87,20 +90,20 @@ def g16(spark, sf):
         more=SUBS,
         body="""SELECT DISTINCT class, name FROM x_methods m WHERE name IN ('BUILDING', 'MACHINERY') AND class IN (SELECT 'c' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 9 = 0)
         OR name IN ('BUILDING', 'MACHINERY') AND class IN (SELECT sub FROM sb WHERE class = 'n3') OR name = 'FURNITURE' AND class IN (SELECT 'c' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 5 = 0)
-        OR class IN (SELECT 'c' || CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey < 50)""",
+        OR class IN (SELECT 'c' || CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P')""",
     ),
 )
 def g17(spark, sf):
     c, o = X.table(spark, sf, "customer"), X.table(spark, sf, "orders")
     name = lambda col: F.concat(F.lit("c"), F.col(col).cast("string")).alias("class")
-    handlers = o.where("o_orderkey < 50").select(name("o_custkey")).distinct().join(X.x_methods(spark, sf).select("class", "name"), "class")
+    handlers = o.where("o_orderstatus = 'P'").select(name("o_custkey")).distinct().join(X.x_methods(spark, sf).select("class", "name"), "class")
     bases = X.x_classes(spark, sf).where("class = 'n3'").select("class")
     return K.program_entries(X.x_methods(spark, sf), c.where("c_custkey % 9 = 0").select(name("c_custkey")), subs(spark, sf), bases, c.where("c_custkey % 5 = 0").select(name("c_custkey")), handlers, F.col("name").isin("BUILDING", "MACHINERY"), F.col("name") == "FURNITURE")
 
 
 def procedures(spark, sf):
     """Relations over the stand-in methods: method m's second block calls method m + 1."""
-    s, e = X.x_stmts(spark, sf).where("method < 4000"), X.x_cfg(spark, sf).where("method < 4000")
+    s, e = X.x_stmts(spark, sf), X.x_cfg(spark, sf)
     node = lambda m, b: (m * 1000 + b).cast("long")
     m, b = F.col("method"), F.col("block")
     rows = s.join(e.select("method", F.col("src").alias("block"), "dst"), ["method", "block"])
@@ -121,7 +124,7 @@ def procedures(spark, sf):
     return seeds, normal.union(past), calls, returns, starts
 
 
-PROCEDURES = """ps AS (SELECT * FROM x_stmts WHERE method < 4000), pc AS (SELECT * FROM x_cfg WHERE method < 4000), pf AS (SELECT s.*, c.dst, f.fact FROM ps s JOIN pc c ON c.method = s.method AND c.src = s.block, (VALUES ('v0'), ('v1'), ('v2')) f(fact)),
+PROCEDURES = """ps AS (SELECT * FROM x_stmts), pc AS (SELECT * FROM x_cfg), pf AS (SELECT s.*, c.dst, f.fact FROM ps s JOIN pc c ON c.method = s.method AND c.src = s.block, (VALUES ('v0'), ('v1'), ('v2')) f(fact)),
     no AS (SELECT method * 1000 + block AS node, fact, method * 1000 + dst AS t, fact AS ft FROM pf WHERE def <> fact UNION SELECT method * 1000 + block, fact, method * 1000 + dst, def FROM pf WHERE block <> 2 AND use = fact),
     si AS (SELECT * FROM ps WHERE block = 2 AND method + 1 IN (SELECT method FROM ps)), ca AS (SELECT method * 1000 + 2 AS node, use AS fact, (method + 1) * 1000 + 1 AS start FROM si),
     rt AS (SELECT (si.method + 1) * 1000 + l.last AS node, 'v1' AS fact, si.method * 1000 + 2 AS call, si.method * 1000 + c.dst AS t, si.def AS ft FROM si JOIN pc c ON c.method = si.method AND c.src = 2 JOIN (SELECT method, max(block) AS last FROM ps GROUP BY method) l ON l.method = si.method + 1),
@@ -191,10 +194,11 @@ def g23(spark, sf):
     return L.may_alias(pairs, copied(spark, sf))
 
 
-@query("g24_related_values", sql("x_edges_half", recursive=True, more="s AS (SELECT src AS a, dst AS b FROM x_edges_half UNION SELECT dst, src FROM x_edges_half), w AS (SELECT a AS root, a AS node FROM s WHERE a < 40 UNION SELECT root, b FROM w JOIN s ON a = node)", body="SELECT root, node FROM w"))
+@query("g24_related_values", sql("x_edges_half", recursive=True, more="s AS (SELECT src AS a, dst AS b FROM x_edges_half UNION SELECT dst, src FROM x_edges_half), w AS (SELECT a AS root, a AS node FROM s WHERE a IN (SELECT c_custkey FROM customer WHERE c_acctbal < -950) UNION SELECT root, b FROM w JOIN s ON a = node)", body="SELECT root, node FROM w"))
 def g24(spark, sf):
     e = X.x_edges_half(spark, sf)
-    ids = e.select(F.col("src").alias("id")).union(e.select("dst")).where("id < 40").distinct()
+    asked = X.table(spark, sf, "customer").where("c_acctbal < -950").select(F.col("c_custkey").alias("id"))
+    ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().join(asked, "id", "left_semi")
     return L.related_values(e, ids)
 
 
@@ -221,10 +225,10 @@ def g26(spark, sf):
     return L.storage_links(X.table(spark, sf, "events").select(call.alias("call"), key.alias("key"), F.concat(F.lit("v"), (i % 31).cast("string")).alias("value"), F.concat(F.lit("l"), (i % 4001).cast("string")).alias("local")))
 
 
-@query("g29_state_dependencies", sql("x_edges_half", recursive=True, more="w AS (SELECT 'p' || CAST(c_custkey AS VARCHAR) AS root, c_custkey AS node FROM customer WHERE c_custkey < 60 UNION SELECT root, dst FROM w JOIN x_edges_half ON src = node)", body="SELECT root AS component, node AS state FROM w WHERE node % 3 = 0"))
+@query("g29_state_dependencies", sql("x_edges_half", recursive=True, more="w AS (SELECT 'p' || CAST(c_custkey AS VARCHAR) AS root, c_custkey AS node FROM customer WHERE c_acctbal < -950 UNION SELECT root, dst FROM w JOIN x_edges_half ON src = node)", body="SELECT root AS component, node AS state FROM w WHERE node % 3 = 0"))
 def g29(spark, sf):
     c = X.table(spark, sf, "customer")
-    parts = c.where("c_custkey < 60").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("component"), F.col("c_custkey").alias("node"))
+    parts = c.where("c_acctbal < -950").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("component"), F.col("c_custkey").alias("node"))
     return L.state_dependencies(X.x_edges_half(spark, sf), parts, c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("node")))
 
 

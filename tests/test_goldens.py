@@ -207,3 +207,35 @@ def test_groups_of_documents_stay_small(spark, tmp_path, monkeypatch):
     assert sorted(int(r["rule"].split("/")[1]) for r in got.collect()) == list(range(2_500))
     sizes = [r["n"] for r in spark.read.text(str(tmp_path / "rules")).select(F.size(F.split("value", '"errorLocation"')).alias("n")).collect()]
     assert len(sizes) > 1 and max(sizes) <= 1_200
+
+
+def test_total_order_keeps_all_rows_over_many_parts(spark):
+    """Wide rows and a small advisory size, which made uses of one plan see other parts."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(30_000, numPartitions=24).select((F.col("id") * 7919 % 30_011).alias("k"), F.repeat(F.col("id").cast("string"), 20).alias("wide"))
+        out = windows.global_rank(rows.repartition(48), "k").select("k", "rn").toPandas().sort_values("k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert out["rn"].tolist() == list(range(1, 30_001))
+
+
+def test_reachability_follows_long_chains(spark):
+    n = 1_500
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    start = spark.createDataFrame([(0, 0), (1_490, 1_490)], "root long, node long")
+    found = {(r["root"], r["c"], r["m"]) for r in graph.reachable(chain, start).groupBy("root").agg(F.countDistinct("node").alias("c"), F.max("node").alias("m")).collect()}
+    assert found == {(0, n + 1, n), (1_490, 11, n)}
+
+
+def test_reachability_goes_on_when_jumps_grow(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_JUMPS", 0)
+    chain = spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    start = spark.createDataFrame([(0, 0)], "root long, node long")
+    assert graph.reachable(chain, start).count() == 31
+
+
+def test_dependency_order_gives_the_fewest_imports(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 1), (4, 1)], "src long, dst long")
+    out = graph.dependency_order(edges, spark.createDataFrame([(1,)], "id long"))
+    assert sorted(map(tuple, out.select("root", "node", "hops").collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 1)]
