@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codequarry.functions.columns import ordered_text
-from codequarry.operators.joins import overlapping_findings, with_rule_meta
+from codequarry.operators.joins import held_in, overlapping_findings, with_rule_meta
 from codequarry.operators.text import identifiers_at
-from codequarry.operators.windows import block_end, merge_ranges
+from codequarry.operators.windows import block_end, merge_ranges, next_place
 
 #: Names that begin a block of interest.
 HEAD = r"(for|if|while|ForEach|LazyForEach|List|ListItem|Grid|Flex|Column|Row|Stack|Scroll|Swiper|TabContent|Panel|Navigation|RelativeContainer|WaterFlow|\.on\w+|aboutToReuse)\s*.*\{"
@@ -19,11 +19,9 @@ GAP = "\n// ...\n"
 def enclosing_block(findings: DataFrame, lines: DataFrame, head: Column | None = None) -> DataFrame:
     """findings with start, end: the outermost block that holds the line, else the line."""
     blocks = block_end(lines, F.col("text").rlike(HEAD) if head is None else head)
-    near = findings.select("path", "line").distinct()
-    held = near.join(blocks, "path").where(F.col("line").between(F.col("head"), F.col("end")))
-    outer = held.groupBy("path", "line").agg(F.min(F.struct("head", "end")).alias("b"))
+    outer = held_in(findings, blocks).select("path", "line", F.struct("head", "end").alias("_b"))
     rows = findings.join(outer, ["path", "line"], "left")
-    return rows.withColumns({"start": F.coalesce("b.head", "line"), "end": F.coalesce("b.end", "line")}).drop("b")
+    return rows.withColumns({"start": F.coalesce("_b.head", "line"), "end": F.coalesce("_b.end", "line")}).drop("_b")
 
 
 def related_lines(findings: DataFrame, lines: DataFrame) -> DataFrame:
@@ -53,7 +51,10 @@ def indent_blocks(lines: DataFrame, is_head: Column) -> DataFrame:
     rows = lines.withColumn("indent", indent)
     heads = rows.where(is_head).select("path", F.col("line_no").alias("head"), F.col("indent").alias("own"))
     stops = rows.where(F.trim("text") != "").select("path", "line_no", "indent")
-    cut = heads.join(stops, "path").groupBy("path", "head").agg(F.min(F.when((F.col("line_no") > F.col("head")) & (F.col("indent") <= F.col("own")), F.col("line_no"))).alias("stop"))
+    # for each depth that a file has, at most the head's own, the next line of that depth
+    asked = heads.join(stops.select("path", "indent").distinct(), "path").where("indent <= own").select("path", "indent", "head")
+    found = next_place(asked, stops, ["path", "indent"]).groupBy("path", "head").agg(F.min("next").alias("stop"))
+    cut = heads.select("path", "head").join(found, ["path", "head"], "left")
     last = lines.groupBy("path").agg(F.max("line_no").alias("_last"))
     return cut.join(last, "path").select("path", "head", F.coalesce(F.col("stop") - 1, "_last").alias("end"))
 

@@ -72,10 +72,31 @@ def overlapping_findings(ranges: DataFrame) -> DataFrame:
 
 
 def outside_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Lines that lie in no block (head, end) of their file."""
-    b = blocks.select(F.col("path").alias("_p"), "head", F.col("end").alias("_e"))
-    inside = (F.col("path") == F.col("_p")) & F.col("line_no").between(F.col("head"), F.col("_e"))
-    return lines.join(b, inside, "left_anti")
+    """Lines that lie in no block (head, end) of their file.
+
+    One pass in order of lines: a line is inside if an end so far isn't before it. Blocks
+    come before the line that they begin at.
+    """
+    row = F.struct(*lines.columns)
+    begin = blocks.select("path", F.col("head").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("end").cast("long").alias("_end"), F.lit(None).cast(lines.select(row.alias("r")).schema["r"].dataType).alias("_row"))
+    own = lines.select("path", F.col("line_no").cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), row.alias("_row"))
+    upto = W.partitionBy("path").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    both = begin.union(own).withColumn("_past", F.max("_end").over(upto))
+    return both.where("_kind = 1 and (_past is null or _past < _at)").select("_row.*")
+
+
+def held_in(points: DataFrame, blocks: DataFrame) -> DataFrame:
+    """path, line, head, end: the block with the smallest head that holds each point (path, line).
+
+    Blocks are cut into cells of BUCKET lines. Of blocks that cover the same lines of a cell
+    only the outermost is kept, so a cell has few rows however many blocks cross it.
+    """
+    cells = blocks.select("path", "head", "end", F.explode(F.sequence(F.floor(F.col("head") / BUCKET), F.floor(F.col("end") / BUCKET))).alias("_b"))
+    low, high = F.greatest("head", F.col("_b") * BUCKET), F.least("end", (F.col("_b") + 1) * BUCKET - 1)
+    cells = cells.where(F.col("end") >= F.col("head")).groupBy("path", "_b", low.alias("_low"), high.alias("_high")).agg(F.min(F.struct("head", "end")).alias("_block"))
+    at = points.select("path", "line").distinct().withColumn("_b", F.floor(F.col("line") / BUCKET))
+    rows = at.join(cells, ["path", "_b"]).where(F.col("line").between(F.col("_low"), F.col("_high")))
+    return rows.groupBy("path", "line").agg(F.min("_block").alias("_block")).select("path", "line", "_block.*")
 
 
 def resolve_imports(imports: DataFrame, exports: DataFrame) -> DataFrame:

@@ -58,16 +58,27 @@ def nearest_def_in_block(defs: DataFrame, uses: DataFrame) -> DataFrame:
     return both.withColumn("def_idx", last.over(w.rowsBetween(W.unboundedPreceding, -1))).where("is_def = 0").drop("is_def")
 
 
+def next_place(heads: DataFrame, places: DataFrame, key: list[str]) -> DataFrame:
+    """key, head, next: the first place (key, line_no) of the same key after each head, or null.
+
+    Heads and places are sorted together once for each key, not joined.
+    """
+    both = heads.select(*key, F.col("head").alias("_at"), F.lit(True).alias("_ask")).union(places.select(*key, "line_no", F.lit(False)))
+    after = W.partitionBy(*key).orderBy("_at", "_ask").rowsBetween(1, W.unboundedFollowing)
+    rows = both.withColumn("next", F.first(F.when(~F.col("_ask"), F.col("_at")), ignorenulls=True).over(after))
+    return rows.where("_ask").select(*key, F.col("_at").alias("head"), "next")
+
+
 def block_end(lines: DataFrame, is_head: Column) -> DataFrame:
     """path, head, end: the line where the balance, 1 after the head line, first is 0.
 
     Braces of the head line itself aren't counted, blank lines are passed over, and a
-    block that never closes ends with its file. Equal balances join, not all lines.
+    block that never closes ends with its file.
     """
     rows = with_balance(lines)
     heads = rows.where(is_head).select("path", F.col("line_no").alias("head"), (F.col("cum") - 1).alias("cum"))
     ends = rows.where(F.trim("text") != "").select("path", "line_no", "cum")
-    found = heads.join(ends, ["path", "cum"], "left").groupBy("path", "head").agg(F.min(F.when(F.col("line_no") > F.col("head"), F.col("line_no"))).alias("end"))
+    found = next_place(heads, ends, ["path", "cum"]).select("path", "head", F.col("next").alias("end"))
     last = lines.groupBy("path").agg(F.max("line_no").alias("_last"))
     return found.join(last, "path").select("path", "head", F.coalesce("end", "_last").alias("end"))
 

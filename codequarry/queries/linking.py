@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.columns import ordered_text
@@ -373,11 +376,15 @@ def s1(spark, sf):
     return io.scan_sources(spark, root, ["txt"], ["_SUCCESS"]).select("ext", F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.length("content").alias("n_chars"))
 
 
-@query("s2_read_findings", sql("x_findings", body="SELECT 3 AS round, path, line, rule, detail FROM x_findings WHERE round = 3"))
+@query("s2_read_findings", sql("x_findings", body="SELECT round, path, line, rule, detail FROM x_findings"))
 def s2(spark, sf):
-    path = new_path(spark, "reports")
-    io.write_report(X.x_findings(spark, sf).where("round = 3"), path, "Report of a round")
-    return io.read_findings(spark, path, 3)
+    """The reports of all six rounds, written and read again."""
+    found, reports = X.x_findings(spark, sf), []
+    for k in range(6):
+        path = new_path(spark, "reports")
+        io.write_report(found.where(F.col("round") == k), path, "Report of a round")
+        reports.append(io.read_findings(spark, path, k))
+    return reduce(DataFrame.union, reports)
 
 
 @query("s3_jsonl", sql("x_docs", body="SELECT path, doc_id, source, content FROM x_docs"))
