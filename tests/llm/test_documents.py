@@ -169,9 +169,9 @@ def test_near_duplicates_agree_with_brute_force(spark):
 
 def test_near_duplicates_link_sets_across_the_bound_of_whole_ones(spark):
     docs = []
-    for g in range(60):
-        small = 120 + g % 9  # shingles, posted whole; the larger set posts a part
-        text = [f"g{g}w{k}" for k in range(small * 4 // 3 + 4)]
+    for g in range(91):
+        small = 90 + g  # shingles; below 97 all are posted, above 128 a part
+        text = [f"g{g}w{k}" for k in range(small * 4 // 3 + 4)]  # similarity 0.75, or just above
         docs += [(2 * g, " ".join(text[: small + 4])), (2 * g + 1, " ".join(text))]
     out = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()
     want = components_of(docs)
