@@ -1,13 +1,16 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass one counts, for two hash positions of each row's digest, how many rows set that
-bit; a bit that two rows set goes into a second filter, "possibly repeated". Pass two
-probes that filter: a row with a bit that no other row set is unique for sure and
-passes straight through. Only the rest shuffle, to be grouped by digest.
-
-The filter has a power of two of bits, 16 a row, 2**27 at most (16 MB), so it can be
-broadcast whatever the input. Above 8 million rows it fills up: more rows take the
-grouped path, and results stay exact.
+Pass one counts how many rows set each bit of a wide filter, one bit a row, by a hash of
+its digest. That filter is kept as the bits that are set, counted in each task before they
+shuffle: 8 bytes for each row, whatever its text. A bit that two rows set goes into a
+second filter, "possibly repeated". Pass two probes that one: a row whose bit no other row
+set is unique for sure and passes straight through. Only the rest shuffle, to be grouped
+by digest.
+
+The wide filter has 64 to 128 bits a row. The second has a power of two of bits, 16 for
+each repeated bit, 2**27 at most (16 MB), so it can be broadcast whatever the input. Above
+8 million groups of copies it fills up: more rows take the grouped path, and results stay
+exact.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.common import stash, table
 
-BITS_A_ROW, MOST_BITS, BLOCK = 16, 1 << 27, 1 << 15  # a block is one bitmap of bitmap_construct_agg
+WIDE_BITS_A_ROW = 64
+BITS_A_KEY, MOST_BITS, BLOCK = 16, 1 << 27, 1 << 15  # a block is one bitmap of bitmap_construct_agg
 
 
 def normalised(text: Column) -> Column:
@@ -32,24 +36,27 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
-def filter_bits(rows: int) -> int:
+def filter_bits(least: int) -> int:
     bits = BLOCK
-    while bits < min(rows * BITS_A_ROW, MOST_BITS):
+    while bits < least:
         bits *= 2
     return bits
 
 
-def _positions(sha: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(sha, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+def wide_bit(sha: Column, rows: int) -> Column:
+    return F.pmod(F.xxhash64(sha), F.lit(filter_bits(rows * WIDE_BITS_A_ROW)))
 
 
-def possibly_repeated(rows: DataFrame, bits: int) -> DataFrame:
-    """Pass one: bitmaps (block, bits) of the positions that two rows or more set."""
-    counts = rows.select(F.explode(F.array(*_positions(F.col("sha"), bits))).alias("at")).groupBy("at").count()
-    often = counts.where("count > 1")
-    return often.groupBy(F.floor(F.col("at") / BLOCK).alias("block")).agg(
-        F.bitmap_construct_agg(F.col("at") % BLOCK).alias("bitmap")
-    )
+def _positions(wide: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(wide, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+
+
+def possibly_repeated(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Pass one: the second filter as bitmaps (block, bits) over the bits ``wide`` that two rows or more set."""
+    often = stash(rows.groupBy("wide").count().where("count > 1").select("wide"), "set-twice")
+    bits = filter_bits(min(often.count() * BITS_A_KEY, MOST_BITS))
+    at = often.select(F.explode(F.array(*_positions(F.col("wide"), bits))).alias("at"))
+    return at.groupBy(F.floor(F.col("at") / BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.col("at") % BLOCK).alias("bitmap")), bits
 
 
 def _bit(bitmap: Column, at: Column) -> Column:
@@ -64,12 +71,12 @@ def mark_copies(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     same id and text share the verdict of that id. A null id never wins over another;
     a group of null ids alone keeps them.
     """
-    spark = rows.sparkSession
-    bits = filter_bits(rows.count())
-    bitmaps = stash(possibly_repeated(rows, bits), "bloom")
+    wide = wide_bit(F.col("sha"), rows.count())
+    bitmaps, bits = possibly_repeated(rows.select(wide.alias("wide")))
+    bitmaps = stash(bitmaps, "bloom")
     hits = []
     probed = rows
-    for k, at in enumerate(_positions(F.col("sha"), bits)):
+    for k, at in enumerate(_positions(wide, bits)):
         probed = probed.withColumn(f"_at{k}", at)
         side = bitmaps.select(F.col("block").alias(f"_block{k}"), F.col("bitmap").alias(f"_bitmap{k}"))
         probed = probed.join(F.broadcast(side), F.floor(F.col(f"_at{k}") / BLOCK) == F.col(f"_block{k}"), "left")
