@@ -15,8 +15,9 @@ Documents with equal sets are one class, and only its first document goes on. Th
 3. Trees. A block's full sets, each sent once, form a tree: a node holds the OR of its
    members' bitmaps, their range of sizes and the most shingles that share a bit. A dual
    traversal from the root prunes node pairs whose greatest possible overlap is too
-   small; pairs of leaves are settled on the sets. A block of over BLOCK_ROWS classes is
-   dealt into parts by hash, and each pair of parts is a task.
+   small; pairs of leaves are settled on the sets. A block of over BLOCK_ROWS classes, or
+   over BLOCK_SHINGLES shingles in all, is dealt into parts by hash, and each pair of
+   parts is a task, so that long texts fill no task's memory either.
 
 A task answers with a spanning forest of its links, so copies and clusters give rows in
 proportion to their members, never all pairs. Components of these links are the result.
@@ -36,7 +37,7 @@ from codequarry.llm.components import components
 
 N, SHARE = 5, (75, 100)
 POSTED = 128
-BLOCK_ROWS, FANOUT = 1024, 8
+BLOCK_ROWS, BLOCK_SHINGLES, FANOUT = 1024, 4_000_000, 8  # a part of a block: sets, and shingles (8 bytes each) in all
 GROUP_BYTES = 500_000  # of text hashed at a time; the work arrays take some 60 bytes for each
 MOST_BROADCAST = 2_000_000  # ids
 _SPACE = np.zeros(256, bool)
@@ -183,7 +184,7 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def blocks(hits: DataFrame, classes: DataFrame) -> DataFrame:
-    """Step 2: doc_id and block of each class that may link with another."""
+    """Step 2: doc_id, n and block of each class that may link with another."""
     own = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3) + 1e-9).cast("int")
     runs = hits.withColumn("run", F.explode(F.array(own, own + 1)))
     bound = F.pow(F.lit(4 / 3), F.col("run") + 1)
@@ -199,7 +200,8 @@ def blocks(hits: DataFrame, classes: DataFrame) -> DataFrame:
     prefix = F.col("t") - _needed(F.col("t"), bound <= POSTED) + 1 - (F.col("t") - F.size("shared"))
     edges = per.where(prefix > 0).select(F.col("doc_id").alias("a"), F.explode(F.slice("shared", F.lit(1), F.least(prefix, F.size("shared")).cast("int"))).alias("s"))
     found = components(edges.select("a", F.col("s.lead").alias("b")))
-    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
+    found = found.select(F.col("node").alias("_id"), F.col("component").alias("block"))
+    return found.join(classes.select("doc_id", "n"), F.col("doc_id") == F.col("_id")).select("doc_id", "n", "block")
 
 
 class Tree:
@@ -298,7 +300,8 @@ def forest(ids: list[int], sets: list[np.ndarray], split: int | None = None) ->
 
 def links(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Step 3: a spanning forest (a, b) of the links within blocks."""
-    sizes = stash(placed.groupBy(F.col("block").alias("_block")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts")), "blocks")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = stash(placed.groupBy(F.col("block").alias("_block")).agg(parts.alias("parts")), "blocks")
     placed = stash(placed.join(sizes, F.col("block") == F.col("_block")).drop("_block"), "placed")
     # ids alone are broadcast, and only while they are few; else the texts are shuffled
     side = placed.select(F.col("doc_id").alias("_id"), "block", "parts")

@@ -206,8 +206,9 @@ def test_signature_tree_finds_all_links(split):
     assert [got.get(k, k) for k in range(90)] == [least[p] for p in parent]
 
 
-def test_large_blocks_are_dealt_into_parts(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+@pytest.mark.parametrize(("name", "bound"), [("BLOCK_ROWS", 16), ("BLOCK_SHINGLES", 1_000)])
+def test_large_blocks_are_dealt_into_parts(spark, monkeypatch, name, bound):
+    monkeypatch.setattr(ngram_join, name, bound)
     base = [f"w{k}" for k in range(120)]
     docs = [(k, " ".join(["x" if j == k % 100 else w for j, w in enumerate(base)])) for k in range(100)]
     out = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
