@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset, as in a local test, a temporary folder takes its place.
+    Only where that is unset in local mode, as in a test, a temporary folder takes its
+    place; on a cluster that would scatter the tables over machines, so it's an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="codequarry-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
