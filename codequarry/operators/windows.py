@@ -103,11 +103,16 @@ def slide_chunks_with_header(rows: DataFrame, size: int, overlap: int) -> DataFr
     return rows.select("path", F.floor(F.col("i") / step).cast("int").alias("chunk_no"), F.when(F.col("i") == 0, chunk).otherwise(tail).alias("tokens"))
 
 
-def prefix_target(files: DataFrame, seed: int = 7, least: int = 8) -> DataFrame:
-    """path, k, prev, target: one seeded cut for each hundred lines, from line ``least`` on."""
+def prefix_target(files: DataFrame, seed: int = 7, least: int = 8, every: int = 100) -> DataFrame:
+    """path, k, prev, target: one seeded cut for each ``every`` lines, from line ``least`` on.
+
+    The cut comes of the md5 of path, k and seed, so that reruns agree.
+    """
     ls = F.split("content", "\n")
-    rows = files.where(F.size(ls) > F.greatest(F.lit(100), F.lit(least)) - 1).select("path", ls.alias("ls"), F.explode(F.sequence(F.lit(1), F.floor(F.size(ls) / 100).cast("int"))).alias("k"))
-    cut = (F.pmod(F.xxhash64("path", "k", F.lit(seed)), F.size("ls") - least) + least).cast("int")
+    long_enough = F.size(ls) >= max(every, least + 1)
+    rows = files.where(long_enough).select("path", ls.alias("ls"), F.explode(F.sequence(F.lit(1), F.floor(F.size(ls) / every).cast("int"))).alias("k"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", "path", "k", F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long")
+    cut = (drawn % (F.size("ls") - least) + least).cast("int")
     return rows.withColumn("cut", cut).select("path", "k", F.array_join(F.slice("ls", F.lit(1), F.col("cut")), "\n").alias("prev"), F.array_join(F.slice("ls", F.col("cut") + 1, F.size("ls")), "\n").alias("target"))
 
 

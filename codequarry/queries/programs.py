@@ -168,7 +168,11 @@ def g21(spark, sf):
     return L.variables(L.points_to(X.x_pag(spark, sf)))
 
 
-@query("g22_points_to_ctx")
+CONTEXTS = """pt AS (SELECT dst AS var, CAST([] AS BIGINT[]) AS ctx, src AS obj FROM x_pag WHERE kind = 'address'
+UNION SELECT p.dst, CASE WHEN p.src % 5 = 0 THEN list_prepend(CAST(p.dst AS BIGINT), ctx)[1:2] ELSE ctx END, obj FROM pt JOIN x_pag p ON p.src = pt.var AND p.kind = 'copy')"""
+
+
+@query("g22_points_to_ctx", sql("x_pag", recursive=True, more=CONTEXTS, body="SELECT var, array_to_string(ctx, ',') AS ctx, obj FROM pt"))
 def g22(spark, sf):
     p = X.x_pag(spark, sf).where("kind in ('address', 'copy')")
     calls = p.where("kind = 'copy' and src % 5 = 0").select("src", "dst", F.col("dst").alias("callee"))

@@ -221,11 +221,26 @@ def w9(spark, sf):
     return V.slide_chunks_with_header(rows, 256, 64).select("path", "chunk_no", F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
 
 
-@query("w10_prefix_target")
+def cuts(least: int, every: int) -> str:
+    return sql(
+        "x_docs",
+        more=f"""l AS (SELECT path, string_split(content, chr(10)) AS ls FROM x_docs),
+        k AS (SELECT path, ls, CAST(unnest(range(1, len(ls) // {every} + 1)) AS INTEGER) AS k FROM l WHERE len(ls) >= {max(every, least + 1)}),
+        c AS (SELECT *, CAST('0x' || substr(md5(path || '|' || CAST(k AS VARCHAR) || '|7'), 1, 8) AS BIGINT) % (len(ls) - {least}) + {least} AS cut FROM k)""",
+        body="SELECT path, k, array_to_string(ls[1:cut], chr(10)) AS prev, array_to_string(ls[cut + 1:], chr(10)) AS target FROM c",
+    )
+
+
+@query("w10_prefix_target", cuts(8, 100))
 def w10(spark, sf):
     return V.prefix_target(X.x_docs(spark, sf).select("path", "content"))
 
 
+@query("w10_prefix_target_dense", cuts(1, 3))
+def w10_dense(spark, sf):
+    return V.prefix_target(X.x_docs(spark, sf).select("path", "content"), least=1, every=3)
+
+
 @query("t1_order_findings", sql("x_findings", more="f AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN NULL ELSE line END AS l FROM x_findings)", body="SELECT event_id, file, CAST(row_number() OVER (PARTITION BY file ORDER BY coalesce(l, 0), event_id) AS INTEGER) AS place FROM f"))
 def t1(spark, sf):
     f = X.x_findings(spark, sf).withColumn("line", F.when(F.col("event_id") % 9 != 0, F.col("line")))
@@ -277,11 +292,11 @@ def e4(spark, sf):
     return V.shared(p.where("kind = 'address'").select("dst"), p.where("kind = 'copy'").select("dst"))
 
 
-@query("u2_embed")
+@query("u2_embed", sql("x_code", body="SELECT path, line_no, [CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) % 1000 / 1000.0, length(text) / 10.0]::DOUBLE[] AS embedding FROM x_code"))
 def u2(spark, sf):
     def make():
-        import zlib
+        from hashlib import md5
 
-        return lambda texts: [[zlib.crc32(t.encode()) % 1000 / 1000.0, len(t) / 10.0] for t in texts]
+        return lambda texts: [[int(md5(t.encode()).hexdigest()[:8], 16) % 1000 / 1000.0, len(t) / 10.0] for t in texts]
 
     return R.embed(X.x_code(spark, sf).select("path", "line_no", "text"), "text", make).drop("text")
