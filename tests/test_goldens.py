@@ -1,11 +1,12 @@
 """Small graphs and texts worked by hand, and invariants."""
 
+import random
 from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.operators import calls, flow, graph, joins, repair, text, windows
+from codequarry.operators import calls, declarations, flow, graph, joins, repair, text, windows
 from codequarry.plans.fixpoint import fixpoint
 from codequarry.sources import io
 
@@ -238,3 +239,30 @@ def test_dependency_order_gives_the_fewest_imports(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 1), (4, 1)], "src long, dst long")
     out = graph.dependency_order(edges, spark.createDataFrame([(1,)], "id long"))
     assert sorted(map(tuple, out.select("root", "node", "hops").collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 1)]
+
+
+def test_dominators_by_walk_and_by_rounds_agree_with_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    edges = [(m, rng.randint(1, 9), rng.randint(1, 9)) for m in range(40) for _ in range(rng.randint(0, 16))]
+    blocks = spark.createDataFrame([(m, b) for m in range(40) for b in range(1, 10)], "method long, block int")
+    cfg = spark.createDataFrame(edges, "method long, src int, dst int")
+
+    def reach(m, without):
+        seen = {1} - {without}
+        while more := {d for n, s, d in edges if n == m and s in seen} - seen - {without}:
+            seen |= more
+        return seen
+
+    want = {(m, b, tuple(d for d in range(1, 10) if d == b or b not in reach(m, d))) for m in range(40) for b in reach(m, 0)}
+    for most in (1000, 8, 0):  # all walked, some, none
+        monkeypatch.setattr(graph, "METHOD_EDGES", most)
+        assert {(r.method, r.block, tuple(r.doms)) for r in graph.dominators(blocks, cfg).collect()} == want
+
+
+def test_innermost_scope_over_many_cells(spark):
+    heads = [(1, 900, "component"), (2, 500, "build"), (3, 3, "block"), (60, 61, "arrow"), (63, 64, "arrow"), (65, 200, "function"), (600, 700, "block")]
+    lines = spark.createDataFrame([("f", n, "x") for n in range(1, 950)], "path string, line_no int, text string")
+    out = declarations.innermost(lines, spark.createDataFrame([("f", *h) for h in heads], "path string, head int, end int, kind string"))
+    for r in out.collect():
+        around = [h for h in heads if h[0] < r.line_no <= h[1]]
+        assert (r.head, r.scope) == ((max(around)[0], max(around)[2]) if around else (None, None))
