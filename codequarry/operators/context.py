@@ -32,7 +32,7 @@ def related_lines(findings: DataFrame, lines: DataFrame) -> DataFrame:
     at = lines.select("path", F.col("line_no").alias("line"), F.explode(identifiers_at(F.col("text"))).alias("name"))
     wanted = findings.select("path", "line", "start", "end").distinct().join(at, ["path", "line"])
     hints = lines.where(F.col("text").rlike(r"@\w|let|this\."))
-    rows = wanted.join(hints, "path").where(~F.col("line_no").between(F.col("start"), F.col("end")))
+    rows = wanted.join(hints, "path").where(F.contains("text", "name") & ~F.col("line_no").between(F.col("start"), F.col("end")))
     defines = F.rlike("text", F.concat(F.lit(r"(@\w+.*"), "name", F.lit("|let.*"), "name", F.lit(r".*=).*;")))
     uses = F.contains("text", F.concat(F.lit("this."), "name"))
     rows = rows.withColumn("role", F.when(defines, "definition").when(uses, "usage")).where("role is not null")

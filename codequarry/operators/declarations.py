@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codequarry.functions.columns import ordered_text
+from codequarry.operators.joins import held_in
 from codequarry.operators.windows import block_end
 
 #: Heads of scopes by kind, the first that fits, and the known decorators.
@@ -42,10 +43,9 @@ def scopes(lines: DataFrame) -> DataFrame:
 
 def innermost(lines: DataFrame, found: DataFrame) -> DataFrame:
     """lines (path, line_no, text) with scope and head: the innermost scope around each, or null."""
-    s = found.select(F.col("path").alias("_p"), "head", "end", "kind")
-    held = lines.select("path", "line_no").join(s, (F.col("path") == F.col("_p")) & (F.col("line_no") > F.col("head")) & (F.col("line_no") <= F.col("end")))
-    best = held.groupBy("path", "line_no").agg(F.max(F.struct("head", "kind")).alias("s"))
-    return lines.join(best, ["path", "line_no"], "left").select("path", "line_no", "text", F.col("s.kind").alias("scope"), F.col("s.head").alias("head"))
+    held = held_in(lines.select("path", F.col("line_no").alias("line")), found, inner=True)
+    held = held.join(found.select("path", "head", "kind"), ["path", "head"]).select("path", F.col("line").alias("line_no"), F.col("kind").alias("scope"), "head")
+    return lines.join(held, ["path", "line_no"], "left").select("path", "line_no", "text", "scope", "head")
 
 
 def declaration_report(lines: DataFrame) -> DataFrame:
@@ -73,8 +73,8 @@ def hoist_declarations(lines: DataFrame) -> DataFrame:
     """
     found = scopes(lines)
     report = declaration_report(lines).where("problem = 'declared in build'")
-    parts = found.where("kind = 'component'").select(F.col("path").alias("_p"), F.col("head").alias("c"), "end")
-    moved = report.join(parts, (F.col("path") == F.col("_p")) & F.col("line_no").between(F.col("c"), F.col("end"))).groupBy("path", "line_no", "suggestion").agg(F.max("c").alias("c"))
+    parts = held_in(report.select("path", F.col("line_no").alias("line")), found.where("kind = 'component'"), inner=True)
+    moved = report.join(parts.select("path", F.col("line").alias("line_no"), F.col("head").alias("c")), ["path", "line_no"]).select("path", "line_no", "suggestion", "c")
     moved = moved.withColumn("name", F.regexp_extract("suggestion", r"^\s*(\w+)", 1))
     names = moved.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "name"))).alias("moved"))
     rows = lines.join(names, "path", "left").join(moved.select("path", "line_no", "c", "suggestion"), ["path", "line_no"], "left")

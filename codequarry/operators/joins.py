@@ -85,18 +85,20 @@ def outside_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     return both.where("_kind = 1 and (_past is null or _past < _at)").select("_row.*")
 
 
-def held_in(points: DataFrame, blocks: DataFrame) -> DataFrame:
+def held_in(points: DataFrame, blocks: DataFrame, inner: bool = False) -> DataFrame:
     """path, line, head, end: the block with the smallest head that holds each point (path, line).
 
-    Blocks are cut into cells of BUCKET lines. Of blocks that cover the same lines of a cell
-    only the outermost is kept, so a cell has few rows however many blocks cross it.
+    inner: the block with the largest head before the line instead. Blocks are cut into
+    cells of BUCKET lines. Of blocks that cover the same lines of a cell only the one that
+    goes first is kept, so a cell has few rows however many blocks cross it.
     """
+    best, first = (F.max, F.col("head") + 1) if inner else (F.min, F.col("head"))
     cells = blocks.select("path", "head", "end", F.explode(F.sequence(F.floor(F.col("head") / BUCKET), F.floor(F.col("end") / BUCKET))).alias("_b"))
-    low, high = F.greatest("head", F.col("_b") * BUCKET), F.least("end", (F.col("_b") + 1) * BUCKET - 1)
-    cells = cells.where(F.col("end") >= F.col("head")).groupBy("path", "_b", low.alias("_low"), high.alias("_high")).agg(F.min(F.struct("head", "end")).alias("_block"))
+    low, high = F.greatest(first, F.col("_b") * BUCKET), F.least("end", (F.col("_b") + 1) * BUCKET - 1)
+    cells = cells.where(F.col("end") >= F.col("head")).groupBy("path", "_b", low.alias("_low"), high.alias("_high")).agg(best(F.struct("head", "end")).alias("_block"))
     at = points.select("path", "line").distinct().withColumn("_b", F.floor(F.col("line") / BUCKET))
     rows = at.join(cells, ["path", "_b"]).where(F.col("line").between(F.col("_low"), F.col("_high")))
-    return rows.groupBy("path", "line").agg(F.min("_block").alias("_block")).select("path", "line", "_block.*")
+    return rows.groupBy("path", "line").agg(best("_block").alias("_block")).select("path", "line", "_block.*")
 
 
 def resolve_imports(imports: DataFrame, exports: DataFrame) -> DataFrame:
