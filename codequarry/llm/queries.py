@@ -6,6 +6,7 @@ from codequarry.llm.licence_scan import op6_licence_scan
 from codequarry.llm.mixing import op9_mixing
 from codequarry.llm.ngram_join import op8_ngram_join
 from codequarry.llm.packing import op7_packing
+from codequarry.llm.secret_scan import OP11_SQL, op11_secret_scan
 from codequarry.llm.token_files import op10_token_files
 from codequarry.llm.topk_search import OP3_SQL, op3_topk_search
 from codequarry.llm.toxicity import op1_toxicity
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
+    "op11_secret_scan": op11_secret_scan,
 }
 
 ORACLES = {
     "op3_topk_search": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op11_secret_scan": OP11_SQL,
 }
