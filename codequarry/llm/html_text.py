@@ -11,8 +11,10 @@ There are no labelled pages, so labels are carried over: in a bounded sample of
 elements that fixed lists of tags and words mark as boilerplate or content are labelled.
 Most of what the trees learn from is copies of these trees in which containers lose their
 names, get others or are dissolved, boilerplate loses its tags and words, and boilerplate
-of known shape is planted, with and without telling names. The labels stay those of the
-original, so the lists can't explain them: shape, density and siblings have to.
+of known shape is planted, with and without telling names. The article's own content varies
+too: its paragraphs hold links, become other elements, are wrapped or split, and lists of
+linked sources come between them. The labels stay those of the original, so the lists can't
+explain them: shape, density and siblings have to.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.boosting import Trees, fit
 from codequarry.llm.common import bounded_sample, gives_back, small_batches, table
 
-SAMPLE_PAGES, VARIED = 250, 5  # pages to learn from, and copies of each
+SAMPLE_PAGES, VARIED = 250, 7  # pages to learn from, and copies of each
 LONGEST_SAMPLED, LONG_PAGES = 200_000, 20  # characters of a sampled page; pages to take if all are longer
 # Elements by role.
 BLOCKS = set("html body article main section div header footer nav aside form fieldset ul ol li dl dt dd table tbody thead tfoot tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr center".split())
@@ -209,12 +211,14 @@ def features(nodes: list[Node]) -> np.ndarray:
     wraps = (share >= 0.9) & (sub[:, 4] == sub[0, 4])  # nearly all text, and all headings
     # what a node lies in tells the less, the more of the page's text lies in it too
     above = np.column_stack([marks[:, 0] * (1 - share), marks[:, 1], links * (share < 0.5), marks[:, 0], telling * ~wraps])
-    same: dict[tuple, list[float]] = {}
+    same: dict[tuple, int] = {}  # elements of one tag and parent
+    kin = np.zeros(len(nodes), int)
     for i, n in enumerate(nodes):
         if i:
             above[i] = np.maximum(above[i], above[up[i]])
-        same.setdefault((up[i], n.tag), []).append(sub[i, 0])
-    alike = np.array([[len(x := same[up[i], n.tag]), sum(x) / len(x)] for i, n in enumerate(nodes)])
+        kin[i] = same.setdefault((up[i], n.tag), len(same))
+    sizes, totals = np.bincount(kin), np.bincount(kin, sub[:, 0])
+    alike = np.column_stack([sizes[kin], totals[kin] / sizes[kin]])
     of_parent = sub[:, 0] / np.maximum(1.0, sub[up, 0])
     groups = np.array([[n.tag in g for g in TAG_GROUPS] for n in nodes], float)
     own = np.array([n.own for n in nodes], float)
@@ -263,9 +267,12 @@ class Copy:
         self.labels.append(label)
         return n
 
-    def plant(self, parent: Node, rng: np.random.Generator, size: float) -> None:
-        """Boilerplate: links, a cloud of links, a notice, a foot, a form or comments."""
-        named = rng.random() < 0.5
+    def plant(self, parent: Node, rng: np.random.Generator, size: float, within: bool) -> None:
+        """Boilerplate: links, a cloud of links, a notice, a foot, a form or comments.
+
+        Within main text it has telling names, since a list of links there may be sources.
+        """
+        named = within or rng.random() < 0.5
         words = BOILER_NAMES[rng.integers(len(BOILER_NAMES))] if named else PLAIN_NAMES[rng.integers(8)]
         tag = str(rng.choice(["div", "section", "nav", "aside", "header", "footer"] if named else ["div", "div", "ul", "section"]))
         kind = rng.integers(6)
@@ -280,6 +287,7 @@ class Copy:
             n = few(20, 400)
             self.add(parent, tag, words, n, n * rng.uniform(0.7, 1), 0)
         elif kind == 2 and named:
+            tag = "aside" if within and tag in ("div", "section") and rng.random() < 0.3 else tag
             top = self.add(parent, tag, words, 0, 0, 0)
             for _ in range(few(1, 4)):
                 n = few(10, 500)
@@ -298,6 +306,29 @@ class Copy:
                 self.add(one, "p", (), n, n * 0.02, 0)
 
 
+    def prose(self, parent: Node, n: Node, tag: str, words: tuple, links: float, rng: np.random.Generator) -> Node:
+        """A paragraph of main text as another element, perhaps wrapped or in two parts."""
+        if rng.random() < 0.1:
+            parent = self.add(parent, str(rng.choice(["div", "div", "section"])), PLAIN_NAMES[rng.integers(8)], 0, 0, 1)
+        if tag == "li":
+            parent = self.add(parent, str(rng.choice(["ul", "ol"])), (), 0, 0, 1)
+        elif tag == "td":
+            parent = self.add(self.add(parent, "table", (), 0, 0, 1), "tr", (), 0, 0, 1)
+        first = n.own if rng.random() < 0.85 else int(n.own * rng.uniform(0.1, 0.9))
+        if n.own > first:
+            self.add(parent, tag, words, n.own - first, 0, 1)
+        return self.add(parent, tag, words, first, links * first, 1)
+
+    def sources(self, parent: Node, rng: np.random.Generator) -> None:
+        """A list within main text whose items are links, or hold them."""
+        share, longest = rng.uniform(0.3, 1), int(rng.integers(12, 160))
+        top = self.add(parent, str(rng.choice(["ul", "ol"])), (), 0, 0, 1)
+        for _ in range(int(rng.integers(1, 9))):
+            own = int(rng.integers(8, longest + 1))
+            held = self.add(top, "li", (), 0, 0, 1) if rng.random() < 0.1 else None
+            self.add(held or top, "p" if held else "li", (), own, own * min(1.0, share * rng.uniform(0.8, 1.2)), 1)
+
+
 def vary(nodes: list[Node], labels: np.ndarray, seed: int) -> tuple[list[Node], np.ndarray]:
     """A copy of a page's tree with other names, planted boilerplate and its own labels."""
     rng = np.random.default_rng(seed)
@@ -305,13 +336,17 @@ def vary(nodes: list[Node], labels: np.ndarray, seed: int) -> tuple[list[Node],
     new: dict[int, Node] = {id(nodes[0]): out.root}
     out.root.own, out.root.links = nodes[0].own, nodes[0].links
     size = sum(n.own for n, y in zip(nodes, labels, strict=True) if y)
+    label_of = {id(out.root): 0.0}
     # a copy has no telling names, or those it had, or a mixture of both
     bare, dissolve = float(rng.choice([0.0, 0.5, 1.0])), rng.random() < 0.25
+    # and its main text is of paragraphs, of other elements, or of both, with few or many links
+    other, linked, listed = float(rng.choice([0.0, 0.1, 0.1, 1.0])), float(rng.choice([0.0, 0.1, 0.5])), float(rng.choice([0.0, 0.0, 0.1]))
+    usual = "div" if other == 1 else None
     for n, y in list(zip(nodes, labels, strict=True))[1:]:
         parent = new[id(n.parent)]
         bad, good = _marks(n)
         if parent.tag in ("body", "div", "section", "article", "main") and parent is not out.root and rng.random() < 0.12:
-            out.plant(parent, rng, size)
+            out.plant(parent, rng, size, within=parent.tag != "body" and label_of[id(parent)] > 0)
         tag, words = n.tag, tuple(n.words)
         if (bad or good) and rng.random() < bare:
             if good and dissolve and y and not n.own:
@@ -321,18 +356,36 @@ def vary(nodes: list[Node], labels: np.ndarray, seed: int) -> tuple[list[Node],
             words = PLAIN_NAMES[rng.integers(len(PLAIN_NAMES) if y else 8)]
         elif rng.random() < 0.1:
             words = PLAIN_NAMES[rng.integers(8)]
-        copy = out.add(parent, tag, words, n.own, n.links, y)
-        if tag in ("div", "section") and y and rng.random() < 0.1:
-            copy = out.add(copy, "div", PLAIN_NAMES[rng.integers(8)], 0, 0, y)
+        if y and n.own and n.tag == "p":
+            links = rng.uniform(0.01, 0.6) if rng.random() < linked else n.links / n.own
+            tag = usual or (str(rng.choice(["div", "div", "blockquote", "li", "td"])) if rng.random() < other else "p")
+            copy = out.prose(parent, n, tag, words, links, rng)
+            if rng.random() < 0.1:
+                short = int(rng.integers(5, 200))
+                out.prose(parent, _Part(short), str(rng.choice(["p", "div", "h2", "h3"])), (), float(rng.choice([0, 0, rng.uniform(0, 0.6)])), rng)
+            if rng.random() < listed:
+                out.sources(parent, rng)
+        else:
+            copy = out.add(parent, tag, words, n.own, n.links, y)
+            if tag in ("div", "section") and y and rng.random() < 0.1:
+                copy = out.add(copy, "div", PLAIN_NAMES[rng.integers(8)], 0, 0, y)
         new[id(n)] = copy
+        label_of[id(copy)] = y
     for n in [x for x in out.nodes if x.tag == "body"][:1]:
         for _ in range(int(rng.integers(0, 3))):
-            out.plant(n, rng, size)
+            out.plant(n, rng, size, within=False)
     out.nodes = _in_order(out)
     up, _ = subtree(out.nodes)
     return out.nodes, _held(up, np.array(out.labels))
 
 
+class _Part:
+    """So much text of a paragraph."""
+
+    def __init__(self, own: int):
+        self.own = own
+
+
 def _in_order(copy: Copy) -> list[Node]:
     """The copy's nodes in page order, its labels with them."""
     label = {id(n): y for n, y in zip(copy.nodes, copy.labels, strict=True)}
@@ -385,7 +438,7 @@ def learn(pages: DataFrame, html_col: str = "html", bound: int = SAMPLE_PAGES) -
             y.append(own)
     if not x:
         return fit(np.zeros((0, WIDTH)), np.zeros(0))
-    return fit(np.concatenate(x), np.concatenate(y), rounds=60, depth=5)
+    return fit(np.concatenate(x), np.concatenate(y), rounds=80, depth=6)
 
 
 def extract(pages: DataFrame, trees: Trees, keep: list[str], html_col: str = "html") -> DataFrame:

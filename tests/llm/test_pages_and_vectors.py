@@ -89,6 +89,42 @@ def test_html_text_agrees_with_the_article_on_other_pages(site, change):
     assert right >= (0.99 if change == "as it is" else 0.95) * len(pages)
 
 
+PROSE = "It was said that the house by the river had stood empty for years, and nobody knew why."
+CONTENT = {
+    "a link in a paragraph": lambda h: h.replace("</article>", f"<p>{PROSE} See <a href='/x'>the report</a> on it.</p></article>"),
+    "a paragraph that is half links": lambda h: h.replace("</article>", f"<p>{PROSE} <a href='/x'>{PROSE[:60]}</a></p></article>"),
+    "a div around a paragraph": lambda h: h.replace("</article>", f"<div><p>{PROSE}</p></div></article>"),
+    "a div between paragraphs": lambda h: h.replace("</p><p>", f"</p><div>{PROSE}</div><p>", 1),
+    "linked sources": lambda h: h.replace("</article>", "<ul><li><a href='/1'>A history of the river</a></li><li><a href='/2'>The house and its owners</a>, second edition</li><li><a href='/3'>Letters</a></li></ul></article>"),
+    "divs for paragraphs": lambda h: h[: h.find("<article>")] + h[h.find("<article>") : h.find("</article>")].replace("<p>", "<div>").replace("</p>", "</div>") + h[h.find("</article>") :],
+    "a heading": lambda h: h.replace("</p><p>", "</p><h2>What came after</h2><p>", 1),
+    "a list of prose": lambda h: h.replace("</article>", f"<ul><li>{PROSE}</li><li>{PROSE}</li></ul></article>"),
+    "a table": lambda h: h.replace("</article>", "<table><tr><th>Year</th><th>Owner</th></tr><tr><td>1902</td><td>A miller</td></tr></table></article>"),
+    "a quotation": lambda h: h.replace("</article>", f"<blockquote>{PROSE}</blockquote></article>"),
+    "definitions": lambda h: h.replace("</article>", f"<dl><dt>House</dt><dd>{PROSE}</dd></dl></article>"),
+}
+
+
+@pytest.mark.parametrize("change", CONTENT)
+def test_html_text_keeps_the_articles_own_content(site, change):
+    pages, trees = site
+    right = 0
+    for source in map(CONTENT[change], pages):
+        page = html_text.Page(source)
+        right += html_text.text_of(page, html_text.decode(page, trees.margin(html_text.features(page.nodes)))) == Article(source).text
+    assert right >= 0.99 * len(pages)
+
+
+def test_html_features_and_decoding_are_linear_in_siblings(site):
+    took = []
+    for n in (10_000, 40_000):
+        page = html_text.Page("<article>" + "<p>some text</p>" * n)
+        start = time.process_time()
+        html_text.text_of(page, html_text.decode(page, site[1].margin(html_text.features(page.nodes))))
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5  # four times the input
+
+
 def test_html_trees_use_shape_and_not_names_alone(site):
     trees = site[1]
     used = set(trees.features[np.isfinite(trees.thresholds)].tolist())
