@@ -1,6 +1,7 @@
 """N-gram Jaccard join with signature trees: near-duplicates by sets of word shingles.
 
-Documents with equal sets are one class, and only its first document goes on. Then:
+Documents with equal sets are one class, whose key is a 64-bit hash of its set, so ids that
+repeat with other texts don't get in the way. Only a class's first document goes on. Then:
 
 1. Sampling. Each class posts its shingles of small hash, about POSTED of them, or all of
    a small set. A class links with another only if most of its shingles are shared, so
@@ -139,27 +140,34 @@ def _needed(t: Column, whole: Column) -> Column:
     return F.when(whole, F.element_at(tables[0], at)).otherwise(F.element_at(tables[1], at))
 
 
+def _fingerprint(s: np.ndarray) -> tuple[int, int, int]:
+    """Two sums over a set's hashes, and the key of its class."""
+    with np.errstate(over="ignore"):
+        fa, fb = (_mix(s ^ _STEP[k]).sum(dtype=np.uint64) for k in (0, 1))
+        key = _mix(_mix(np.array([fa]) + np.uint64(len(s))) ^ fb)
+    return tuple(int(x) for x in np.array([fa, fb, key[0]], np.uint64).view(np.int64))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, fa and fb (a fingerprint of the set), posted (its shingles of small hash)."""
+    """doc_id, n, fa and fb (a fingerprint of the set), key, posted (its shingles of small hash)."""
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         shingler = Shingler()
         for b in batches:
-            n, fa, fb, posted = [], [], [], []
+            n, prints, posted = [], [], []
             for s in shingler.sets([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    fa.append(_mix(s ^ _STEP[0]).sum(dtype=np.uint64))
-                    fb.append(_mix(s ^ _STEP[1]).sum(dtype=np.uint64))
+                prints.append(_fingerprint(s))
                 posted.append((s if len(s) <= POSTED else s[: np.searchsorted(s, np.uint64(2**64 // len(s) * POSTED))]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(p) for p in posted]))), pa.int32()), pa.array(np.concatenate(posted) if posted else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(fa, np.uint64).view(np.int64)), pa.array(np.array(fb, np.uint64).view(np.int64)), lists], names=["doc_id", "n", "fa", "fb", "posted"])
+            columns = [pa.array([x[k] for x in prints], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *columns, lists], names=["doc_id", "n", "fa", "fb", "key", "posted"])
 
     small_batches(docs.sparkSession)
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows_.mapInArrow(gives_back(rows), "doc_id long, n long, fa long, fb long, posted array<long>")
+    return rows_.mapInArrow(gives_back(rows), "doc_id long, n long, fa long, fb long, key long, posted array<long>")
 
 
 def _below(token: Column, size: Column, part: float) -> Column:
@@ -169,39 +177,39 @@ def _below(token: Column, size: Column, part: float) -> Column:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Step 1: classes that share enough sampled shingles, with those shingles (doc_id, n, token)."""
-    posts = classes.where("n > 0").select("doc_id", "n", F.explode("posted").alias("token"))
+    """Step 1: classes that share enough sampled shingles, with those shingles (key, n, token)."""
+    posts = classes.where("n > 0").select("key", "n", F.explode("posted").alias("token"))
     common = stash(posts.groupBy("token").count().where("count > 1").select(F.col("token").alias("_token")), "common")
     hits = stash(posts.join(common, F.col("token") == F.col("_token")).drop("_token"), "hits")
     # a linked set has n / 0.75 shingles at most: all of them are posted whole, or else each posts those under 0.75 * POSTED / n
     whole = F.col("n") * SHARE[1] <= POSTED * SHARE[0]
     tested = F.when(whole, F.size("posted")).otherwise(F.size(F.filter("posted", lambda x: _below(x, F.col("n"), 0.75 * POSTED))))
-    need = classes.select(F.col("doc_id").alias("_id"), _needed(tested, whole).alias("_need"))
+    need = classes.select(F.col("key").alias("_id"), _needed(tested, whole).alias("_need"))
     inside = whole | _below(F.col("token"), F.col("n"), 0.75 * POSTED)
-    shared = hits.where(inside).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_shared"))
-    left = stash(shared.join(need, F.col("doc_id") == F.col("_id")).where("_shared >= _need").select(F.col("doc_id").alias("_id")), "left")
-    return stash(hits.join(left, F.col("doc_id") == F.col("_id")).drop("_id"), "left-hits")
+    shared = hits.where(inside).groupBy("key").agg(F.count(F.lit(1)).alias("_shared"))
+    left = stash(shared.join(need, F.col("key") == F.col("_id")).where("_shared >= _need").select(F.col("key").alias("_id")), "left")
+    return stash(hits.join(left, F.col("key") == F.col("_id")).drop("_id"), "left-hits")
 
 
 def blocks(hits: DataFrame, classes: DataFrame) -> DataFrame:
-    """Step 2: doc_id, n and block of each class that may link with another."""
+    """Step 2: key, n and block of each class that may link with another."""
     own = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3) + 1e-9).cast("int")
     runs = hits.withColumn("run", F.explode(F.array(own, own + 1)))
     bound = F.pow(F.lit(4 / 3), F.col("run") + 1)
     runs = runs.where((bound <= POSTED) | _below(F.col("token"), bound, POSTED))
-    often = stash(runs.groupBy("run", "token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("lead")).where("df > 1"), "often")
+    often = stash(runs.groupBy("run", "token").agg(F.count(F.lit(1)).alias("df"), F.min("key").alias("lead")).where("df > 1"), "often")
     tied = runs.join(often, ["run", "token"])
     # tokens of a class that no other has are the rarest: they take places in its prefix
-    size = classes.select(F.col("doc_id").alias("_id"), "posted")
-    per = tied.groupBy("doc_id", "n", "run").agg(F.sort_array(F.collect_list(F.struct("df", "token", "lead"))).alias("shared"))  # POSTED or so at most
-    per = per.join(size, F.col("doc_id") == F.col("_id"))
+    size = classes.select(F.col("key").alias("_id"), "posted")
+    per = tied.groupBy("key", "n", "run").agg(F.sort_array(F.collect_list(F.struct("df", "token", "lead"))).alias("shared"))  # POSTED or so at most
+    per = per.join(size, F.col("key") == F.col("_id"))
     tested = F.when(bound <= POSTED, F.size("posted")).otherwise(F.size(F.filter("posted", lambda x: _below(x, bound, POSTED))))
     per = per.withColumn("t", tested)
     prefix = F.col("t") - _needed(F.col("t"), bound <= POSTED) + 1 - (F.col("t") - F.size("shared"))
-    edges = per.where(prefix > 0).select(F.col("doc_id").alias("a"), F.explode(F.slice("shared", F.lit(1), F.least(prefix, F.size("shared")).cast("int"))).alias("s"))
+    edges = per.where(prefix > 0).select(F.col("key").alias("a"), F.explode(F.slice("shared", F.lit(1), F.least(prefix, F.size("shared")).cast("int"))).alias("s"))
     found = components(edges.select("a", F.col("s.lead").alias("b")))
     found = found.select(F.col("node").alias("_id"), F.col("component").alias("block"))
-    return found.join(classes.select("doc_id", "n"), F.col("doc_id") == F.col("_id")).select("doc_id", "n", "block")
+    return found.join(classes.select("key", "n"), F.col("key") == F.col("_id")).select("key", "n", "block")
 
 
 class Tree:
@@ -298,36 +306,44 @@ def forest(ids: list[int], sets: list[np.ndarray], split: int | None = None) ->
     return [(own, least[root(k)]) for k, own in enumerate(ids) if least[root(k)] != own]
 
 
-def links(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Step 3: a spanning forest (a, b) of the links within blocks."""
+def links(docs: DataFrame, placed: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Step 3: a spanning forest (a, b) of the links within blocks.
+
+    placed: key, doc_id, n, block; repeated: keys of classes whose document has more rows than one.
+    """
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = stash(placed.groupBy(F.col("block").alias("_block")).agg(parts.alias("parts")), "blocks")
     placed = stash(placed.join(sizes, F.col("block") == F.col("_block")).drop("_block"), "placed")
     # ids alone are broadcast, and only while they are few; else the texts are shuffled
-    side = placed.select(F.col("doc_id").alias("_id"), "block", "parts")
+    side = placed.select(F.col("doc_id").alias("_id"), "key", "block", "parts")
     side = F.broadcast(side) if placed.count() <= MOST_BROADCAST else side
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(side, F.col("doc_id") == F.col("_id"))
 
     def sets(batches: Iterator) -> Iterator:
+        """The full sets; of an id's texts, those of the class that is asked for."""
         import pyarrow as pa
 
         shingler = Shingler()
         for b in batches:
-            got = [s.tobytes() for s in shingler.sets([t or "" for t in b.column(3).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.binary())], names=["doc_id", "block", "parts", "members"])
-
-    rows = rows.select("doc_id", "block", "parts", "text").mapInArrow(gives_back(sets), "doc_id long, block long, parts int, members binary")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+            found = list(shingler.sets([t or "" for t in b.column(3).to_pylist()]))
+            at = pa.array([k for k, (s, key) in enumerate(zip(found, b.column(0).to_pylist(), strict=True)) if _fingerprint(s)[2] == key], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:3]), pa.array([found[k].tobytes() for k in at.to_pylist()], pa.binary())], names=["key", "block", "parts", "members"])
+
+    rows = rows.select("key", "block", "parts", "text").mapInArrow(gives_back(sets), "key long, block long, parts int, members binary")
+    if not repeated.isEmpty():  # one row of each class, before rows of a block come together
+        again = rows.join(repeated, "key", "left_semi").groupBy("key").agg(*[F.any_value(c).alias(c) for c in ("block", "parts", "members")])
+        rows = rows.join(repeated, "key", "left_anti").union(again)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("block", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "doc_id", "members")
+    cells = cells.select("block", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "key", "members")
 
     def tree(key, pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("doc_id").sort_values(["part", "doc_id"])
+        pdf = pdf.sort_values(["part", "key"])
         members = [np.frombuffer(m, np.uint64) for m in pdf["members"]]
         split = None if key[1] == key[2] else int((pdf["part"] == key[1]).sum())
-        return pd.DataFrame(forest(pdf["doc_id"].tolist(), members, split), columns=["a", "b"])
+        return pd.DataFrame(forest(pdf["key"].tolist(), members, split), columns=["a", "b"])
 
     return cells.groupBy("block", "p", "q").applyInPandas(tree, "a long, b long")
 
@@ -336,19 +352,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id for each row of docs.
 
     Null, empty and blank texts have an empty set and are alone; so is a row without an
-    id, whose component is null. Repeated rows of one id are in one component. Documents
-    with equal sets are linked. Other columns of docs aren't read.
+    id, whose component is null. Documents with equal sets are linked. Rows of one id are
+    one document: it links with whatever any of its texts links with, and its rows are in
+    one component. Other columns of docs aren't read.
     """
     own = stash(sketches(docs, id_col, text_col), "sketches")
-    classes = own.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("doc_id"), F.any_value("posted").alias("posted"))
-    classes = stash(classes, "classes")
-    single = stash(classes.groupBy("doc_id").agg(F.max_by(F.struct("n", "posted"), "n").alias("s")).select("doc_id", "s.*"), "single")
-    placed = stash(blocks(candidates(single), single), "in-blocks")
-    found = components(links(docs, placed, id_col, text_col)).withColumnsRenamed({"node": "_node"})
-    named = classes.select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), F.col("n").alias("_n"), F.col("doc_id").alias("first")).join(found, F.col("first") == F.col("_node"), "left")
-    named = stash(named.select("_fa", "_fb", "_n", F.coalesce("component", "first").alias("component_id")), "named")
-    joined = own.drop("posted").join(named, (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")) & (F.col("n") == F.col("_n")), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = own.where("n > 0 and doc_id is not null")
+    classes = stash(some.groupBy("fa", "fb", "n", "key").agg(F.min("doc_id").alias("doc_id"), F.any_value("posted").alias("posted")), "classes")
+    nodes = classes.select("key", "n", "posted")
+    placed = stash(blocks(candidates(nodes), nodes).join(classes.select(F.col("key").alias("_key"), "doc_id"), F.col("key") == F.col("_key")).drop("_key"), "in-blocks")
+    # ids with more rows than one: of one class, or of several, which are tied by the id then
+    rows = stash(some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("least"), F.max("key").alias("most")).where("rows > 1"), "repeated-ids")
+    many = some.join(rows, "doc_id")
+    ties = many.where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    repeated = many.select("key").distinct()
+    found = stash(components(links(docs, placed, repeated, id_col, text_col).union(ties)), "components")
+    grouped = classes.select("key", "doc_id").join(found.select(F.col("node").alias("_node"), "component"), F.col("key") == F.col("_node"), "left")
+    grouped = stash(grouped.select("key", "doc_id", F.coalesce("component", "key").alias("component")), "grouped")
+    least = grouped.groupBy(F.col("component").alias("_component")).agg(F.min("doc_id").alias("component_id"))
+    named = grouped.join(least, F.col("component") == F.col("_component")).select(F.col("key").alias("_key"), "component_id")
+    joined = own.drop("posted").join(stash(named, "named"), F.col("key") == F.col("_key"), "left")
+    linked_ = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked_, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

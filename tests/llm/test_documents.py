@@ -187,6 +187,33 @@ def test_near_duplicates_take_awkward_rows(awkward, nothing):
     assert ngram_join.near_duplicates(nothing).count() == 0
 
 
+def test_ngram_join_takes_all_texts_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    docs = [(1, a), (1, b), (2, f"{a} more"), (3, f"{b} more"), (3, f"{b} more"), (4, "c d e f g h"), (None, a)]
+    out = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
+    assert out.count() == len(docs)
+
+
+def test_ngram_join_agrees_with_brute_force_where_ids_repeat(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 70)]
+        texts += [" ".join(words), " ".join(words[: int(rng.integers(50, 70))]), " ".join([*words[:-1], "x"])]
+    docs = [(int(i), t) for i, t in zip(rng.integers(0, 40, len(texts)), texts, strict=True)]
+    shingles = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in docs]
+    component = {i: i for i, _ in docs}
+    for x in range(len(docs)):
+        for y in range(x):
+            both = len(shingles[x] & shingles[y])
+            if 100 * both >= 75 * len(shingles[x] | shingles[y]):
+                u, v = component[docs[x][0]], component[docs[y][0]]
+                component = {i: min(u, v) if c in (u, v) else c for i, c in component.items()}
+    out = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == sorted((i, component[i]) for i, _ in docs)
+
+
 @pytest.mark.parametrize("split", [None, 40])
 def test_signature_tree_finds_all_links(split):
     rng = np.random.default_rng(7)
