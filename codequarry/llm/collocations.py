@@ -6,11 +6,11 @@ ROLLUP over the window columns sums them all, down to the number of words of a l
 no n-grams of other lengths are made.
 
 Most windows are rare, and a phrase that occurs too seldom is neither a candidate nor a part
-of one. A first pass hashes pairs of neighbours into a fixed number of counters, merged over
-all tasks. Where a counter stays under the least number, no pair that falls into it occurs
-often enough, and the window is cut before it: what is cut off could only count towards
-phrases that are too rare. The counters are bounded in number, so on very large inputs they
-fill up and cut less; results are the same with any number of them.
+of one. A first pass hashes words and pairs of neighbours into a fixed number of counters,
+merged over all tasks. Where a counter stays under the least number, no word or pair that
+falls into it occurs often enough, and the window is cut before it: what is cut off could
+only count towards phrases that are too rare. The counters are bounded in number, so on very
+large inputs they fill up and cut less; results are the same with any number of them.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from codequarry.llm.common import gives_back, small_batches, stash, table, width
 LONGEST, LEAST, BEST, MOST_INSIDE = 3, 10, 2000, 50  # words, occurrences, phrases of a language, percent
 SCALE = 1_000_000
 PAD = ""
+ALONE = np.uint64(1 << 40)  # stands for the second word where a word is counted alone; no word's hash
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 18, 26, 14  # powers of two: pair counters, and those of a block
 HELD_WORDS, HELD_PLACES = 300_000, 2_000_000  # words that a task numbers, and places, before it gives its windows on
 PARTS = 64  # buckets of a language's ranking
@@ -44,7 +45,10 @@ class Held:
         self.row: list[int] = []
 
     def add(self, lang: str, text: str | None) -> None:
-        own = self.numbers.setdefault(lang, {})
+        own = self.numbers.get(lang)
+        if own is None:
+            own = self.numbers[lang] = {PAD: len(self.names)}
+            self.names.append((lang, PAD))
         for piece in _PIECE.split((text or "").encode("utf-8", "replace").lower().decode()):
             if words := _WORD.findall(piece):
                 for w in words:
@@ -64,6 +68,10 @@ class Held:
         out = np.stack(columns, axis=1) if self.row else np.zeros((0, longest), np.int64)
         return out[out[:, 0] >= 0]
 
+    def pads(self) -> np.ndarray:
+        """For each word the padding of its language."""
+        return np.array([self.numbers[lang][PAD] for lang, _ in self.names], np.int64)
+
     def hashes(self) -> np.ndarray:
         return np.array([zlib.crc32(f"{lang}\n{w}".encode("utf-8", "replace")) for lang, w in self.names], np.uint64)
 
@@ -97,7 +105,7 @@ def _distinct(windows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent_pairs(rows: DataFrame, least: int, bits: int) -> bytes:
-    """A bit for each counter of pairs: whether so many pairs or more fell into it.
+    """A bit for each counter: whether so many words or pairs, or more, fell into it.
 
     rows: lang, text. A task counts into one array, up to ``least``; arrays travel as packed
     blocks, and blocks of one number are added up where they meet.
@@ -110,8 +118,9 @@ def frequent_pairs(rows: DataFrame, least: int, bits: int) -> bytes:
         total = np.zeros(1 << bits, np.uint8)
         for held in _held_texts(batches):
             windows, hashes = held.windows(2), held.hashes()
-            windows = windows[windows[:, 1] >= 0]
-            slots, n = np.unique(pair_slots(hashes[windows[:, 0]], hashes[windows[:, 1]], bits), return_counts=True)
+            pairs = windows[windows[:, 1] >= 0]
+            found = pair_slots(hashes[windows[:, 0]], ALONE, bits), pair_slots(hashes[pairs[:, 0]], hashes[pairs[:, 1]], bits)
+            slots, n = np.unique(np.concatenate(found), return_counts=True)
             total[slots] = np.minimum(total[slots] + np.minimum(n, least), least)
         some = [k for k in range(blocks) if total[k * block : (k + 1) * block].any()]
         for j in range(0, len(some), 64):
@@ -143,8 +152,9 @@ def frequent_pairs(rows: DataFrame, least: int, bits: int) -> bytes:
 def counted_windows(rows: DataFrame, longest: int, marks: bytes | None, bits: int) -> DataFrame:
     """lang, w1 to w<longest>, n: the windows of each task, counted.
 
-    A window is padded past the end of its piece, and from the first pair on that the counters
-    show to be rare.
+    A window is padded past the end of its piece, and from the first word or pair on that the
+    counters show to be rare; one that begins with a rare word is all padding, and counts only
+    towards the number of words.
     """
     names = ["lang", *(f"w{k + 1}" for k in range(longest)), "n"]
     sent = rows.sparkSession.sparkContext.broadcast(marks) if marks is not None else None
@@ -157,12 +167,13 @@ def counted_windows(rows: DataFrame, longest: int, marks: bytes | None, bits: in
             windows, hashes = held.windows(longest), held.hashes()
             if often is not None:
                 alive = np.ones(len(windows), bool)
-                for k in range(1, longest):
+                for k in range(longest):
                     there = np.flatnonzero(alive & (windows[:, k] >= 0))
-                    slots = pair_slots(hashes[windows[there, k - 1]], hashes[windows[there, k]], bits).astype(np.int64)
+                    here = hashes[windows[there, k]]
+                    slots = (pair_slots(hashes[windows[there, k - 1]], here, bits) if k else pair_slots(here, ALONE, bits)).astype(np.int64)
                     alive[:] = False
                     alive[there[(often[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0]] = True
-                    windows[~alive, k] = -1
+                    windows[~alive, k] = -1 if k else held.pads()[windows[~alive, 0]]
             some, sizes = _distinct(windows, len(held.names) + 1)
             words = pa.array([w for _, w in held.names] + [PAD], pa.string())
             langs = pa.array([x for x, _ in held.names], pa.string())
