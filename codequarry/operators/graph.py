@@ -10,7 +10,6 @@ from codequarry.plans.fixpoint import fixpoint, stored
 
 
 HOPS, MOST_JUMPS = 16, 8
-METHOD_EDGES, BATCH_VALUES = 1000, 500_000
 
 
 def connected_components(edges: DataFrame, max_iter: int = 100) -> DataFrame:
@@ -162,167 +161,6 @@ def unreachable_blocks(blocks: DataFrame, cfg: DataFrame, start: int = 1) -> Dat
     return blocks.join(seen, ["method", "block"], "left_anti")
 
 
-def _reached(blocks: DataFrame, cfg: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
-    seed = blocks.where(F.col("block") == start).select("method", F.col("block").alias("root"), F.col("block").alias("node"))
-    seen = stored(reachable(cfg, seed, ("method",)).select("method", F.col("node").alias("block")))
-    live = cfg.join(seen.select("method", F.col("block").alias("src")), ["method", "src"], "left_semi")
-    return seen, stored(live.select("method", "src", "dst").distinct())
-
-
-def dominator_lists(src: list, dst: list, start) -> tuple[list, list]:
-    """The blocks that start reaches over the edges, and the sorted dominators of each.
-
-    Places are those of a reverse postorder; a block's immediate dominator is where the
-    ways up from its predecessors meet, taken until nothing changes.
-    """
-    after: dict = {}
-    for s, d in zip(src, dst, strict=True):
-        after.setdefault(s, []).append(d)
-    order, seen, way = [], {start}, [(start, iter(after.get(start, ())))]
-    while way:
-        block, rest = way[-1]
-        new = next((d for d in rest if d not in seen), None)
-        if new is None:
-            order.append(block)
-            way.pop()
-        else:
-            seen.add(new)
-            way.append((new, iter(after.get(new, ()))))
-    order.reverse()
-    place = {block: i for i, block in enumerate(order)}
-    before: list[list[int]] = [[] for _ in order]
-    for s, d in zip(src, dst, strict=True):
-        if s in place:
-            before[place[d]].append(place[s])
-    above = [0] + [-1] * (len(order) - 1)
-    changed = True
-    while changed:
-        changed = False
-        for i in range(1, len(order)):
-            new = -1
-            for p in before[i]:
-                if above[p] < 0:
-                    continue
-                new = p if new < 0 else new
-                while new != p:
-                    new, p = (above[new], p) if new > p else (new, above[p])
-            changed |= above[i] != new
-            above[i] = new
-    doms = [[start]]
-    for i in range(1, len(order)):
-        doms.append([*doms[above[i]], order[i]])
-    return order, [sorted(d) for d in doms]
-
-
-def _dominators_by_method(heads: DataFrame, cfg: DataFrame, start: int) -> DataFrame:
-    """dominators of methods with few edges: a method's edges are one row, walked in a task."""
-    edges = cfg.groupBy("method").agg(F.collect_list(F.struct("src", "dst")).alias("e"))
-    rows = heads.join(edges, "method", "left").select("method", F.coalesce("e.src", F.array()).alias("src"), F.coalesce("e.dst", F.array()).alias("dst"))
-
-    def walked(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            at, blocks, doms, size = [], [], [], 0
-            number = b.column(1).type.value_type
-            for k in range(b.num_rows):
-                order, lists = dominator_lists(b.column(1)[k].as_py(), b.column(2)[k].as_py(), start)
-                at += [k] * len(order)
-                blocks += order
-                doms += lists
-                size += sum(map(len, lists))
-                if size > BATCH_VALUES or k == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(blocks, number), pa.array(doms, pa.list_(number))], names=["method", "block", "doms"])
-                    at, blocks, doms, size = [], [], [], 0
-
-    method, block = (t.dataType.simpleString() for t in (heads.schema["method"], cfg.schema["src"]))
-    return rows.mapInArrow(walked, f"method {method}, block {block}, doms array<{block}>")
-
-
-def _dominators_by_rounds(blocks: DataFrame, cfg: DataFrame, start: int) -> DataFrame:
-    """dominators of methods of any size: lists shrink, round by round, until none does."""
-    seen, live = _reached(blocks, cfg, start)
-    everything = seen.groupBy("method").agg(F.array_sort(F.collect_list("block")).alias("all"))
-    now = seen.join(everything, "method").select("method", "block", F.when(F.col("block") == start, F.array("block")).otherwise(F.col("all")).alias("doms"))
-    now = stored(now)
-    while True:
-        came = live.join(now.withColumnRenamed("block", "src"), ["method", "src"]).groupBy("method", F.col("dst").alias("block")).agg(F.collect_list("doms").alias("_in"))
-        inside = F.aggregate(F.slice("_in", F.lit(2), F.size("_in")), F.element_at("_in", 1), lambda a, x: F.array_intersect(a, x))
-        new = F.when((F.col("block") == start) | F.col("_in").isNull(), F.array("block")).otherwise(F.array_sort(F.array_union(inside, F.array("block"))))
-        both = stored(now.join(came, ["method", "block"], "left").select("method", "block", new.alias("doms"), F.size("doms").alias("_was")))
-        now = both.drop("_was")
-        if both.where(F.size("doms") != F.col("_was")).isEmpty():
-            return now
-
-
-def dominators(blocks: DataFrame, cfg: DataFrame, start: int = 1) -> DataFrame:
-    """method, block, doms: the sorted dominators of each reachable block, itself included.
-
-    Methods of up to METHOD_EDGES edges are walked one at a time in tasks; larger ones,
-    whose edges fit no single row, go by rounds over all their blocks.
-    """
-    block = blocks.schema["block"].dataType
-    edges = cfg.select("method", F.col("src").cast(block), F.col("dst").cast(block))
-    large = stored(edges.groupBy("method").count().where(F.col("count") > METHOD_EDGES).select("method"))
-    heads = blocks.where(F.col("block") == start).select("method").distinct()
-    if large.isEmpty():
-        return stored(_dominators_by_method(heads, edges, start))
-    small = _dominators_by_method(heads.join(large, "method", "left_anti"), edges.join(large, "method", "left_anti"), start)
-    return stored(small.union(_dominators_by_rounds(blocks.join(large, "method", "left_semi"), edges.join(large, "method", "left_semi"), start)))
-
-
-def immediate_dominators(doms: DataFrame) -> DataFrame:
-    """method, block, idom: the strict dominator with the most dominators; the start has none."""
-    pairs = doms.select("method", "block", F.explode("doms").alias("idom")).where("idom <> block")
-    sizes = doms.select("method", F.col("block").alias("idom"), F.size("doms").alias("_n"))
-    return pairs.join(sizes, ["method", "idom"]).groupBy("method", "block").agg(F.max_by("idom", "_n").alias("idom"))
-
-
-def dominance_frontier(doms: DataFrame, cfg: DataFrame) -> DataFrame:
-    """method, block, frontier: x where block dominates a predecessor of x, not x strictly."""
-    dom = doms.select("method", F.col("block").alias("src"), F.explode("doms").alias("block"))
-    at = cfg.join(dom, ["method", "src"]).select("method", "block", F.col("dst").alias("frontier")).distinct()
-    strict = doms.select("method", F.col("block").alias("frontier"), F.explode("doms").alias("block")).where("block <> frontier")
-    return at.join(strict, ["method", "block", "frontier"], "left_anti")
-
-
-def dominance_tree(idoms: DataFrame, doms: DataFrame) -> DataFrame:
-    """method, block, parent, place: the tree in pre-order, children by number."""
-    # a block's dominators, from the root down, are its path in the tree
-    sizes = doms.select("method", F.col("block").alias("d"), F.size("doms").alias("n"))
-    steps = doms.select("method", "block", F.explode("doms").alias("d")).join(sizes, ["method", "d"])
-    paths = steps.groupBy("method", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "d"))), lambda s: s["d"]).alias("path"))
-    place = F.row_number().over(W.partitionBy("method").orderBy("path"))
-    rows = paths.withColumn("place", place).join(idoms.withColumnRenamed("idom", "parent"), ["method", "block"], "left")
-    return rows.select("method", "block", "parent", "place")
-
-
-def phi_sites(defs: DataFrame, frontier: DataFrame, cfg: DataFrame) -> DataFrame:
-    """method, block, name: where values of a variable (method, block, name) must be merged."""
-    step = frontier.select("method", "block", F.col("frontier").alias("_to"))
-    onward = lambda d: d.join(step, ["method", "block"]).select("method", F.col("_to").alias("block"), "name")
-    sites = fixpoint(onward(defs.select("method", "block", "name").distinct()), lambda d, _: onward(d), ["method", "block", "name"])
-    merges = cfg.groupBy("method", F.col("dst").alias("block")).agg(F.countDistinct("src").alias("_n")).where("_n > 1").drop("_n")
-    return sites.join(merges, ["method", "block"], "left_semi")
-
-
-def version_variables(defs: DataFrame, uses: DataFrame, phis: DataFrame, doms: DataFrame) -> DataFrame:
-    """method, block, name, version: the definition that a use (method, block, name) reads.
-
-    Versions number a name's merges and definitions by block, merges first; 0: none. A use
-    stands before the definition of its own block, after its merges.
-    """
-    sites = phis.select("method", "block", "name", F.lit(0).alias("kind")).union(defs.select("method", "block", "name", F.lit(1)))
-    sites = sites.withColumn("version", F.row_number().over(W.partitionBy("method", "name").orderBy("block", "kind")))
-    depth = doms.select("method", F.col("block").alias("at"), F.size("doms").alias("depth"))
-    above = doms.select("method", "block", F.explode("doms").alias("at")).join(depth, ["method", "at"])
-    rows = uses.join(doms.select("method", "block"), ["method", "block"], "left_semi").join(above, ["method", "block"])
-    # a definition of the use's own block comes too late; its row stays, without a version
-    rows = rows.withColumn("late", F.col("at") == F.col("block"))
-    rows = rows.join(sites.withColumnRenamed("block", "at").withColumn("late", F.explode(F.when(F.col("kind") == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))), ["method", "at", "name", "late"], "left")
-    return rows.groupBy("method", "block", "name").agg(F.coalesce(F.max_by("version", F.when(F.col("version").isNotNull(), F.col("depth") * 2 + F.col("kind"))), F.lit(0)).alias("version"))
-
-
 def def_use_chains(defs: DataFrame, uses: DataFrame, cfg: DataFrame) -> DataFrame:
     """method, name, def_block, use_block: definitions that reach a use from other blocks.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codequarry.operators import dominance as D
 from codequarry.operators import graph as G
 from codequarry.plans import standins as X
 from codequarry.plans.standins import sql
@@ -92,34 +93,38 @@ DF = LIVE + ", df AS (SELECT DISTINCT dm.method, dm.d AS block, lc.dst AS fronti
 PHI = DF + ", ph0 AS (SELECT DISTINCT s.method, df.frontier AS block, s.def AS name FROM x_stmts s JOIN df ON df.method = s.method AND df.block = s.block UNION SELECT p.method, df.frontier, p.name FROM ph0 p JOIN df ON df.method = p.method AND df.block = p.block), ph AS (SELECT p.* FROM ph0 p JOIN (SELECT method, dst FROM lc GROUP BY ALL HAVING count(DISTINCT src) > 1) m ON m.method = p.method AND m.dst = p.block)"
 
 
-def doms(spark, sf):
-    return G.dominators(X.x_blocks(spark, sf), X.x_cfg(spark, sf))
+def flow(spark, sf):
+    return X.x_blocks(spark, sf), X.x_cfg(spark, sf)
 
 
 @query("g7_dominators", sql("x_blocks", "x_cfg", recursive=True, more=DOMS, body="SELECT method, block, d AS dom FROM dm"))
 def g7(spark, sf):
-    return doms(spark, sf).select("method", "block", F.explode("doms").alias("dom"))
+    return D.dominators(*flow(spark, sf))
 
 
 @query("g7_immediate_dominators", sql("x_blocks", "x_cfg", recursive=True, more=DOMS, body="SELECT method, block, idom FROM idm"))
 def g7_idom(spark, sf):
-    return G.immediate_dominators(doms(spark, sf))
+    return D.dominator_tree(*flow(spark, sf)).where("idom is not null").select("method", "block", "idom")
 
 
-def live_cfg(spark, sf, d):
-    return X.x_cfg(spark, sf).join(d.select("method", F.col("block").alias("src")), ["method", "src"], "left_semi")
+ENCLOSED = DOMS + ", nu AS (SELECT method, block, n - 1 AS depth, (SELECT count(*) FROM dm x WHERE x.method = dn.method AND x.d = dn.block) AS under FROM dn)"
+
+
+@query("g7_dominance_by_numbers", sql("x_blocks", "x_cfg", recursive=True, more=ENCLOSED, body="SELECT method, block, CAST(depth AS INTEGER) AS depth, CAST(under AS INTEGER) AS under FROM nu"))
+def g7_numbers(spark, sf):
+    """Depth of each block, and how many it dominates: the numbers of a subtree are consecutive."""
+    under = ((F.col("last") - F.col("first") + 1) / 2).cast("int")
+    return D.dominator_tree(*flow(spark, sf)).select("method", "block", "depth", under.alias("under"))
 
 
 @query("g8_dominance_frontier", sql("x_blocks", "x_cfg", recursive=True, more=DOMS + DF, body="SELECT method, block, frontier FROM df"))
 def g8(spark, sf):
-    d = doms(spark, sf)
-    return G.dominance_frontier(d, live_cfg(spark, sf, d))
+    return D.dominance_frontier(*flow(spark, sf))
 
 
 @query("g9_dominance_tree", sql("x_blocks", "x_cfg", recursive=True, more=DOMS + ", pa AS (SELECT method, block, [block] AS path FROM seen WHERE block = 1 UNION ALL SELECT i.method, i.block, path || [i.block] FROM pa JOIN idm i ON i.method = pa.method AND i.idom = pa.block)", body="SELECT pa.method, pa.block, i.idom AS parent, CAST(row_number() OVER (PARTITION BY pa.method ORDER BY path) AS INTEGER) AS place FROM pa LEFT JOIN idm i ON i.method = pa.method AND i.block = pa.block"))
 def g9(spark, sf):
-    d = doms(spark, sf)
-    return G.dominance_tree(G.immediate_dominators(d), d)
+    return D.dominance_tree(D.dominator_tree(*flow(spark, sf)))
 
 
 def defs_uses(spark, sf):
@@ -127,14 +132,20 @@ def defs_uses(spark, sf):
     return s.select("method", "block", F.col("def").alias("name")), s.select("method", "block", F.col("use").alias("name"))
 
 
-def phis(spark, sf, d):
-    live = live_cfg(spark, sf, d)
-    return G.phi_sites(defs_uses(spark, sf)[0], G.dominance_frontier(d, live), live)
+def live_cfg(spark, sf, tree):
+    return X.x_cfg(spark, sf).join(tree.select("method", F.col("block").alias("src")), ["method", "src"], "left_semi")
+
+
+def phis(spark, sf, tree):
+    return D.phi_sites(defs_uses(spark, sf)[0], D.dominance_frontier(*flow(spark, sf)), live_cfg(spark, sf, tree))
 
 
 @query("g10_phi_sites", sql("x_blocks", "x_cfg", "x_stmts", recursive=True, more=DOMS + PHI, body="SELECT method, block, name FROM ph"))
 def g10(spark, sf):
-    return phis(spark, sf, doms(spark, sf))
+    return phis(spark, sf, D.dominator_tree(*flow(spark, sf)))
+
+
+SITES = DOMS + PHI + ", si AS (SELECT *, row_number() OVER (PARTITION BY method, name ORDER BY block, kind) AS version FROM (SELECT method, block, name, 0 AS kind FROM ph UNION ALL SELECT method, block, def, 1 FROM x_stmts))"
 
 
 @query(
@@ -144,14 +155,30 @@ def g10(spark, sf):
         "x_cfg",
         "x_stmts",
         recursive=True,
-        more=DOMS + PHI + ", si AS (SELECT *, row_number() OVER (PARTITION BY method, name ORDER BY block, kind) AS version FROM (SELECT method, block, name, 0 AS kind FROM ph UNION ALL SELECT method, block, def, 1 FROM x_stmts))",
+        more=SITES,
         body="SELECT u.method, u.block, u.use AS name, CAST(coalesce(max_by(si.version, dn.n * 2 + si.kind) FILTER (si.version IS NOT NULL), 0) AS INTEGER) AS version FROM x_stmts u JOIN dm ON dm.method = u.method AND dm.block = u.block JOIN dn ON dn.method = dm.method AND dn.block = dm.d LEFT JOIN si ON si.method = u.method AND si.block = dm.d AND si.name = u.use AND (si.kind = 0 OR dm.d <> u.block) GROUP BY ALL",
     ),
 )
 def g11(spark, sf):
-    d = doms(spark, sf)
+    tree = D.dominator_tree(*flow(spark, sf))
     defs, uses = defs_uses(spark, sf)
-    return G.version_variables(defs, uses, phis(spark, sf, d), d)
+    return D.version_variables(defs, uses, phis(spark, sf, tree), tree)
+
+
+@query(
+    "g11_phi_arguments",
+    sql(
+        "x_blocks",
+        "x_cfg",
+        "x_stmts",
+        recursive=True,
+        more=SITES,
+        body="SELECT p.method, p.block, p.name, lc.src AS pred, CAST(coalesce(max_by(si.version, dn.n * 2 + si.kind) FILTER (si.version IS NOT NULL), 0) AS INTEGER) AS version FROM ph p JOIN lc ON lc.method = p.method AND lc.dst = p.block JOIN dm ON dm.method = lc.method AND dm.block = lc.src JOIN dn ON dn.method = dm.method AND dn.block = dm.d LEFT JOIN si ON si.method = p.method AND si.block = dm.d AND si.name = p.name GROUP BY ALL",
+    ),
+)
+def g11_arguments(spark, sf):
+    tree = D.dominator_tree(*flow(spark, sf))
+    return D.phi_arguments(defs_uses(spark, sf)[0], phis(spark, sf, tree), tree, live_cfg(spark, sf, tree))
 
 
 @query(

@@ -6,7 +6,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.operators import calls, declarations, flow, graph, joins, repair, text, windows
+from codequarry.operators import calls, declarations, dominance, flow, graph, joins, repair, text, windows
 from codequarry.plans.fixpoint import fixpoint
 from codequarry.sources import io
 
@@ -47,18 +47,19 @@ def diamond(spark):
 
 def test_dominance_on_a_diamond(spark):
     blocks, cfg = diamond(spark)
-    doms = graph.dominators(blocks, cfg)
-    assert {r["block"]: r["doms"] for r in doms.collect()} == {1: [1], 2: [1, 2], 3: [1, 3], 4: [1, 4]}
-    assert pairs(graph.immediate_dominators(doms).select("block", "idom")) == {(2, 1), (3, 1), (4, 1)}
+    assert pairs(dominance.dominators(blocks, cfg).select("block", "dom")) == {(1, 1), (2, 1), (2, 2), (3, 1), (3, 3), (4, 1), (4, 4)}
+    tree = dominance.dominator_tree(blocks, cfg)
+    assert pairs(tree.select("block", "idom", "depth")) == {(1, None, 0), (2, 1, 1), (3, 1, 1), (4, 1, 1)}
     live = cfg.where("src <> 9")
-    frontier = graph.dominance_frontier(doms, live)
+    frontier = dominance.dominance_frontier(blocks, cfg)
     assert pairs(frontier.select("block", "frontier")) == {(2, 4), (3, 4)}
     defs = spark.createDataFrame([("m", 2, "x"), ("m", 3, "x"), ("m", 1, "y")], "method string, block int, name string")
-    phis = graph.phi_sites(defs, frontier, live)
+    phis = dominance.phi_sites(defs, frontier, live)
     assert pairs(phis.select("block", "name")) == {(4, "x")}
     uses = spark.createDataFrame([("m", 4, "x"), ("m", 4, "y"), ("m", 2, "x")], "method string, block int, name string")
-    versions = pairs(graph.version_variables(defs, uses, phis, doms).select("block", "name", "version"))
+    versions = pairs(dominance.version_variables(defs, uses, phis, tree).select("block", "name", "version"))
     assert versions == {(4, "x", 3), (4, "y", 1), (2, "x", 0)}
+    assert pairs(dominance.phi_arguments(defs, phis, tree, live).select("block", "name", "pred", "version")) == {(4, "x", 2, 1), (4, "x", 3, 2)}
     assert pairs(graph.unreachable_blocks(blocks, cfg).select("block")) == {(9,)}
 
 
@@ -241,10 +242,10 @@ def test_dependency_order_gives_the_fewest_imports(spark):
     assert sorted(map(tuple, out.select("root", "node", "hops").collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 1)]
 
 
-def test_dominators_by_walk_and_by_rounds_agree_with_brute_force(spark, monkeypatch):
+def test_dominance_agrees_with_brute_force(spark):
     rng = random.Random(7)
-    edges = [(m, rng.randint(1, 9), rng.randint(1, 9)) for m in range(40) for _ in range(rng.randint(0, 16))]
-    blocks = spark.createDataFrame([(m, b) for m in range(40) for b in range(1, 10)], "method long, block int")
+    edges = [(m, rng.randint(1, 9), rng.randint(1, 9)) for m in range(60) for _ in range(rng.randint(0, 16))]
+    blocks = spark.createDataFrame([(m, b) for m in range(60) for b in range(1, 10)], "method long, block int")
     cfg = spark.createDataFrame(edges, "method long, src int, dst int")
 
     def reach(m, without):
@@ -253,10 +254,55 @@ def test_dominators_by_walk_and_by_rounds_agree_with_brute_force(spark, monkeypa
             seen |= more
         return seen
 
-    want = {(m, b, tuple(d for d in range(1, 10) if d == b or b not in reach(m, d))) for m in range(40) for b in reach(m, 0)}
-    for most in (1000, 8, 0):  # all walked, some, none
-        monkeypatch.setattr(graph, "METHOD_EDGES", most)
-        assert {(r.method, r.block, tuple(r.doms)) for r in graph.dominators(blocks, cfg).collect()} == want
+    want = {(m, b, d) for m in range(60) for b in reach(m, 0) for d in range(1, 10) if d == b or b not in reach(m, d)}
+    assert pairs(dominance.dominators(blocks, cfg)) == want
+    tree = dominance.dominator_tree(blocks, cfg).collect()
+    assert {(b.method, b.block, a.block) for a in tree for b in tree if a.method == b.method and a.first <= b.first and b.last <= a.last} == want
+    ends = {(m, x, d) for m, s, d in edges if s in reach(m, 0) for x in range(1, 10) if (m, s, x) in want and not ((m, d, x) in want and x != d)}
+    assert pairs(dominance.dominance_frontier(blocks, cfg)) == ends
+
+
+def test_versions_agree_with_renaming_along_the_tree(spark):
+    rng = random.Random(11)
+    edges = sorted({(m, rng.randint(1, 8), rng.randint(1, 8)) for m in range(30) for _ in range(14)})
+    blocks = spark.createDataFrame([(m, b) for m in range(30) for b in range(1, 9)], "method long, block int")
+    cfg = spark.createDataFrame(edges, "method long, src int, dst int")
+    rows = [(m, b, f"v{rng.randint(0, 2)}", f"v{rng.randint(0, 2)}") for m in range(30) for b in range(1, 9)]
+    defs = spark.createDataFrame([(m, b, d) for m, b, d, _ in rows], "method long, block int, name string")
+    uses = spark.createDataFrame([(m, b, u) for m, b, _, u in rows], "method long, block int, name string")
+    tree = dominance.dominator_tree(blocks, cfg)
+    live = cfg.join(tree.select("method", F.col("block").alias("src")), ["method", "src"], "left_semi")
+    phis = dominance.phi_sites(defs, dominance.dominance_frontier(blocks, cfg), live)
+    above, merges = {(r.method, r.block): r.idom for r in tree.collect()}, pairs(phis)
+    number = {}
+    for m in range(30):
+        for name in ("v0", "v1", "v2"):
+            sites = sorted([(b, 0) for n, b, x in merges if (n, x) == (m, name)] + [(b, 1) for n, b, d, _ in rows if (n, d) == (m, name)])
+            number |= {(m, name, *site): k for k, site in enumerate(sites, 1)}
+
+    def held(m, name, block, kinds):
+        while block is not None:
+            found = [number[m, name, block, k] for k in kinds if (m, name, block, k) in number]
+            if found:
+                return found[0]
+            block, kinds = above[m, block], (1, 0)
+        return 0
+
+    assert pairs(dominance.version_variables(defs, uses, phis, tree)) == {(m, b, u, held(m, u, b, (0,))) for m, b, _, u in rows if (m, b) in above}
+    want = {(m, d, x, s, held(m, x, s, (1, 0))) for m, s, d in edges if (m, s) in above for n, b, x in merges if (n, b) == (m, d)}
+    assert pairs(dominance.phi_arguments(defs, phis, tree, live)) == want and len(want) > 50
+
+
+@pytest.mark.parametrize("shape", ["chain", "ladder", "rings"])
+def test_dominance_of_a_method_of_many_blocks_ends(spark, shape):
+    n = 100_000
+    step = {"chain": lambda i: [i + 1], "ladder": lambda i: [i + 1, i + 2] if i % 2 else [i + 2], "rings": lambda i: [i + 1, max(1, i - 2)]}[shape]
+    edges = spark.range(1, n + 1).rdd.flatMap(lambda r: [(1, r[0], d) for d in step(r[0]) if d <= n]).toDF("method long, src long, dst long")
+    tree = dominance.dominator_tree(spark.range(1, n + 1).selectExpr("1L AS method", "id AS block"), edges)
+    assert tree.count() == n
+    assert tree.where("block = 1").first()["last"] == 2 * n
+    deepest = tree.agg(F.max("depth")).first()[0]
+    assert deepest == (n // 2 - 1 if shape == "ladder" else n - 1)
 
 
 def test_innermost_scope_over_many_cells(spark):
