@@ -184,24 +184,6 @@ def tree_walk(tree: DataFrame, condition) -> DataFrame:
     return tree.select("root", "node").join(hit.withColumn("found", F.lit(True)), ["root", "node"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def assemble_component_tree(ops: DataFrame) -> DataFrame:
-    """root, ord, name, depth, parent: the tree that ordered create and pop calls build.
-
-    A pop without an open node does nothing. Depth is the balance less its lowest value,
-    so no stack is kept; a node's parent is the last node before it that is one level up.
-    """
-    w = W.partitionBy("root").orderBy("ord")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    rows = ops.withColumn("cum", F.sum(F.when(F.col("op") == "create", 1).otherwise(-1)).over(upto))
-    rows = rows.withColumn("depth", F.col("cum") - F.least(F.lit(0), F.min("cum").over(upto)))
-    made = rows.where("op = 'create'").select("root", "ord", "name", "depth")
-    up = made.select("root", F.col("ord").alias("parent"), (F.col("depth") + 1).alias("depth"))
-    both = made.withColumn("parent", F.lit(None).cast("long")).withColumn("_own", F.lit(True))
-    both = both.unionByName(up.select("root", F.col("parent").alias("ord"), F.lit(None).cast("string").alias("name"), "depth", "parent", F.lit(False).alias("_own")))
-    last = F.last("parent", ignorenulls=True).over(W.partitionBy("root", "depth").orderBy("ord", "_own").rowsBetween(W.unboundedPreceding, -1))
-    return both.withColumn("parent", last).where("_own").select("root", "ord", "name", "depth", "parent")
-
-
 def dependency_order(edges: DataFrame, start: DataFrame) -> DataFrame:
     """root, node, hops: the files that each start file (id) needs, and over how few imports.
 

@@ -205,8 +205,18 @@ def x_tree(spark, sf_dir) -> DataFrame:
 
 
 def x_tree_ops(spark, sf_dir) -> DataFrame:
+    """root, ord, op, name, callee: four conversations are one build method's calls.
+
+    Of five methods in a row the first three call the fourth, and that one the last.
+    """
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("root"), F.col("turn").alias("ord"), F.when(F.col("role") == "assistant", F.lit("pop")).otherwise(F.lit("create")).alias("op"), F.col("role").alias("name"))
+    n, root = F.length("text"), F.floor(F.col("conv_id") / 4).cast("long")
+    name = F.element_at(F.array(*map(F.lit, ("Column", "Text", "If", "Row", "Button"))), (n % 5 + 1).cast("int"))
+    rows = c.select(root.alias("root"), ((F.col("conv_id") % 4) * 1000 + F.col("turn")).cast("long").alias("ord"), F.col("role").alias("_role"), n.alias("_n"), name.alias("name"))
+    made = F.when(F.col("_n") % 7 == 0, F.lit("builder")).when(F.col("_n") % 7 == 1, F.lit("loop")).when(F.col("_n") % 7 == 2, F.lit("component")).otherwise(F.lit("create"))
+    op = F.when(F.col("_role") == "assistant", F.lit("pop")).when(F.col("_role") == "system", F.lit("branch")).otherwise(made)
+    callee = F.when(F.col("root") % 5 < 3, F.col("root") - F.col("root") % 5 + 3).when(F.col("root") % 5 == 3, F.col("root") + 1)
+    return rows.select("root", "ord", op.alias("op"), "name", F.when(op.isin("builder", "loop", "component"), callee).alias("callee"))
 
 
 def x_exports(spark, sf_dir) -> DataFrame:
@@ -263,7 +273,9 @@ SQL = {
     "x_pag": """SELECT -s_suppkey - 1 AS src, s_suppkey % n AS dst, 'address' AS kind, 0 AS field FROM supplier, n UNION SELECT src, dst, 'copy', 0 FROM x_edges_half
         UNION SELECT o_custkey, (o_orderkey * 7919 + 13) % n, CASE WHEN o_orderkey % 2 = 0 THEN 'write' ELSE 'load' END, (o_orderkey // 2) % 2 FROM orders, n WHERE o_orderpriority = '2-HIGH'""",
     "x_tree": "SELECT conv_id AS root, turn AS node, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, role AS kind, 's' || CAST(length(text) % 5 AS VARCHAR) AS state FROM conversations",
-    "x_tree_ops": "SELECT conv_id AS root, turn AS ord, CASE WHEN role = 'assistant' THEN 'pop' ELSE 'create' END AS op, role AS name FROM conversations",
+    "x_tree_ops": """SELECT root, ord, op, name, CASE WHEN op IN ('builder', 'loop', 'component') THEN CASE WHEN root % 5 < 3 THEN root - root % 5 + 3 WHEN root % 5 = 3 THEN root + 1 END END AS callee FROM (
+        SELECT conv_id // 4 AS root, (conv_id % 4) * 1000 + turn AS ord, CASE WHEN role = 'assistant' THEN 'pop' WHEN role = 'system' THEN 'branch' WHEN length(text) % 7 = 0 THEN 'builder' WHEN length(text) % 7 = 1 THEN 'loop' WHEN length(text) % 7 = 2 THEN 'component' ELSE 'create' END AS op,
+        ['Column', 'Text', 'If', 'Row', 'Button'][length(text) % 5 + 1] AS name FROM conversations)""",
     "x_exports": "SELECT page_id AS file, 'm' || CAST(page_id % 20 AS VARCHAR) AS name, page_id % 4 = 0 AS is_default, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages",
     "x_imports": """SELECT file, CAST(o AS INTEGER) AS ord, 'm' || CAST((file * 3 + o) % 20 AS VARCHAR) AS name, hrefs[o + 1] AS href, file // 2 AS target FROM (SELECT page_id AS file, hrefs, unnest(range(len(hrefs))) AS o FROM (SELECT page_id, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS hrefs FROM pages))""",
     "x_tokens": "SELECT doc_id AS path, string_split(text, ' ') AS tokens FROM documents",

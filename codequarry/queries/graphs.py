@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import dominance as D
 from codequarry.operators import graph as G
+from codequarry.operators import trees as T
 from codequarry.plans import standins as X
 from codequarry.plans.standins import sql
 
@@ -201,16 +202,32 @@ def g27(spark, sf):
     return G.tree_walk(X.x_tree(spark, sf), F.col("state") == "s1")
 
 
-@query(
-    "g28_assemble_component_tree",
-    sql(
-        "x_tree_ops",
-        more="c AS (SELECT *, sum(CASE WHEN op = 'create' THEN 1 ELSE -1 END) OVER (PARTITION BY root ORDER BY ord) AS cum FROM x_tree_ops), d AS (SELECT *, cum - least(0, min(cum) OVER (PARTITION BY root ORDER BY ord)) AS depth FROM c), m AS (SELECT * FROM d WHERE op = 'create')",
-        body="SELECT a.root, a.ord, a.name, CAST(a.depth AS BIGINT) AS depth, max(b.ord) AS parent FROM m a LEFT JOIN m b ON b.root = a.root AND b.ord < a.ord AND b.depth = a.depth - 1 GROUP BY ALL",
-    ),
-)
+HOLDERS = ["Column", "Row"]
+# calls in order, bodies put in; then call by call with the open nodes as a list
+SCAN = """op AS (SELECT root, [ord] AS path, op, name, callee FROM x_tree_ops UNION ALL SELECT p.root, list_append(p.path, o.ord), o.op, o.name, o.callee FROM op p JOIN x_tree_ops o ON p.op = 'loop' AND o.root = p.callee),
+    nu AS (SELECT root, path, op, CASE op WHEN 'branch' THEN 'IfBranch' WHEN 'builder' THEN 'Builder' WHEN 'component' THEN 'View' ELSE name END AS name, callee, row_number() OVER (PARTITION BY root ORDER BY path) AS i FROM op),
+    sc AS (SELECT root, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(path BIGINT[], name VARCHAR)[]) AS st, CAST(NULL AS BIGINT[]) AS parent FROM nu WHERE i = 1 UNION ALL
+        SELECT root, i, CASE WHEN op IN ('pop', 'builder') THEN st ELSE list_append(st, {'path': path, 'name': name}) END, CASE WHEN op <> 'pop' THEN st[-1].path END FROM (
+        SELECT root, i, op, path, name, CASE WHEN op = 'pop' OR len(st) = 0 OR list_contains(['Column', 'Row', 'If', 'IfBranch', 'Builder', 'View', 'Repeat'], st[-1].name) THEN st ELSE st[1:len(st) - 1] END AS st FROM (
+        SELECT root, i, op, path, name, CASE WHEN op = 'pop' AND name = 'If' THEN st[1:greatest(k - 1, 0)] WHEN op = 'pop' THEN CASE WHEN st[-1].name = name THEN st[1:len(st) - 1] ELSE st END WHEN op = 'branch' THEN st[1:k] ELSE st END AS st FROM (
+        SELECT n.*, s.st, coalesce(list_max(list_transform(range(1, len(s.st) + 1), lambda x: CASE WHEN s.st[x].name = 'If' THEN x ELSE 0 END)), 0) AS k FROM sc s JOIN nu n ON n.root = s.root AND n.i = s.i + 1)))),
+    ow AS (SELECT n.*, s.parent FROM nu n JOIN sc s ON s.root = n.root AND s.i = n.i WHERE n.op <> 'pop'),
+    tr AS (SELECT root, path AS place, name, parent, op, callee FROM ow UNION ALL
+        SELECT t.root, list_concat(t.place, [-1], o.path), o.name, CASE WHEN o.parent IS NULL THEN t.place ELSE list_concat(t.place, [-1], o.parent) END, o.op, o.callee FROM tr t JOIN ow o ON t.op IN ('builder', 'component') AND o.root = t.callee)"""
+
+
+@query("g28_assemble_component_tree", sql("x_tree_ops", recursive=True, more=SCAN, body="SELECT root, array_to_string(place, '.') AS place, name, array_to_string(parent, '.') AS parent FROM tr"))
 def g28(spark, sf):
-    return G.assemble_component_tree(X.x_tree_ops(spark, sf))
+    t = T.assemble_component_tree(X.x_tree_ops(spark, sf), HOLDERS)
+    dotted = lambda c: F.array_join(F.col(c).cast("array<string>"), ".").alias(c)
+    return t.select("root", dotted("place"), "name", dotted("parent"))
+
+
+@query("g28_shape_of_trees", sql("x_tree_ops", recursive=True, more=SCAN + ", d AS (SELECT root, place, 0 AS depth FROM tr WHERE parent IS NULL UNION ALL SELECT t.root, t.place, depth + 1 FROM d JOIN tr t ON t.root = d.root AND t.parent = d.place)", body="SELECT root, CAST(max(depth) AS INTEGER) AS depth, count(*) AS nodes FROM d GROUP BY root"))
+def g28_shape(spark, sf):
+    """Depth and size of each tree, with segments of one conversation each."""
+    t = T.with_depth(T.assemble_component_tree(X.x_tree_ops(spark, sf), HOLDERS, segment=1000))
+    return t.groupBy("root").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("nodes"))
 
 
 # a page's links lead to other pages by their numbers

@@ -6,7 +6,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.operators import calls, declarations, dominance, flow, graph, joins, repair, text, windows
+from codequarry.operators import calls, declarations, dominance, flow, graph, joins, repair, text, trees, windows
 from codequarry.plans.fixpoint import fixpoint
 from codequarry.sources import io
 
@@ -312,3 +312,84 @@ def test_innermost_scope_over_many_cells(spark):
     for r in out.collect():
         around = [h for h in heads if h[0] < r.line_no <= h[1]]
         assert (r.head, r.scope) == ((max(around)[0], max(around)[2]) if around else (None, None))
+
+
+def drawn(tree, root):
+    """A tree as nested text, children in order of their places."""
+    rows = [r for r in tree.collect() if r["root"] == root]
+    below = {}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        below.setdefault(tuple(r["parent"]) if r["parent"] is not None else None, []).append(r)
+    text = lambda at: " ".join(r["name"] + (f"({inner})" if (inner := text(tuple(r["place"]))) else "") for r in below.get(at, []))
+    return text(None)
+
+
+def tree_of(spark, roots, bindings=None, segment=1000):
+    rows = [(root, k, *(*call.split("/"), None, None)[:3]) for root, calls in roots.items() for k, call in enumerate(calls.split())]
+    ops = spark.createDataFrame(rows, "root string, ord long, op string, name string, callee string")
+    given = None if bindings is None else spark.createDataFrame(bindings, "root string, ord long, slot string, callee string")
+    return trees.assemble_component_tree(ops, ["Column", "Row", "ForEach", "Grid"], given, segment)
+
+
+TREES = {
+    # a node that holds nothing is closed by the next; a pop by another name does nothing
+    "names": ({"a": "create/Column create/Text create/Text pop/Column"}, "Column(Text Text)"),
+    "pop of another": ({"a": "create/Column create/Row pop/Column create/Text pop/Row create/Text"}, "Column(Row(Text Text))"),
+    "if": ({"a": "create/Column create/Text pop/Text create/If branch create/Text pop/Text create/If branch create/Text branch create/Text pop/If branch create/Text pop/If create/Text create/Button"}, "Column(Text If(IfBranch(Text If(IfBranch(Text) IfBranch(Text))) IfBranch(Text)) Text Button)"),
+    "pop of if closes what is open": ({"a": "create/Column create/If branch create/Row create/Text pop/If create/Text"}, "Column(If(IfBranch(Row(Text))) Text)"),
+    "loop": ({"a": "create/Column loop/ForEach/body pop/ForEach create/Text", "body": "create/Row create/Text pop/Text pop/Row"}, "Column(ForEach(Row(Text)) Text)"),
+    "each": ({"a": "create/Column create/Repeat each/-/body create/Text", "body": "create/Row"}, "Column(Repeat(Row Text))"),
+    "builder": ({"a": "create/Column create/Text builder/-/b create/Text", "b": "create/Row create/Text pop/Text pop/Row create/Text"}, "Column(Text Builder(Row(Text) Text) Text)"),
+    "component": ({"a": "create/Column component/-/c pop/View create/Text", "c": "create/Grid builder/-/d", "d": "create/Text"}, "Column(View(Grid(Builder(Text))) Text)"),
+    "itself": ({"a": "create/Column builder/-/a create/Text"}, "Column(Builder Text)"),
+    "pops of nothing": ({"a": "pop/Column pop/If create/Text pop/Text create/Text"}, "Text Text"),
+}
+
+
+@pytest.mark.parametrize("segment", [1000, 2, 1])
+def test_component_trees(spark, segment):
+    """All cases at once, read whole and in segments of two calls and of one."""
+    clean = {}
+    for case, (them, _) in TREES.items():
+        key = case.replace(" ", "_")
+        for root, calls in them.items():
+            clean[f"{key}:{root}"] = " ".join(c if c.count("/") < 2 else f"{c.rsplit('/', 1)[0]}/{key}:{c.rsplit('/', 1)[1]}" for c in calls.split())
+    tree = tree_of(spark, clean, segment=segment)
+    for case, (_, want) in TREES.items():
+        assert drawn(tree, f"{case.replace(' ', '_')}:a") == want, case
+
+
+def test_builder_parameters_are_filled_by_the_caller(spark):
+    roots = {"a": "create/Column component/-/c pop/View component/-/c", "c": "create/Grid slot/content", "x": "create/Text", "y": "create/Row create/Button"}
+    tree = tree_of(spark, roots, [("a", 1, "content", "x"), ("a", 3, "content", "y")])
+    assert drawn(tree, "a") == "Column(View(Grid(content(Text))) View(Grid(content(Row(Button)))))"
+    assert drawn(tree, "c") == "Grid(content)"
+
+
+def test_component_trees_by_segments_equal_a_stack(spark):
+    rng = random.Random(2)
+    names = ["Column", "Row", "Text", "If", "Button"]
+    calls = {f"r{k}": [f"{rng.choice(['create', 'create', 'pop', 'pop', 'branch'])}/{rng.choice(names)}" for _ in range(120)] for k in range(8)}
+
+    def by_stack(ops):
+        stack, parents = [], {}
+        for k, call in enumerate(ops):
+            op, name = call.split("/")
+            if op == "pop" and name == "If" or op == "branch":
+                while stack and stack[-1][1] != "If":
+                    stack.pop()
+                if op == "pop" and stack:
+                    stack.pop()
+            elif op == "pop" and stack and stack[-1][1] == name:
+                stack.pop()
+            if op != "pop":
+                if stack and stack[-1][1] not in ("Column", "Row", "If", "IfBranch"):
+                    stack.pop()
+                parents[k] = stack[-1][0] if stack else None
+                stack.append((k, "IfBranch" if op == "branch" else name))
+        return parents
+
+    for segment in (1000, 7):
+        tree = tree_of(spark, {r: " ".join(c) for r, c in calls.items()}, segment=segment).collect()
+        for r, ops in calls.items():
+            assert {t["place"][0]: t["parent"][0] if t["parent"] else None for t in tree if t["root"] == r} == by_stack(ops)
