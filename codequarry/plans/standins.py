@@ -199,6 +199,40 @@ def x_pag(spark, sf_dir) -> DataFrame:
     return s.union(copy).union(rest).distinct()
 
 
+def x_program(spark, sf_dir) -> dict[str, DataFrame]:
+    """Every order is a statement of its customer's method, of a kind by its priority.
+
+    A method has four variables (its number times four, and up): receiver, parameter, local and
+    returned value. Eight methods in a row are a module, and call each other only.
+    """
+    n = customers(spark, sf_dir)
+    o = table(spark, sf_dir, "orders")
+    k, m = F.col("o_orderkey"), F.col("o_custkey")
+    long = lambda c: c.cast("long")
+    module = m - m % 8
+    rows = o.select(
+        long(k).alias("site"), long(m).alias("method"), F.substring("o_orderpriority", 1, 1).cast("int").alias("p"), long(m * 4 + k % 4).alias("v"), long(m * 4 + F.floor(k / 4) % 4).alias("w"),
+        F.least(long(module + (k * 7919 + 13) % 8), F.lit(n - 1).cast("long")).alias("callee"), long(F.floor(k / 2) % 2).alias("field"), (k % 3).cast("int").alias("name"),
+    )
+    p, none = F.col("p"), F.lit(None).cast("long")
+    kind = F.when(p == 3, "write").when(p == 4, "load").when((p == 5) & (F.col("site") % 2 == 1), "copy").when(p == 5, "address")
+    src = F.when(kind == "address", F.col("site")).when(kind == "write", F.col("w")).otherwise(F.col("v"))
+    dst = F.when(kind.isin("address", "write"), F.col("v")).otherwise(F.col("w"))
+    calls = rows.where(p <= 2)
+    made = rows.where((p == 5) & (F.col("site") % 2 == 0))
+    each = made.withColumn("name", F.explode(F.array(F.lit(0), F.lit(1))))
+    methods = table(spark, sf_dir, "customer").select(long(F.col("c_custkey")).alias("callee"))
+    return {
+        "statements": rows.where(kind.isNotNull()).select("method", kind.alias("kind"), src.alias("src"), dst.alias("dst"), "field"),
+        "calls": calls.select("site", "method", F.when(p == 1, F.col("callee")).alias("callee"), F.when(p == 2, F.col("v")).alias("base"), F.when(p == 2, F.col("name")).alias("name"), F.when(F.col("site") % 3 > 0, F.col("w")).alias("result")),
+        "args": calls.select("site", F.lit(0).alias("pos"), F.when(p == 1, F.col("v")).otherwise(F.col("w")).alias("value")),
+        "params": methods.select("callee", F.explode(F.array(F.struct(F.lit(-1).alias("pos"), (F.col("callee") * 4).alias("name")), F.struct(F.lit(0).alias("pos"), (F.col("callee") * 4 + 1).alias("name")))).alias("x")).select("callee", "x.*"),
+        "returns": methods.select("callee", (F.col("callee") * 4 + 3).alias("value")),
+        "dispatch": each.select(F.col("site").alias("obj"), "name", F.least(F.col("method") - F.col("method") % 8 + (F.col("site") + F.col("name")) % 8, F.lit(n - 1).cast("long")).alias("callee")),
+        "entries": table(spark, sf_dir, "customer").where("c_acctbal < 0").select(long(F.col("c_custkey")).alias("method")),
+    }
+
+
 def x_tree(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("root"), F.col("turn").alias("node"), F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)).cast("long").alias("parent"), F.col("role").alias("kind"), F.concat(F.lit("s"), (F.length("text") % 5).cast("string")).alias("state"))
@@ -272,6 +306,7 @@ SQL = {
     "x_sites": "SELECT o_orderkey AS site, 'c' || CAST(o_custkey AS VARCHAR) AS caller, 'r' || CAST(n_regionkey AS VARCHAR) AS declared, c_mktsegment AS name, 'c' || CAST(o_orderkey % n AS VARCHAR) AS creates FROM orders, n, nation, customer WHERE o_orderkey % 2 = 0 AND n_nationkey = o_orderkey % 25 AND c_custkey = o_custkey",
     "x_pag": """SELECT -s_suppkey - 1 AS src, s_suppkey % n AS dst, 'address' AS kind, 0 AS field FROM supplier, n UNION SELECT src, dst, 'copy', 0 FROM x_edges_half
         UNION SELECT o_custkey, (o_orderkey * 7919 + 13) % n, CASE WHEN o_orderkey % 2 = 0 THEN 'write' ELSE 'load' END, (o_orderkey // 2) % 2 FROM orders, n WHERE o_orderpriority = '2-HIGH'""",
+    "x_program": """SELECT o_orderkey AS site, o_custkey AS method, CAST(o_orderpriority[1] AS INTEGER) AS p, o_custkey * 4 + o_orderkey % 4 AS v, o_custkey * 4 + (o_orderkey // 4) % 4 AS w, least(o_custkey - o_custkey % 8 + (o_orderkey * 7919 + 13) % 8, n - 1) AS callee, (o_orderkey // 2) % 2 AS field, o_orderkey % 3 AS name, o_orderkey % 2 AS odd, n FROM orders, n""",
     "x_tree": "SELECT conv_id AS root, turn AS node, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, role AS kind, 's' || CAST(length(text) % 5 AS VARCHAR) AS state FROM conversations",
     "x_tree_ops": """SELECT root, ord, op, name, CASE WHEN op IN ('builder', 'loop', 'component') THEN CASE WHEN root % 5 < 3 THEN root - root % 5 + 3 WHEN root % 5 = 3 THEN root + 1 END END AS callee FROM (
         SELECT conv_id // 4 AS root, (conv_id % 4) * 1000 + turn AS ord, CASE WHEN role = 'assistant' THEN 'pop' WHEN role = 'system' THEN 'branch' WHEN length(text) % 7 = 0 THEN 'builder' WHEN length(text) % 7 = 1 THEN 'loop' WHEN length(text) % 7 = 2 THEN 'component' ELSE 'create' END AS op,
@@ -280,7 +315,7 @@ SQL = {
     "x_imports": """SELECT file, CAST(o AS INTEGER) AS ord, 'm' || CAST((file * 3 + o) % 20 AS VARCHAR) AS name, hrefs[o + 1] AS href, file // 2 AS target FROM (SELECT page_id AS file, hrefs, unnest(range(len(hrefs))) AS o FROM (SELECT page_id, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS hrefs FROM pages))""",
     "x_tokens": "SELECT doc_id AS path, string_split(text, ' ') AS tokens FROM documents",
 }
-NEEDS = {"x_code": ("x_code_rows",), "x_code_findings": ("x_code_rows",), "x_queries": ("x_vectors",), "x_edges_half": ("n",), "x_edges_full": ("n",), "x_blocks": ("x_block_rows",), "x_cfg": ("x_block_rows",), "x_stmts": ("x_block_rows",), "x_sites": ("n",), "x_pag": ("n", "x_edges_half")}
+NEEDS = {"x_code": ("x_code_rows",), "x_code_findings": ("x_code_rows",), "x_queries": ("x_vectors",), "x_edges_half": ("n",), "x_edges_full": ("n",), "x_blocks": ("x_block_rows",), "x_cfg": ("x_block_rows",), "x_stmts": ("x_block_rows",), "x_sites": ("n",), "x_pag": ("n", "x_edges_half"), "x_program": ("n",)}
 
 
 def sql(*names: str, body: str, recursive: bool = False, more: str = "") -> str:

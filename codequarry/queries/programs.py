@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators import calls as K
 from codequarry.operators import flow as L
+from codequarry.operators import pointers as P
 from codequarry.plans import standins as X
 from codequarry.plans.standins import sql
 
@@ -179,6 +180,36 @@ def g22(spark, sf):
     return L.points_to_ctx(p.where("kind = 'address' or src % 5 <> 0"), calls, 2).select("var", F.array_join(F.col("ctx").cast("array<string>"), ",").alias("ctx"), "obj")
 
 
+# facts of both relations: holds 'h' (variable, context, object, its context), cell 'c', enters 'e' (site, context, callee), runs 'r'
+ON_THE_FLY = """mk AS (SELECT method, site AS o, v FROM x_program WHERE p = 5 AND odd = 0), cp AS (SELECT v AS a, w AS b FROM x_program WHERE p = 5 AND odd = 1),
+    ld AS (SELECT v AS base, field, w AS b FROM x_program WHERE p = 4), wr AS (SELECT v AS base, field, w AS a FROM x_program WHERE p = 3), di AS (SELECT site AS o, k AS name, least(method - method % 8 + (site + k) % 8, n - 1) AS callee FROM x_program, (VALUES (0), (1)) t(k) WHERE p = 5 AND odd = 0),
+    ar AS (SELECT site, CASE WHEN p = 1 THEN v ELSE w END AS value FROM x_program WHERE p <= 2), rs AS (SELECT site, w AS result FROM x_program WHERE p <= 2 AND site % 3 > 0),
+    fa(kind, id, ctx, field, obj, made, k) USING KEY (kind, id, ctx, field, obj, made) AS (SELECT DISTINCT 'r', CAST(c_custkey AS BIGINT), CAST([] AS BIGINT[]), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), 0 FROM customer WHERE c_acctbal < 0 UNION SELECT *, 1 FROM (
+        SELECT 'h' AS kind, mk.v AS id, f.ctx AS ctx, -1 AS field, mk.o AS obj, f.ctx AS made FROM recurring.fa f JOIN mk ON f.kind = 'r' AND mk.method = f.id
+        UNION SELECT 'e', x.site, f.ctx, -1, x.callee, CAST([] AS BIGINT[]) FROM recurring.fa f JOIN x_program x ON f.kind = 'r' AND x.p = 1 AND x.method = f.id
+        UNION SELECT 'h', cp.b, f.ctx, -1, f.obj, f.made FROM recurring.fa f JOIN cp ON f.kind = 'h' AND cp.a = f.id
+        UNION SELECT 'r', f.obj, list_prepend(f.obj, f.ctx)[1:K], -1, -1, CAST([] AS BIGINT[]) FROM recurring.fa f WHERE f.kind = 'e'
+        UNION SELECT 'e', x.site, f.ctx, -1, di.callee, CAST([] AS BIGINT[]) FROM recurring.fa f JOIN x_program x ON f.kind = 'h' AND x.p = 2 AND x.v = f.id JOIN di ON di.o = f.obj AND di.name = x.name
+        UNION SELECT 'h', di.callee * 4, list_prepend(di.callee, f.ctx)[1:K], -1, f.obj, f.made FROM recurring.fa f JOIN x_program x ON f.kind = 'h' AND x.p = 2 AND x.v = f.id JOIN di ON di.o = f.obj AND di.name = x.name
+        UNION SELECT 'h', ld.b, f.ctx, -1, c.obj, c.made FROM recurring.fa f JOIN ld ON f.kind = 'h' AND ld.base = f.id JOIN recurring.fa c ON c.kind = 'c' AND c.id = f.obj AND c.ctx = f.made AND c.field = ld.field
+        UNION SELECT 'c', f.obj, f.made, wr.field, s.obj, s.made FROM recurring.fa f JOIN wr ON f.kind = 'h' AND wr.base = f.id JOIN recurring.fa s ON s.kind = 'h' AND s.id = wr.a AND s.ctx = f.ctx
+        UNION SELECT 'h', e.obj * 4 + 1, list_prepend(e.obj, e.ctx)[1:K], -1, f.obj, f.made FROM recurring.fa e JOIN ar ON e.kind = 'e' AND ar.site = e.id JOIN recurring.fa f ON f.kind = 'h' AND f.id = ar.value AND f.ctx = e.ctx
+        UNION SELECT 'h', rs.result, e.ctx, -1, f.obj, f.made FROM recurring.fa e JOIN rs ON e.kind = 'e' AND rs.site = e.id JOIN recurring.fa f ON f.kind = 'h' AND f.id = e.obj * 4 + 3 AND f.ctx = list_prepend(e.obj, e.ctx)[1:K]) x
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.fa r WHERE r.kind = x.kind AND r.id = x.id AND r.ctx = x.ctx AND r.field = x.field AND r.obj = x.obj AND r.made = x.made))"""
+
+
+def context(column):
+    return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
+
+
+@query("g22_points_to_on_the_fly", sql("x_program", recursive=True, more=ON_THE_FLY.replace("K]", "2]"), body="SELECT CASE kind WHEN 'h' THEN 'variable' ELSE 'site' END AS of, id, array_to_string(ctx, ',') AS ctx, obj AS to, CASE kind WHEN 'h' THEN array_to_string(made, ',') END AS made FROM fa WHERE kind IN ('h', 'e')"))
+def g22_on_the_fly(spark, sf):
+    """What variables hold and which methods call sites enter, with contexts of two callees."""
+    held, edges = P.points_to_on_the_fly(**X.x_program(spark, sf), k=2)
+    held = held.select(F.lit("variable").alias("of"), F.col("var").alias("id"), context("ctx"), F.col("obj").alias("to"), context("made"))
+    return held.union(edges.select(F.lit("site"), "site", context("ctx"), "callee", F.lit(None).cast("string")))
+
+
 COPIES = "pt AS (SELECT dst AS var, src AS obj FROM x_pag WHERE kind = 'address' UNION SELECT p.dst, pt.obj FROM pt JOIN x_pag p ON p.src = pt.var AND p.kind = 'copy')"
 
 
