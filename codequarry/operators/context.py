@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codequarry.functions.columns import ordered_text
-from codequarry.operators.joins import held_in, overlapping_findings, with_rule_meta
+from codequarry.operators.joins import held_in, with_rule_meta
 from codequarry.operators.text import identifiers_at
 from codequarry.operators.windows import block_end, merge_ranges, next_place
 
@@ -79,12 +79,20 @@ def group_findings(ranges: DataFrame) -> DataFrame:
 
 
 def group_multi_range(ranges: DataFrame) -> DataFrame:
-    """id, group_id: findings of many ranges, grouped by chains of overlaps."""
+    """id, group_id: findings of many ranges, grouped by chains of overlaps.
+
+    Ranges of a file that meet in a row are one island. Each finding is tied to the first
+    one of each of its islands, so links are as many as ranges, not as pairs of them.
+    """
     from codequarry.operators.graph import connected_components
 
-    marked = ranges.withColumn("id", F.struct(F.col("id").alias("f"), F.monotonically_increasing_id().alias("r")))
-    pairs = overlapping_findings(marked).select(F.col("a.f").alias("src"), F.col("b.f").alias("dst")).where("src <> dst").distinct()
-    found = connected_components(pairs).withColumnsRenamed({"id": "_id"})
+    w = W.partitionBy("path").orderBy("start", "end")
+    past = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = ranges.withColumn("_new", (past.isNull() | (F.col("start") > past + 1)).cast("int"))
+    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    first = F.min("id").over(W.partitionBy("path", "_island"))
+    links = rows.select(F.col("id").alias("src"), first.alias("dst")).where("src <> dst").distinct()
+    found = connected_components(links).withColumnsRenamed({"id": "_id"})
     ids = ranges.select("id").distinct()
     return ids.join(found, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("component", "id").alias("group_id"))
 

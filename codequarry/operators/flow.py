@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,32 +11,32 @@ from codequarry.operators.graph import reachable
 from codequarry.plans.fixpoint import fixpoint, stored
 
 PATH = ["start", "start_fact", "node", "fact"]
+Flow = DataFrame | Callable[[DataFrame], DataFrame]
 
 
-def dataflow_reach(seeds: DataFrame, normal: DataFrame, calls: DataFrame, returns: DataFrame, starts: DataFrame) -> DataFrame:
+def dataflow_reach(seeds: DataFrame, normal: Flow, calls: Flow, returns: Flow) -> DataFrame:
     """Context-matched facts: path edges (start, start_fact, node, fact).
 
     seeds (node, fact) at starts of entry procedures; normal (node, fact, to, fact_to) within
-    a procedure and past calls; calls (node, fact, start, start_fact) into a callee; returns
-    (node, fact, call, to, fact_to) from a callee's end to after the call; starts (start,
-    call): which procedure starts a call enters. A callee's end reaches only the callers
-    that entered with the fact it started with; one entry fact is analysed once.
+    a procedure and past calls; calls (node, fact, callee, callee_fact) into a callee's start;
+    returns (node, fact, call, to, fact_to) from a callee's end to after the call. Each is a
+    relation, or a function that adds its last columns to path edges, so that flows over many
+    facts need no table. A callee's end reaches only the callers that entered with the fact
+    it started with; one entry fact is analysed once.
     """
-    normal, calls, returns = stored(normal), stored(calls), stored(returns)
+    normal, calls, returns = (_flow(f) for f in (normal, calls, returns))
     seed = seeds.select(F.col("node").alias("start"), F.col("fact").alias("start_fact"), "node", "fact")
 
     def entered(paths: DataFrame) -> DataFrame:
         """Path edges at call nodes, with what they enter the callee with."""
-        c = calls.select("node", "fact", F.col("start").alias("callee"), F.col("start_fact").alias("callee_fact"))
-        return paths.join(c, ["node", "fact"]).select("start", "start_fact", F.col("node").alias("call"), "callee", "callee_fact")
+        return calls(paths).select("start", "start_fact", F.col("node").alias("call"), "callee", "callee_fact")
 
     def left(paths: DataFrame) -> DataFrame:
         """Path edges at ends of callees, with where each return leads."""
-        rows = paths.join(returns, ["node", "fact"])
-        return rows.select(F.col("start").alias("callee"), F.col("start_fact").alias("callee_fact"), "call", "to", "fact_to")
+        return returns(paths).select(F.col("start").alias("callee"), F.col("start_fact").alias("callee_fact"), "call", "to", "fact_to")
 
     def step(delta: DataFrame, known: DataFrame) -> DataFrame:
-        onward = delta.join(normal, ["node", "fact"]).select("start", "start_fact", F.col("to").alias("node"), F.col("fact_to").alias("fact"))
+        onward = normal(delta).select("start", "start_fact", F.col("to").alias("node"), F.col("fact_to").alias("fact"))
         inside = entered(delta).select(F.col("callee").alias("start"), F.col("callee_fact").alias("start_fact"), F.col("callee").alias("node"), F.col("callee_fact").alias("fact"))
         back = lambda a, b: a.join(b, ["call", "callee", "callee_fact"]).select("start", "start_fact", F.col("to").alias("node"), F.col("fact_to").alias("fact"))
         return onward.union(inside).union(back(entered(delta), left(known))).union(back(entered(known), left(delta)))
@@ -42,6 +44,13 @@ def dataflow_reach(seeds: DataFrame, normal: DataFrame, calls: DataFrame, return
     return fixpoint(seed, step, PATH)
 
 
+def _flow(given: Flow) -> Callable[[DataFrame], DataFrame]:
+    if callable(given):
+        return given
+    relation = stored(given.withColumnsRenamed({"start": "callee", "start_fact": "callee_fact"}))
+    return lambda paths: paths.join(relation, ["node", "fact"])
+
+
 def taint_flows(stmts: DataFrame, cfg: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
     """method, source, sink, fact: a value defined at a source block read at a sink block.
 

@@ -163,6 +163,21 @@ def match_methods(spec: DataFrame, methods: DataFrame, default: str = "_default"
     return methods.join(wanted, ["class", "name"])
 
 
+def match_signatures(spec: DataFrame, methods: DataFrame, default: str = "_default") -> DataFrame:
+    """spec's columns with the method that each row names; rows that name none are dropped.
+
+    spec: file, namespace, class, name, params, role; methods: method, file, namespace, class, name,
+    params. A namespace _ is the file itself (null in methods), a class _ is the default class.
+    params is an array of "name:type" that must be equal, null for any; without it the
+    first method of that name counts, by its params and key.
+    """
+    wanted = spec.select("file", F.when(F.col("namespace") != "_", F.col("namespace")).alias("_ns"), F.when(F.col("class") == "_", F.lit(default)).otherwise(F.col("class")).alias("_class"), "name", F.col("params").alias("_params"), "role", F.struct(*spec.columns).alias("_spec"))
+    have = methods.select(F.col("method"), "file", F.col("namespace").alias("_ns_has"), F.col("class").alias("_class"), "name", F.col("params").alias("_has"))
+    rows = wanted.join(have, ["file", "_class", "name"]).where(F.col("_ns").eqNullSafe(F.col("_ns_has")) & (F.col("_params").isNull() | (F.col("_params") == F.col("_has"))))
+    first = rows.groupBy("_spec").agg(F.min_by("method", F.struct("_has", "method")).alias("method"))
+    return first.select("_spec.*", "method")
+
+
 def visible_names(scopes: DataFrame, names: DataFrame, imports: DataFrame) -> DataFrame:
     """scope, name: what each scope sees: its own, its children's exported, imported, inherited.
 

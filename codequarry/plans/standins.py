@@ -157,6 +157,39 @@ def x_stmts(spark, sf_dir) -> DataFrame:
     return r.select("method", "block", F.concat(F.lit("v"), (F.col("l_suppkey") % 3).cast("string")).alias("def"), F.concat(F.lit("v"), (F.col("l_partkey") % 3).cast("string")).alias("use"))
 
 
+def x_flow_rows(spark, sf_dir) -> DataFrame:
+    """A statement for each line item: variables and fields by its numbers, calls in second blocks.
+
+    Of eight methods in a row each but the last calls the next; the first is an entry.
+    """
+    r = x_block_rows(spark, sf_dir)
+    m, b = F.col("method"), F.col("block")
+    var = lambda c: F.concat(F.lit("v"), (F.col(c) % 3).cast("string"))
+    calls = (b == 2) & (m % 8 != 7)
+    flag = F.col("l_returnflag")
+    return r.select(
+        m.cast("long").alias("method"), b.alias("block"), (m * 1000 + b).cast("long").alias("node"), calls.alias("calls"), var("l_suppkey").alias("def_base"),
+        F.when((flag == "A") & ~calls, "f").otherwise("").alias("def_field"), var("l_partkey").alias("use_base"), F.when((flag == "N") & ~calls, "f").otherwise("").alias("use_field"), F.col("l_quantity").alias("quantity"),
+    )
+
+
+def x_flow(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of a Program, and its statements with their quantities."""
+    rows = x_flow_rows(spark, sf_dir)
+    methods = rows.groupBy("method").agg(F.max("node").alias("last")).withColumn("first", (F.col("method") * 1000 + 1))
+    node = lambda c: (F.col("method") * 1000 + F.col(c)).cast("long")
+    calls = rows.where("calls").select("node", (F.col("method") + 1).alias("method")).join(methods, "method").select("node", F.col("first").alias("callee"))
+    return {
+        "statements": rows.select("node", "def_base", "def_field", "use_base", "use_field"),
+        "after": x_cfg(spark, sf_dir).select(node("src").alias("node"), node("dst").alias("to")),
+        "calls": calls,
+        "args": rows.where("calls").select("node", F.lit(0).alias("pos"), F.col("use_base").alias("value")),
+        "params": methods.select(F.col("first").alias("callee"), F.lit(0).alias("pos"), F.lit("v0").alias("name")),
+        "exits": methods.select(F.col("first").alias("callee"), F.col("last").alias("node"), F.lit("v1").alias("value")),
+        "entries": methods.where("method % 8 = 0").select(F.col("first").alias("node")),
+    }, rows
+
+
 def x_extends(spark, sf_dir) -> DataFrame:
     """child, parent: customer below nation below region."""
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
@@ -300,6 +333,8 @@ SQL = {
         SELECT method, block AS src, unnest([CASE WHEN NOT (l_returnflag = 'R' AND l_linestatus = 'O') THEN block + 1 END, CASE WHEN l_returnflag = 'A' OR l_returnflag = 'R' AND l_linestatus = 'O' THEN block + 2 END, CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN greatest(1, block - 2) END]) AS dst, last
         FROM (SELECT *, max(block) OVER (PARTITION BY method) AS last FROM x_block_rows)) WHERE dst <= last""",
     "x_stmts": "SELECT method, block, 'v' || CAST(l_suppkey % 3 AS VARCHAR) AS def, 'v' || CAST(l_partkey % 3 AS VARCHAR) AS use FROM x_block_rows",
+    "x_flow": """SELECT method, block, method * 1000 + block AS node, block = 2 AND method % 8 <> 7 AS calls, 'v' || CAST(l_suppkey % 3 AS VARCHAR) AS db, CASE WHEN l_returnflag = 'A' AND NOT (block = 2 AND method % 8 <> 7) THEN 'f' ELSE '' END AS df,
+        'v' || CAST(l_partkey % 3 AS VARCHAR) AS ub, CASE WHEN l_returnflag = 'N' AND NOT (block = 2 AND method % 8 <> 7) THEN 'f' ELSE '' END AS uf, l_quantity AS q FROM x_block_rows""",
     "x_extends": "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS child, 'r' || CAST(n_regionkey AS VARCHAR) AS parent FROM nation UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), 'n' || CAST(c_nationkey AS VARCHAR) FROM customer",
     "x_classes": "SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS class, true AS abstract FROM region UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), false FROM nation UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), false FROM customer",
     "x_methods": "SELECT 'c' || CAST(c_custkey AS VARCHAR) AS class, c_mktsegment AS name, false AS abstract FROM customer UNION ALL SELECT 'r' || CAST(r_regionkey AS VARCHAR), name, true FROM region, (SELECT DISTINCT c_mktsegment AS name FROM customer)",
@@ -315,7 +350,7 @@ SQL = {
     "x_imports": """SELECT file, CAST(o AS INTEGER) AS ord, 'm' || CAST((file * 3 + o) % 20 AS VARCHAR) AS name, hrefs[o + 1] AS href, file // 2 AS target FROM (SELECT page_id AS file, hrefs, unnest(range(len(hrefs))) AS o FROM (SELECT page_id, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS hrefs FROM pages))""",
     "x_tokens": "SELECT doc_id AS path, string_split(text, ' ') AS tokens FROM documents",
 }
-NEEDS = {"x_code": ("x_code_rows",), "x_code_findings": ("x_code_rows",), "x_queries": ("x_vectors",), "x_edges_half": ("n",), "x_edges_full": ("n",), "x_blocks": ("x_block_rows",), "x_cfg": ("x_block_rows",), "x_stmts": ("x_block_rows",), "x_sites": ("n",), "x_pag": ("n", "x_edges_half"), "x_program": ("n",)}
+NEEDS = {"x_code": ("x_code_rows",), "x_code_findings": ("x_code_rows",), "x_queries": ("x_vectors",), "x_edges_half": ("n",), "x_edges_full": ("n",), "x_blocks": ("x_block_rows",), "x_cfg": ("x_block_rows",), "x_stmts": ("x_block_rows",), "x_sites": ("n",), "x_pag": ("n", "x_edges_half"), "x_program": ("n",), "x_flow": ("x_block_rows", "x_cfg")}
 
 
 def sql(*names: str, body: str, recursive: bool = False, more: str = "") -> str:

@@ -179,6 +179,24 @@ def j13(spark, sf):
     return J.match_methods(spec, X.x_methods(spark, sf), default="c0").select("class", "name", "abstract", "role")
 
 
+SIGNED = """me AS (SELECT 'm' || CAST(c_custkey AS VARCHAR) AS method, 'f' || CAST(c_nationkey AS VARCHAR) AS file, CASE WHEN c_custkey % 3 > 0 THEN 'ns' || CAST(c_custkey % 3 AS VARCHAR) END AS namespace, CASE WHEN c_custkey % 4 = 0 THEN '_default' ELSE 'c' || CAST(c_custkey % 4 AS VARCHAR) END AS class, c_mktsegment AS name, ['x:number', 'y:string', 'z:any'][1:c_custkey % 4] AS params FROM customer),
+    sp AS (SELECT file, coalesce(namespace, '_') AS namespace, CASE WHEN class = '_default' THEN '_' ELSE class END AS class, name, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN params ELSE ['other:any'] END AS params, CASE WHEN c_acctbal < 0 THEN 'source' ELSE 'sink' END AS role, 'm' || CAST(c_custkey AS VARCHAR) AS asked FROM me JOIN customer ON method = 'm' || CAST(c_custkey AS VARCHAR)),
+    hit AS (SELECT s.*, m.method, m.params AS has FROM sp s JOIN me m ON m.file = s.file AND m.namespace IS NOT DISTINCT FROM CASE WHEN s.namespace <> '_' THEN s.namespace END AND m.class = CASE WHEN s.class = '_' THEN '_default' ELSE s.class END AND m.name = s.name AND (s.params IS NULL OR s.params = m.params))"""
+
+
+@query("j13_match_signatures", f"WITH {SIGNED} SELECT role, asked, (SELECT h.method FROM hit h WHERE h.asked = x.asked AND h.role = x.role ORDER BY h.has, h.method LIMIT 1) AS method FROM (SELECT DISTINCT role, asked FROM hit) x")
+def j13_signatures(spark, sf):
+    c = X.table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    tag = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    space, cls = F.when(k % 3 > 0, tag("ns", k % 3)), tag("c", k % 4)
+    params = F.slice(F.array(*map(F.lit, ("x:number", "y:string", "z:any"))), F.lit(1), (k % 4).cast("int"))
+    methods = c.select(tag("m", k).alias("method"), tag("f", F.col("c_nationkey")).alias("file"), space.alias("namespace"), F.when(k % 4 == 0, "_default").otherwise(cls).alias("class"), F.col("c_mktsegment").alias("name"), params.alias("params"))
+    wanted = F.when(k % 3 == 1, params).when(k % 3 == 2, F.array(F.lit("other:any")))
+    spec = c.select(tag("f", F.col("c_nationkey")).alias("file"), F.coalesce(space, F.lit("_")).alias("namespace"), F.when(k % 4 == 0, "_").otherwise(cls).alias("class"), F.col("c_mktsegment").alias("name"), wanted.alias("params"), F.when(F.col("c_acctbal") < 0, "source").otherwise("sink").alias("role"), tag("m", k).alias("asked"))
+    return J.match_signatures(spec, methods).select("role", "asked", "method")
+
+
 def _visible(spark, sf, names):
     r, n = X.table(spark, sf, "region"), X.table(spark, sf, "nation")
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codequarry.operators import calls as K
 from codequarry.operators import flow as L
 from codequarry.operators import pointers as P
+from codequarry.operators import tracking as T
 from codequarry.plans import standins as X
 from codequarry.plans.standins import sql
 
@@ -120,9 +121,8 @@ def procedures(spark, sf):
     last = s.groupBy("method").agg(F.max("block").alias("end"))
     back = sites.join(e.select("method", F.col("src").alias("block"), "dst"), ["method", "block"]).join(last.select((m - 1).alias("method"), "end"), "method")
     returns = back.select(node(m + 1, F.col("end")).alias("node"), F.lit("v1").alias("fact"), node(m, b).alias("call"), node(m, F.col("dst")).alias("to"), F.col("def").alias("fact_to"))
-    starts = sites.select(node(m + 1, F.lit(1)).alias("start"), node(m, b).alias("call"))
     seeds = methods.where("method % 4 = 0").select(node(m, F.lit(1)).alias("node"), F.lit("v0").alias("fact"))
-    return seeds, normal.union(past), calls, returns, starts
+    return seeds, normal.union(past), calls, returns
 
 
 PROCEDURES = """ps AS (SELECT * FROM x_stmts), pc AS (SELECT * FROM x_cfg), pf AS (SELECT s.*, c.dst, f.fact FROM ps s JOIN pc c ON c.method = s.method AND c.src = s.block, (VALUES ('v0'), ('v1'), ('v2')) f(fact)),
@@ -151,6 +151,39 @@ def g19(spark, sf):
     return L.taint_flows(s, X.x_cfg(spark, sf), s.where("block % 7 = 0").select("method", "block"), s.where("block % 5 = 0").select("method", "block"))
 
 
+# path edges: start, its fact (source, base, field), node, fact; source -1 is "nothing yet"
+TRACKED = """fs AS MATERIALIZED (SELECT * FROM x_flow), mt AS MATERIALIZED (SELECT method, method * 1000 + 1 AS first, max(node) AS last FROM fs GROUP BY method),
+    af AS MATERIALIZED (SELECT method * 1000 + src AS node, method * 1000 + dst AS t FROM x_cfg), cl AS MATERIALIZED (SELECT f.node, f.db, f.ub, m.first AS callee, m.last FROM fs f JOIN mt m ON f.calls AND m.method = f.method + 1), ge AS (SELECT node, db AS b, df AS f FROM fs WHERE GEN),
+    pe(s, ss, sb, sf, n, c, b, f, k) USING KEY (s, ss, sb, sf, n, c, b, f) AS (SELECT DISTINCT first, CAST(-1 AS BIGINT), '', '', first, CAST(-1 AS BIGINT), '', '', 0 FROM mt WHERE method % 8 = 0 UNION SELECT *, 1 FROM (
+        SELECT p.s, p.ss, p.sb, p.sf, af.t AS n, p.c, p.b, p.f FROM recurring.pe p JOIN af ON af.node = p.n JOIN fs ON fs.node = p.n WHERE p.c = -1 OR NOT (fs.db = p.b AND (fs.df = '' OR fs.df = p.f))
+        UNION SELECT p.s, p.ss, p.sb, p.sf, af.t, p.c, fs.db, CASE WHEN fs.df <> '' THEN fs.df WHEN fs.uf = '' THEN p.f ELSE '' END FROM recurring.pe p JOIN af ON af.node = p.n JOIN fs ON fs.node = p.n AND fs.ub = p.b AND (fs.uf = '' OR fs.uf = p.f OR THROUGH AND p.f = '') WHERE p.n NOT IN (SELECT node FROM cl)
+        UNION SELECT p.s, p.ss, p.sb, p.sf, af.t, ge.node, ge.b, ge.f FROM recurring.pe p JOIN af ON af.node = p.n JOIN ge ON ge.node = p.n WHERE p.c = -1
+        UNION SELECT cl.callee, p.c, '', '', cl.callee, p.c, '', '' FROM recurring.pe p JOIN cl ON cl.node = p.n WHERE p.c = -1
+        UNION SELECT cl.callee, p.c, 'v0', p.f, cl.callee, p.c, 'v0', p.f FROM recurring.pe p JOIN cl ON cl.node = p.n AND cl.ub = p.b
+        UNION SELECT p.s, p.ss, p.sb, p.sf, af.t, z.c, r.b, z.f FROM recurring.pe p JOIN cl ON cl.node = p.n AND (p.c = -1 OR cl.ub = p.b) JOIN recurring.pe z ON z.s = cl.callee AND z.n = cl.last AND z.ss = p.c AND z.sb = CASE WHEN p.c = -1 THEN '' ELSE 'v0' END AND z.sf = p.f JOIN af ON af.node = p.n,
+            LATERAL (SELECT cl.db AS b WHERE z.b = 'v1' UNION ALL SELECT cl.ub WHERE z.b = 'v0' AND z.f <> '') r) x
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.pe r WHERE r.s = x.s AND r.ss = x.ss AND r.sb = x.sb AND r.sf = x.sf AND r.n = x.n AND r.c = x.c AND r.b = x.b AND r.f = x.f))"""
+
+
+def flow_program(spark, sf):
+    tables, rows = X.x_flow(spark, sf)
+    return T.Program(**tables), rows
+
+
+@query("g19_taint_across_methods", sql("x_flow", recursive=True, more=TRACKED.replace("GEN", "q > 45").replace("THROUGH", "true"), body="SELECT DISTINCT p.c AS source, p.n AS sink, p.b AS base, p.f AS field FROM pe p JOIN fs ON fs.node = p.n AND fs.ub = p.b AND fs.q < 5 WHERE p.c <> -1"))
+def g19_across(spark, sf):
+    program, rows = flow_program(spark, sf)
+    sources = rows.where("quantity > 45").select("node", F.col("def_base").alias("base"), F.col("def_field").alias("field"))
+    return T.taint_flows(program, sources, rows.where("quantity < 5").select("node", F.col("use_base").alias("base")))
+
+
+@query("g20_undefined_fields", sql("x_flow", recursive=True, more=TRACKED.replace("GEN", "q > 47 OR q < 2").replace("THROUGH", "false"), body="SELECT DISTINCT p.n AS node, p.b AS base, fs.uf AS field, p.c AS source FROM pe p JOIN fs ON fs.node = p.n AND fs.ub = p.b AND fs.uf <> '' WHERE p.c <> -1 AND p.f = ''"))
+def g20_fields(spark, sf):
+    program, rows = flow_program(spark, sf)
+    missing = rows.where("quantity > 47 or quantity < 2").select("node", F.col("def_base").alias("base"), F.col("def_field").alias("field"))
+    return T.undefined_uses(program, missing)
+
+
 @query("g20_undefined_uses", sql("x_stmts", "x_cfg", recursive=True, more="u AS (SELECT DISTINCT method, 1 AS block, use AS name FROM x_stmts UNION SELECT u.method, c.dst, u.name FROM u JOIN x_stmts s ON s.method = u.method AND s.block = u.block AND s.def <> u.name JOIN x_cfg c ON c.method = u.method AND c.src = u.block)", body="SELECT u.method, u.block, u.name FROM u JOIN x_stmts s ON s.method = u.method AND s.block = u.block AND s.use = u.name"))
 def g20(spark, sf):
     return L.undefined_uses(X.x_stmts(spark, sf), X.x_cfg(spark, sf))

@@ -6,7 +6,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.operators import calls, declarations, dominance, flow, graph, joins, pointers, repair, text, trees, windows
+from codequarry.operators import calls, declarations, dominance, flow, graph, joins, pointers, repair, rounds, text, tracking, trees, windows
 from codequarry.plans.fixpoint import fixpoint
 from codequarry.sources import io
 
@@ -104,8 +104,7 @@ def test_facts_return_only_to_their_caller(spark):
     normal = make([(1, "x", 10, "x"), (2, "y", 20, "y"), (50, "a", 51, "a"), (50, "b", 51, "b")], "node long, fact string, to long, fact_to string")
     into = make([(10, "x", 50, "a"), (20, "y", 50, "b")], "node long, fact string, start long, start_fact string")
     back = make([(51, f, c, t, f) for f, (c, t) in product("ab", ((10, 11), (20, 21)))], "node long, fact string, call long, to long, fact_to string")
-    starts = make([(50, 10), (50, 20)], "start long, call long")
-    found = pairs(flow.dataflow_reach(seeds, normal, into, back, starts).select("node", "fact"))
+    found = pairs(flow.dataflow_reach(seeds, normal, into, back).select("node", "fact"))
     assert {(11, "a"), (21, "b")} <= found and not {(11, "b"), (21, "a")} & found
 
 
@@ -443,3 +442,117 @@ def test_fields_of_objects_by_context_and_receivers(spark):
     assert {o for v, _, o, _ in held if v == 12} == {100, 200}  # entries have no context: both made under [3]
     assert (3, (), 4) in edges and not any(callee == 5 for *_, callee in edges)
     assert {(c, o) for v, c, o, _ in held if v == 40} == {((4,), 300)}
+
+
+def program(spark, statements, after, calls=(), args=(), params=(), exits=(), entries=()):
+    make = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    return tracking.Program(
+        make(statements, "node long, def_base string, def_field string, use_base string, use_field string"), make(after, "node long, to long"), make(calls, "node long, callee long"), make(args, "node long, pos int, value string"),
+        make(params, "callee long, pos int, name string"), make(exits, "callee long, node long, value string"), make([(e,) for e in entries], "node long"),
+    )
+
+
+def two_callers(spark):
+    """1: a = source(); 2: b = id(a); 3: sink(b) and 11: c = clean; 12: d = id(c); 13: sink(d); 50: id(p) { return p }."""
+    statements = [(1, "a", "", None, ""), (2, "b", "", "a", ""), (3, None, "", "b", ""), (11, "c", "", None, ""), (12, "d", "", "c", ""), (13, None, "", "d", ""), (50, None, "", "p", ""), (51, None, "", "p", "")]
+    return program(spark, statements, [(1, 2), (2, 3), (11, 12), (12, 13), (50, 51)], [(2, 50), (12, 50)], [(2, 0, "a"), (12, 0, "c")], [(50, 0, "p")], [(50, 51, "p")], [1, 11])
+
+
+def test_taint_crosses_methods_and_returns_to_its_own_caller(spark):
+    sources = spark.createDataFrame([(1, "a", "")], "node long, base string, field string")
+    sinks = spark.createDataFrame([(3, "b"), (13, "d"), (51, "p")], "node long, base string")
+    assert pairs(tracking.taint_flows(two_callers(spark), sources, sinks)) == {(1, 3, "b", ""), (1, 51, "p", "")}
+
+
+def test_taint_from_a_source_within_a_callee_and_through_fields(spark):
+    """1: o.f = secret() via 50(q) { q.f = source() }; 2: x = o.f; 3: o.f = clean; 4: sink(o), 5: sink(x)."""
+    statements = [(1, None, "", "o", ""), (2, "x", "", "o", "f"), (3, "o", "f", None, ""), (4, None, "", "o", ""), (5, None, "", "x", ""), (50, "q", "f", None, ""), (51, None, "", "q", "")]
+    them = program(spark, statements, [(1, 2), (2, 3), (3, 4), (4, 5), (50, 51)], [(1, 50)], [(1, 0, "o")], [(50, 0, "q")], [(50, 51, None)], [1])
+    sources = spark.createDataFrame([(50, "q", "f")], "node long, base string, field string")
+    sinks = spark.createDataFrame([(2, "o"), (4, "o"), (5, "x")], "node long, base string")
+    assert pairs(tracking.taint_flows(them, sources, sinks)) == {(50, 2, "o", "f"), (50, 5, "x", "")}
+
+
+def test_undefined_bases_and_fields(spark):
+    """1: o = new C, o.f not set; 2: t = o.f; 3: r = t.g; 4: o.f = v; 5: u = o.f; 6: s = u.g."""
+    statements = [(1, "o", "", None, ""), (2, "t", "", "o", "f"), (3, "r", "", "t", "g"), (4, "o", "f", "v", ""), (5, "u", "", "o", "f"), (6, "s", "", "u", "g")]
+    them = program(spark, statements, [(k, k + 1) for k in range(1, 6)], entries=[1])
+    missing = spark.createDataFrame([(1, "o", "f")], "node long, base string, field string")
+    assert pairs(tracking.undefined_uses(them, missing)) == {(3, "t", "g", 1)}
+
+
+def test_signatures_name_methods_by_file_namespace_class_and_parameters(spark):
+    methods = spark.createDataFrame([("m1", "f", None, "_default", "run", ["x:number"]), ("m2", "f", "n", "C", "run", []), ("m3", "f", "n", "C", "run", ["x:number"]), ("m4", "g", None, "C", "run", [])], "method string, file string, namespace string, class string, name string, params array<string>")
+    rows = [("f", "_", "_", "run", ["x:number"], "a"), ("f", "n", "C", "run", ["x:number"], "b"), ("f", "n", "C", "run", None, "c"), ("f", "_", "C", "run", None, "d"), ("g", "_", "C", "run", ["x:number"], "e"), ("g", "_", "C", "run", [], "f")]
+    spec = spark.createDataFrame(rows, "file string, namespace string, class string, name string, params array<string>, role string")
+    assert pairs(joins.match_signatures(spec, methods).select("role", "method")) == {("a", "m1"), ("b", "m3"), ("c", "m2"), ("f", "m4")}
+
+
+CODE = """struct A {
+  @State n: number = 0;
+  build() {
+    Column() {
+      Text(this.n)
+    }
+  }
+  other() {
+    return 1;
+  }
+}"""
+
+
+def replace_text():
+    """Puts Row for Column; leaves a bracket open at the first attempt for files that say so; never answers on Lost."""
+
+    def reply(prompt):
+        code = prompt.split("Code:\n")[-1]
+        if "Lost" in code:
+            raise TimeoutError("no answer")
+        if "Slow" in code and not prompt.startswith("Attempt 2"):
+            return "```ets\n" + code + " {\n```"
+        if "Parts" in code:
+            code += "\n// ...\nmore"
+        return "```ets\n" + code.replace("Column", "Row") + "\n```"
+
+    return reply
+
+
+def lengths():
+    return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+
+def test_a_round_puts_answers_back_into_files(spark, tmp_path):
+    names = {"a": CODE, "slow": CODE.replace("Text", "Slow"), "lost": CODE.replace("Text", "Lost"), "parts": CODE.replace("Text", "Parts"), "clean": CODE}
+    files = spark.createDataFrame(list(names.items()), "path string, content string")
+    findings = spark.createDataFrame([(p, 5, "r1") for p in names if p != "clean"] + [("a", 9, "r2"), ("a", 2, "r9"), ("clean", 2, "r9")], "path string, line int, rule string")
+    meta = spark.createDataFrame([("r1", False), ("r2", False), ("r9", True)], "rule string, needs_context boolean")
+    examples = spark.createDataFrame([(1, "r1", "bad", "slow", "good"), (2, "r1", "bad2", "x", "good2"), (3, "r2", "b", "c", "d")], "id long, rule string, problem string, note string, fix string")
+    vectors = spark.createDataFrame([(1, "r1", [1.0, 0.0]), (2, "r1", [0.0, 1.0]), (3, "r2", [1.0, 1.0])], "id long, rule string, vec array<double>")
+    tables = (findings, meta, examples, vectors, replace_text, lengths)
+    out = rounds.repair_round(spark, str(tmp_path), 1, files.where("path <> 'clean'"), *tables)
+    got = {r.path: r for r in out.collect()}
+    assert {p: (r.status, r.attempt) for p, r in got.items()} == {"a": ("fixed", 1), "slow": ("fixed", 2), "lost": ("failed", None), "parts": ("failed", None)}
+    assert got["a"].content == CODE.replace("Column", "Row") and got["lost"].content == names["lost"]
+    assert got["slow"].content == names["slow"].replace("Column", "Row")
+    again = {r.path: r for r in rounds.repair_round(spark, str(tmp_path), 1, files.withColumn("content", F.concat("content", F.lit("!"))), *tables).collect()}
+    assert again["clean"].content == CODE + "!" and again["clean"].status == "unchanged"  # rule r9 has no example
+    assert {p: r for p, r in again.items() if p != "clean"} == got  # finished files aren't done again
+
+
+def test_splice_equals_a_fold_of_the_patches(spark):
+    rng = random.Random(4)
+    text_of = {f"f{k}": [f"line {k}.{j}" for j in range(30)] for k in range(6)}
+    patches = []
+    for path in text_of:
+        at = 1
+        while (start := at + rng.randint(0, 5)) <= 26:
+            end = start + rng.randint(0, 3)
+            patches.append((path, start, end, "\n".join(f"new {start}.{j}" for j in range(rng.randint(1, 4)))))
+            at = end + 1 + rng.randint(0, 2)
+    lines = spark.createDataFrame([(p, j + 1, t) for p, ts in text_of.items() for j, t in enumerate(ts)], "path string, line_no int, text string")
+    got = {}
+    for r in rounds.splice(lines, spark.createDataFrame(patches, "path string, start int, end int, text string")).orderBy("path", "line_no").collect():
+        got.setdefault(r.path, []).append(r.text)
+    for path, start, end, new in sorted(patches, reverse=True):
+        text_of[path][start - 1 : end] = new.split("\n")
+    assert got == text_of
