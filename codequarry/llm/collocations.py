@@ -6,11 +6,11 @@ ROLLUP over the window columns sums them all, down to the number of words of a l
 no n-grams of other lengths are made.
 
 Most windows are rare, and a phrase that occurs too seldom is neither a candidate nor a part
-of one. A first pass hashes words and pairs of neighbours into a fixed number of counters,
-merged over all tasks. Where a counter stays under the least number, no word or pair that
-falls into it occurs often enough, and the window is cut before it: what is cut off could
-only count towards phrases that are too rare. The counters are bounded in number, so on very
-large inputs they fill up and cut less; results are the same with any number of them.
+of one. A first pass hashes each prefix of each window into a fixed number of counters,
+merged over all tasks. Where a counter stays under the least number, no prefix that falls
+into it occurs often enough, and the window is cut before its last word: what is cut off
+could only count towards phrases that are too rare. The counters are bounded in number, so on
+very large inputs they fill up and cut less; results are the same with any number of them.
 """
 
 from __future__ import annotations
@@ -29,8 +29,7 @@ from codequarry.llm.common import gives_back, small_batches, stash, table, width
 LONGEST, LEAST, BEST, MOST_INSIDE = 3, 10, 2000, 50  # words, occurrences, phrases of a language, percent
 SCALE = 1_000_000
 PAD = ""
-ALONE = np.uint64(1 << 40)  # stands for the second word where a word is counted alone; no word's hash
-LEAST_BITS, MOST_BITS, BLOCK_BITS = 18, 26, 14  # powers of two: pair counters, and those of a block
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 18, 26, 14  # powers of two: counters, and those of a block
 HELD_WORDS, HELD_PLACES = 300_000, 2_000_000  # words that a task numbers, and places, before it gives its windows on
 PARTS = 64  # buckets of a language's ranking
 _PIECE, _WORD = re.compile(r"[.,;:!?\x0a-\x0d]"), re.compile(r"[^\x20\x09]+")
@@ -76,11 +75,13 @@ class Held:
         return np.array([zlib.crc32(f"{lang}\n{w}".encode("utf-8", "replace")) for lang, w in self.names], np.uint64)
 
 
-def pair_slots(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """The counter of each pair of word hashes."""
-    mixed = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed ^= mixed >> np.uint64(29)
-    return (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
+def longer(prefixes: np.ndarray | None, words: np.ndarray) -> np.ndarray:
+    """The hash of each prefix (None: the empty one) with one more word, from the word's hash."""
+    with np.errstate(over="ignore"):
+        mixed = words * np.uint64(0xC2B2AE3D27D4EB4F) + (np.uint64(0) if prefixes is None else prefixes * np.uint64(0x9E3779B97F4A7C15))
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        return mixed ^ (mixed >> np.uint64(32))
 
 
 def _held_texts(batches: Iterator) -> Iterator[Held]:
@@ -104,8 +105,8 @@ def _distinct(windows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([((keys >> s) & ((1 << bits) - 1)) - 1 for s in shifts], axis=1), sizes
 
 
-def frequent_pairs(rows: DataFrame, least: int, bits: int) -> bytes:
-    """A bit for each counter: whether so many words or pairs, or more, fell into it.
+def frequent_prefixes(rows: DataFrame, longest: int, least: int, bits: int) -> bytes:
+    """A bit for each counter: whether so many prefixes of windows, or more, fell into it.
 
     rows: lang, text. A task counts into one array, up to ``least``; arrays travel as packed
     blocks, and blocks of one number are added up where they meet.
@@ -117,9 +118,13 @@ def frequent_pairs(rows: DataFrame, least: int, bits: int) -> bytes:
 
         total = np.zeros(1 << bits, np.uint8)
         for held in _held_texts(batches):
-            windows, hashes = held.windows(2), held.hashes()
-            pairs = windows[windows[:, 1] >= 0]
-            found = pair_slots(hashes[windows[:, 0]], ALONE, bits), pair_slots(hashes[pairs[:, 0]], hashes[pairs[:, 1]], bits)
+            windows, hashes = held.windows(longest), held.hashes()
+            found, prefixes = [], None
+            for k in range(longest):
+                there = windows[:, k] >= 0
+                windows = windows[there]
+                prefixes = longer(None if prefixes is None else prefixes[there], hashes[windows[:, k]])
+                found.append(prefixes >> np.uint64(64 - bits))
             slots, n = np.unique(np.concatenate(found), return_counts=True)
             total[slots] = np.minimum(total[slots] + np.minimum(n, least), least)
         some = [k for k in range(blocks) if total[k * block : (k + 1) * block].any()]
@@ -140,7 +145,7 @@ def frequent_pairs(rows: DataFrame, least: int, bits: int) -> bytes:
 
     small_batches(rows.sparkSession)
     n = min(blocks, max(1, width(rows.sparkSession)))
-    arrays = stash(rows.mapInArrow(gives_back(counted), "block int, counts binary"), "pair-counters")
+    arrays = stash(rows.mapInArrow(gives_back(counted), "block int, counts binary"), "prefix-counters")
     marks = arrays.repartition(n, "block").mapInArrow(gives_back(merged), "block int, marks binary")
     out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
     for r in marks.collect():  # 2**MOST_BITS bits at most: 8 MB
@@ -152,8 +157,8 @@ def frequent_pairs(rows: DataFrame, least: int, bits: int) -> bytes:
 def counted_windows(rows: DataFrame, longest: int, marks: bytes | None, bits: int) -> DataFrame:
     """lang, w1 to w<longest>, n: the windows of each task, counted.
 
-    A window is padded past the end of its piece, and from the first word or pair on that the
-    counters show to be rare; one that begins with a rare word is all padding, and counts only
+    A window is padded past the end of its piece, and from the word on with which the counters
+    show it to be rare; one that begins with a rare word is all padding, and counts only
     towards the number of words.
     """
     names = ["lang", *(f"w{k + 1}" for k in range(longest)), "n"]
@@ -166,14 +171,19 @@ def counted_windows(rows: DataFrame, longest: int, marks: bytes | None, bits: in
         for held in _held_texts(batches):
             windows, hashes = held.windows(longest), held.hashes()
             if often is not None:
-                alive = np.ones(len(windows), bool)
+                there, prefixes = np.arange(len(windows)), None
                 for k in range(longest):
-                    there = np.flatnonzero(alive & (windows[:, k] >= 0))
-                    here = hashes[windows[there, k]]
-                    slots = (pair_slots(hashes[windows[there, k - 1]], here, bits) if k else pair_slots(here, ALONE, bits)).astype(np.int64)
-                    alive[:] = False
-                    alive[there[(often[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0]] = True
-                    windows[~alive, k] = -1 if k else held.pads()[windows[~alive, 0]]
+                    inside = windows[there, k] >= 0
+                    there, prefixes = there[inside], None if prefixes is None else prefixes[inside]
+                    prefixes = longer(prefixes, hashes[windows[there, k]])
+                    slots = (prefixes >> np.uint64(64 - bits)).astype(np.int64)
+                    good = (often[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
+                    rare = there[~good]
+                    pads = held.pads()[windows[rare, 0]]
+                    windows[rare, k:] = -1
+                    if k == 0:
+                        windows[rare, 0] = pads
+                    there, prefixes = there[good], prefixes[good]
             some, sizes = _distinct(windows, len(held.names) + 1)
             words = pa.array([w for _, w in held.names] + [PAD], pa.string())
             langs = pa.array([x for x, _ in held.names], pa.string())
@@ -190,16 +200,17 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """lang, size, phrase, f for phrases of 1 to ``longest`` words that occur ``least`` times;
     size 0 (phrase "") is the number of all words of a language.
 
-    bits: 2**bits pair counters; 0: none, so that all windows travel whole; None: by the
+    bits: 2**bits counters; 0: none, so that all windows travel whole; None: by the
     number of characters, 2**MOST_BITS at most.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     if bits is None:
         characters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = max(LEAST_BITS, min(MOST_BITS, (characters // 50).bit_length()))
-    marks = frequent_pairs(rows, least, bits) if bits else None
+        bits = max(LEAST_BITS, min(MOST_BITS, (characters // 25).bit_length()))
+    marks = frequent_prefixes(rows, longest, least, bits) if bits else None
     words = [f"w{k + 1}" for k in range(longest)]
-    sums = counted_windows(rows, longest, marks, bits).rollup("lang", *words).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    top = counted_windows(rows, longest, marks, bits).groupBy("lang", *words).agg(F.sum("n").alias("n"))
+    sums = top.rollup("lang", *words).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # of each level the words that it goes by; a pad is no word, and a rolled-up column is null
     size = F.lit(longest) - F.bit_count("level")
     last = F.coalesce(*reversed(words), F.lit("-"))

@@ -196,8 +196,8 @@ def test_collocation_scores_pass_64_bits(spark):
     assert got == 10**6 * a * a // (left * right)
 
 
-def test_rare_pairs_are_cut_off_the_windows(spark):
+def test_rare_prefixes_are_cut_off_the_windows(spark):
     df = spark.createDataFrame([("en", "x y z. " * 20 + "p q r")], "lang string, text string")
-    marks = collocations.frequent_pairs(df, 10, 18)
+    marks = collocations.frequent_prefixes(df, 3, 10, 18)
     got = {tuple(r) for r in collocations.counted_windows(df, 3, marks, 18).collect()}
     assert got == {("en", "x", "y", "z", 20), ("en", "y", "z", "", 20), ("en", "z", "", "", 20), ("en", "", "", "", 3)}
