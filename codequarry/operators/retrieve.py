@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codequarry.functions.columns import cosine
+from codequarry.functions.columns import cosine, dot
 
 
 def top_k_examples(queries: DataFrame, vectors: DataFrame, k: int, key: str | None = "rule") -> DataFrame:
@@ -26,6 +27,64 @@ def top_k_examples(queries: DataFrame, vectors: DataFrame, k: int, key: str | No
     return rows.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _margins(vec: Column, planes: list[list[float]]) -> Column:
+    """How far a vector lies to one side of each plane."""
+    return F.array(*[dot(vec, F.array(*map(F.lit, p))) for p in planes])
+
+
+def _side(margins: Column) -> Column:
+    """The bucket: a bit for each plane, set where the vector lies on its positive side."""
+    return F.aggregate(margins, F.lit(0).cast("long"), lambda b, m: b * 2 + F.when(m > 0, 1).otherwise(0))
+
+
+class Hyperplanes:
+    """Buckets of vectors by random hyperplanes, in several tables of planes.
+
+    Vectors of a small angle mostly lie on the same sides. bits: planes of a table; a table
+    has 2**bits buckets for each key. The same seed gives the same planes anywhere.
+    """
+
+    def __init__(self, dim: int, bits: int = 6, tables: int = 6, seed: int = 1):
+        rng = random.Random(seed)
+        self.bits, self.tables = bits, [[[rng.gauss(0, 1) for _ in range(dim)] for _ in range(bits)] for _ in range(tables)]
+
+    def index(self, vectors: DataFrame) -> DataFrame:
+        """vectors with table and bucket, a row for each table; written once, it serves all queries."""
+        places = [F.struct(F.lit(t).alias("table"), _side(_margins(F.col("vec"), planes)).alias("bucket")) for t, planes in enumerate(self.tables)]
+        return vectors.withColumn("_at", F.explode(F.array(*places))).select(*vectors.columns, "_at.table", "_at.bucket")
+
+    def probes(self, queries: DataFrame, near: int) -> DataFrame:
+        """queries with table and bucket: the own one, and those across each set of the ``near`` nearest planes."""
+        own = [F.struct(F.lit(t).alias("table"), _margins(F.col("qvec"), planes).alias("margins")) for t, planes in enumerate(self.tables)]
+        rows = queries.withColumn("_t", F.explode(F.array(*own)))
+        order = F.slice(F.array_sort(F.transform("_t.margins", lambda m, i: F.struct(F.abs(m).alias("far"), i.alias("at")))), 1, near)
+        rows = rows.withColumns({"_near": order, "_own": _side(F.col("_t.margins"))})
+        weight = F.transform("_near", lambda p: F.pow(F.lit(2.0), F.lit(self.bits - 1) - p["at"]).cast("long"))
+        # each subset of the near planes flips their bits
+        flips = F.aggregate(weight, F.array(F.lit(0).cast("long")), lambda sets, w: F.concat(sets, F.transform(sets, lambda x: x + w)))
+        rows = rows.withColumn("bucket", F.explode(F.transform(flips, lambda f: F.col("_own").bitwiseXOR(f))))
+        return rows.select(*queries.columns, "_t.table", "bucket")
+
+
+def top_k_approximate(queries: DataFrame, index: DataFrame, planes: Hyperplanes, k: int, key: str | None = "rule", near: int = 4) -> DataFrame:
+    """As top_k_examples, but only vectors that share a probed bucket are scored.
+
+    index: planes.index(vectors). Scores of what is found are exact; some of the k may be
+    missed, see recall. With ``near`` as large as ``planes.bits`` all are found.
+    """
+    on = ["table", "bucket", *([key] if key else [])]
+    met = planes.probes(queries, near).join(index, on).select("qid", "qvec", "id", "vec")
+    rows = met.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score")).distinct()
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """qid, recall: the share of each query's exact results (qid, id) that was found."""
+    hits = exact.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("_hit")), ["qid", "id"], "left")
+    return hits.groupBy("qid").agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+
+
 def rank_contexts(pairs: DataFrame) -> DataFrame:
     """Context vectors of each finding (qid, qvec, id, vec) ranked by similarity."""
     rows = pairs.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score"))

@@ -33,11 +33,11 @@ Encoder = Callable[[], Callable[[list[str]], list[list[float]]]]
 
 def context_ranges(findings: DataFrame, lines: DataFrame, meta: DataFrame) -> DataFrame:
     """path, id (line and rule), start, end: the block of each finding, and its related lines if the rule needs them."""
-    rows = enclosing_block(with_rule_meta(findings.select("path", "line", "rule").distinct(), meta), lines)
-    rows = rows.withColumn("id", F.struct("path", F.col("line").cast("int").alias("line"), "rule"))
-    more = rows.where("needs_context").select("path", "line", "id").join(related_lines(rows.where("needs_context"), lines), ["path", "line"])
+    rows = stored(enclosing_block(with_rule_meta(findings.select("path", F.col("line").cast("int").alias("line"), "rule").distinct(), meta), lines))
+    rows = stored(rows.withColumn("id", F.struct("path", "line", "rule")))
+    more = rows.where("needs_context").select("path", "line", "id").join(stored(related_lines(rows.where("needs_context"), lines)), ["path", "line"])
     number = lambda c: F.col(c).cast("int")
-    return rows.select("path", "id", number("start").alias("start"), number("end").alias("end")).union(more.select("path", "id", number("line_no"), number("line_no"))).distinct()
+    return stored(rows.select("path", "id", number("start").alias("start"), number("end").alias("end")).union(stored(more).select("path", "id", number("line_no").alias("start"), (F.col("line_no").cast("int") + 0).alias("end"))).distinct())
 
 
 def grouped(ranges: DataFrame, lines: DataFrame) -> DataFrame:
@@ -111,7 +111,8 @@ def run_files(files: DataFrame, findings: DataFrame, meta: DataFrame, examples:
         now = asked.join(left, "path", "left_semi")
         now = now if n == 1 else now.withColumn("prompt", F.concat(F.lit(f"Attempt {n}\n"), "prompt"))
         replies = stored(answer(now, make_responder))
-        code = X.apply_diff_markers(X.code_block(F.coalesce("reply", F.lit(""))))
+        # the newline before the closing fence isn't the code's
+        code = F.regexp_replace(X.apply_diff_markers(X.code_block(F.coalesce("reply", F.lit("")))), r"\n\z", "")
         replies = replies.withColumn("_new", F.split(code, _quoted(GAP), -1)).withColumn("_fits", F.col("reply").isNotNull() & (F.size("_new") == F.size("parts")))
         whole = replies.groupBy("path").agg(F.min("_fits").alias("_whole")).where("_whole").select("path")
         patches = replies.join(whole, "path", "left_semi").select("path", F.explode(F.arrays_zip("parts", "_new")).alias("p")).select("path", "p.parts.start", "p.parts.end", F.col("p._new").alias("text"))

@@ -12,6 +12,7 @@ from codequarry.operators import context as C
 from codequarry.operators import joins as J
 from codequarry.operators import repair as Rp
 from codequarry.operators import retrieve as R
+from codequarry.operators import rounds as Rd
 from codequarry.operators import text as T
 from codequarry.operators import windows as V
 from codequarry.plans import standins as X
@@ -375,6 +376,27 @@ def r1(spark, sf):
     return Rp.run_round(X.x_code_findings(spark, sf), X.x_code(spark, sf), X.x_rule_meta(spark, sf), responder)
 
 
+def rows_for_columns():
+    return lambda prompt: "```ets\n" + prompt.split("\nCode:\n")[-1].replace("Column", "Row") + "\n```"
+
+
+def sizes_and_braces():
+    return lambda texts: [[float(len(t)), float(t.count("{")) + 1.0] for t in texts]
+
+
+@query("r1_whole_round")
+def r1_whole(spark, sf):
+    """All code files through a round that puts rows for columns in the lines asked about."""
+    lines = X.x_code(spark, sf)
+    files = lines.groupBy(F.col("path").cast("string").alias("path")).agg(ordered_text("line_no", "text").alias("content"))
+    findings = X.x_code_findings(spark, sf).withColumn("path", F.col("path").cast("string"))
+    s = X.table(spark, sf, "supplier")
+    rule = F.concat(F.lit("r"), (F.col("s_suppkey") % 5).cast("string"))
+    examples = s.select(F.col("s_suppkey").cast("long").alias("id"), rule.alias("rule"), F.col("s_name").alias("problem"), F.lit("names are short").alias("note"), F.lower("s_name").alias("fix"))
+    vectors = s.select(F.col("s_suppkey").cast("long").alias("id"), rule.alias("rule"), F.array(F.col("s_nationkey").cast("double"), F.lit(1.0)).alias("vec"))
+    return Rd.run_files(files, findings, X.x_rule_meta(spark, sf), examples, vectors, rows_for_columns, sizes_and_braces)
+
+
 @query(
     "u1_answer",
     sql(

@@ -9,6 +9,7 @@ from codequarry.operators import retrieve as R
 from codequarry.operators import text as T
 from codequarry.operators import windows as V
 from codequarry.plans import standins as X
+from codequarry.plans.fixpoint import stored
 from codequarry.plans.standins import sql
 from codequarry.queries.texts import LINES, PROJECT
 
@@ -252,6 +253,26 @@ def t2(spark, sf):
     return R.top_k_examples(X.x_queries(spark, sf), X.x_vectors(spark, sf), 5)
 
 
+def planes_and_index(spark, sf):
+    planes = R.Hyperplanes(64)
+    return planes, stored(planes.index(X.x_vectors(spark, sf)))
+
+
+@query("t2_all_probes", sql("x_queries", "x_vectors", more=TOP, body="SELECT qid, id, score, place FROM r WHERE place <= 5"))
+def t2_all(spark, sf):
+    """With all probes the buckets miss nothing."""
+    planes, index = planes_and_index(spark, sf)
+    return R.top_k_approximate(X.x_queries(spark, sf), index, planes, 5, near=planes.bits)
+
+
+@query("t2_recall")
+def t2_recall(spark, sf):
+    """How much of the exact result each query finds with 16 of 64 buckets in each table."""
+    planes, index = planes_and_index(spark, sf)
+    found = R.top_k_approximate(X.x_queries(spark, sf), index, planes, 5)
+    return R.recall(found, R.top_k_examples(X.x_queries(spark, sf), X.x_vectors(spark, sf), 5))
+
+
 @query("t3_rank_contexts", sql("x_queries", "x_vectors", more=f"s AS (SELECT qid, id, round({COS}, 6) AS score FROM x_queries q JOIN x_vectors v ON q.qid // 10 = v.id // 10)", body="SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS place FROM s"))
 def t3(spark, sf):
     q = X.x_queries(spark, sf).withColumn("g", F.floor(F.col("qid") / 10)).drop("rule")

@@ -6,7 +6,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.operators import calls, declarations, dominance, flow, graph, joins, pointers, repair, rounds, text, tracking, trees, windows
+from codequarry.operators import calls, declarations, dominance, flow, graph, joins, pointers, repair, retrieve, rounds, text, tracking, trees, windows
 from codequarry.plans.fixpoint import fixpoint
 from codequarry.sources import io
 
@@ -501,27 +501,25 @@ CODE = """struct A {
 }"""
 
 
-def replace_text():
-    """Puts Row for Column; leaves a bracket open at the first attempt for files that say so; never answers on Lost."""
-
-    def reply(prompt):
-        code = prompt.split("Code:\n")[-1]
-        if "Lost" in code:
-            raise TimeoutError("no answer")
-        if "Slow" in code and not prompt.startswith("Attempt 2"):
-            return "```ets\n" + code + " {\n```"
-        if "Parts" in code:
-            code += "\n// ...\nmore"
-        return "```ets\n" + code.replace("Column", "Row") + "\n```"
-
-    return reply
-
+def test_a_round_puts_answers_back_into_files(spark, tmp_path):
+    def replace_text():
+        """Puts Row for Column; leaves a bracket open at the first attempt for files that say so; never answers on Lost."""
+
+        def reply(prompt):
+            code = prompt.split("Code:\n")[-1]
+            if "Lost" in code:
+                raise TimeoutError("no answer")
+            if "Slow" in code and not prompt.startswith("Attempt 2"):
+                return "```ets\n" + code + " {\n```"
+            if "Parts" in code:
+                code += "\n// ...\nmore"
+            return "```ets\n" + code.replace("Column", "Row") + "\n```"
 
-def lengths():
-    return lambda texts: [[float(len(t)), 1.0] for t in texts]
+        return reply
 
+    def lengths():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
 
-def test_a_round_puts_answers_back_into_files(spark, tmp_path):
     names = {"a": CODE, "slow": CODE.replace("Text", "Slow"), "lost": CODE.replace("Text", "Lost"), "parts": CODE.replace("Text", "Parts"), "clean": CODE}
     files = spark.createDataFrame(list(names.items()), "path string, content string")
     findings = spark.createDataFrame([(p, 5, "r1") for p in names if p != "clean"] + [("a", 9, "r2"), ("a", 2, "r9"), ("clean", 2, "r9")], "path string, line int, rule string")
@@ -556,3 +554,15 @@ def test_splice_equals_a_fold_of_the_patches(spark):
     for path, start, end, new in sorted(patches, reverse=True):
         text_of[path][start - 1 : end] = new.split("\n")
     assert got == text_of
+
+
+def test_bucketed_retrieval_finds_most_and_with_all_probes_everything(spark):
+    rng = random.Random(3)
+    rows = [(i, f"r{i % 2}", [rng.gauss(0, 1) for _ in range(16)]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "id long, rule string, vec array<double>")
+    queries = vectors.where("id % 8 = 0").selectExpr("id AS qid", "rule", "vec AS qvec")
+    planes = retrieve.Hyperplanes(16)
+    index, exact = planes.index(vectors), retrieve.top_k_examples(queries, vectors, 5)
+    assert pairs(retrieve.top_k_approximate(queries, index, planes, 5, near=planes.bits)) == pairs(exact)
+    shares = [r["recall"] for r in retrieve.recall(retrieve.top_k_approximate(queries, index, planes, 5), exact).collect()]
+    assert len(shares) == 50 and sum(shares) / 50 >= 0.9
