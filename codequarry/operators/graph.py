@@ -161,21 +161,6 @@ def unreachable_blocks(blocks: DataFrame, cfg: DataFrame, start: int = 1) -> Dat
     return blocks.join(seen, ["method", "block"], "left_anti")
 
 
-def def_use_chains(defs: DataFrame, uses: DataFrame, cfg: DataFrame) -> DataFrame:
-    """method, name, def_block, use_block: definitions that reach a use from other blocks.
-
-    One statement a block: its use comes before its definition, so the search starts at
-    the predecessors and stops at blocks that define the name.
-    """
-    back = cfg.select("method", F.col("dst").alias("at"), F.col("src").alias("_to"))
-    d = defs.select("method", F.col("block").alias("at"), "name").distinct()
-    names = ["method", "use_block", "name", "at"]
-    go = lambda x: x.join(back, ["method", "at"]).select("method", "use_block", "name", F.col("_to").alias("at"))
-    seed = go(uses.select("method", F.col("block").alias("use_block"), "name", F.col("block").alias("at")))
-    walk = fixpoint(seed, lambda delta, _: go(delta.join(d, ["method", "at", "name"], "left_anti")), names)
-    return walk.join(d, ["method", "at", "name"], "left_semi").select("method", "name", F.col("at").alias("def_block"), "use_block")
-
-
 def tree_walk(tree: DataFrame, condition) -> DataFrame:
     """root, node, found: whether the subtree of a node holds one that meets the condition."""
     up = tree.where("parent is not null").select("root", "node", F.col("parent").alias("_to"))

@@ -157,6 +157,17 @@ def x_stmts(spark, sf_dir) -> DataFrame:
     return r.select("method", "block", F.concat(F.lit("v"), (F.col("l_suppkey") % 3).cast("string")).alias("def"), F.concat(F.lit("v"), (F.col("l_partkey") % 3).cast("string")).alias("use"))
 
 
+def x_code_statements(spark, sf_dir) -> DataFrame:
+    """method, block, idx, def, use, tos: the items of eight orders in blocks of five; tos: where a block's first item leads."""
+    li = table(spark, sf_dir, "lineitem").withColumn("method", F.floor(F.col("l_orderkey") / 8).cast("long"))
+    rn = F.row_number().over(W.partitionBy("method").orderBy(*LINE_ORDER)) - 1
+    var = lambda c: F.concat(F.lit("v"), (F.col(c) % 4).cast("string"))
+    b = F.col("block")
+    tos = F.array_compact(F.array(b + 1, F.when(F.col("l_returnflag") == "A", b + 2), F.when(F.col("l_linestatus") == "O", F.greatest(F.lit(1), b - 2))))
+    rows = li.withColumn("_rn", rn).withColumn("block", F.floor(F.col("_rn") / 5).cast("int") + 1)
+    return rows.select("method", "block", (F.col("_rn") % 5).cast("int").alias("idx"), var("l_suppkey").alias("def"), var("l_partkey").alias("use"), tos.alias("tos"))
+
+
 def x_flow_rows(spark, sf_dir) -> DataFrame:
     """A statement for each line item: variables and fields by its numbers, calls in second blocks.
 
@@ -333,6 +344,9 @@ SQL = {
         SELECT method, block AS src, unnest([CASE WHEN NOT (l_returnflag = 'R' AND l_linestatus = 'O') THEN block + 1 END, CASE WHEN l_returnflag = 'A' OR l_returnflag = 'R' AND l_linestatus = 'O' THEN block + 2 END, CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN greatest(1, block - 2) END]) AS dst, last
         FROM (SELECT *, max(block) OVER (PARTITION BY method) AS last FROM x_block_rows)) WHERE dst <= last""",
     "x_stmts": "SELECT method, block, 'v' || CAST(l_suppkey % 3 AS VARCHAR) AS def, 'v' || CAST(l_partkey % 3 AS VARCHAR) AS use FROM x_block_rows",
+    "x_code_statements": """SELECT method, CAST(rn // 5 + 1 AS INTEGER) AS block, CAST(rn % 5 AS INTEGER) AS idx, 'v' || CAST(l_suppkey % 4 AS VARCHAR) AS def, 'v' || CAST(l_partkey % 4 AS VARCHAR) AS use,
+        list_filter([CAST(rn // 5 + 2 AS INTEGER), CASE WHEN l_returnflag = 'A' THEN CAST(rn // 5 + 3 AS INTEGER) END, CASE WHEN l_linestatus = 'O' THEN CAST(greatest(1, rn // 5 - 1) AS INTEGER) END], lambda x: x IS NOT NULL) AS tos
+        FROM (SELECT *, l_orderkey // 8 AS method, row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS rn FROM lineitem)""",
     "x_flow": """SELECT method, block, method * 1000 + block AS node, block = 2 AND method % 8 <> 7 AS calls, 'v' || CAST(l_suppkey % 3 AS VARCHAR) AS db, CASE WHEN l_returnflag = 'A' AND NOT (block = 2 AND method % 8 <> 7) THEN 'f' ELSE '' END AS df,
         'v' || CAST(l_partkey % 3 AS VARCHAR) AS ub, CASE WHEN l_returnflag = 'N' AND NOT (block = 2 AND method % 8 <> 7) THEN 'f' ELSE '' END AS uf, l_quantity AS q FROM x_block_rows""",
     "x_extends": "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS child, 'r' || CAST(n_regionkey AS VARCHAR) AS parent FROM nation UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), 'n' || CAST(c_nationkey AS VARCHAR) FROM customer",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codequarry.operators import defuse as U
 from codequarry.operators import dominance as D
 from codequarry.operators import graph as G
 from codequarry.operators import trees as T
@@ -194,7 +195,29 @@ def g11_arguments(spark, sf):
 )
 def g12(spark, sf):
     defs, uses = defs_uses(spark, sf)
-    return G.def_use_chains(defs, uses, X.x_cfg(spark, sf))
+    return U.def_use_chains(defs, uses, X.x_cfg(spark, sf))
+
+
+@query(
+    "g12_statement_chains",
+    sql(
+        "x_code_statements",
+        recursive=True,
+        more="""cs AS MATERIALIZED (SELECT * FROM x_code_statements), ce AS MATERIALIZED (SELECT DISTINCT method, block AS src, unnest(tos) AS dst FROM cs WHERE idx = 0),
+        ed AS MATERIALIZED (SELECT ce.* FROM ce JOIN (SELECT DISTINCT method, block FROM cs) b ON b.method = ce.method AND b.block = ce.dst), nd AS MATERIALIZED (SELECT u.method, u.block, u.idx, u.use AS name, max(d.idx) AS def_idx FROM cs u LEFT JOIN cs d ON d.method = u.method AND d.block = u.block AND d.idx < u.idx AND d.def = u.use GROUP BY ALL),
+        la AS MATERIALIZED (SELECT method, block, def AS name, max(idx) AS idx FROM cs GROUP BY ALL), w AS (SELECT DISTINCT n.method, n.block AS use_block, n.name, e.src AS at_ FROM nd n JOIN ed e ON e.method = n.method AND e.dst = n.block WHERE n.def_idx IS NULL
+        UNION SELECT w.method, w.use_block, w.name, e.src FROM w JOIN ed e ON e.method = w.method AND e.dst = w.at_ WHERE NOT EXISTS (SELECT 1 FROM la WHERE la.method = w.method AND la.block = w.at_ AND la.name = w.name))""",
+        body="SELECT method, name, block AS def_block, def_idx, block AS use_block, idx AS use_idx FROM nd WHERE def_idx IS NOT NULL UNION ALL SELECT n.method, n.name, la.block, la.idx, n.block, n.idx FROM nd n JOIN w ON w.method = n.method AND w.use_block = n.block AND w.name = n.name JOIN la ON la.method = w.method AND la.block = w.at_ AND la.name = w.name WHERE n.def_idx IS NULL",
+    ),
+)
+def g12_statements(spark, sf):
+    """Blocks of five statements; a method is the items of eight orders."""
+    rows = X.x_code_statements(spark, sf)
+    defs = rows.select("method", "block", "idx", F.col("def").alias("name"))
+    uses = rows.select("method", "block", "idx", F.col("use").alias("name"))
+    blocks = rows.select("method", F.col("block").alias("dst")).distinct()
+    edges = rows.where("idx = 0").select("method", F.col("block").alias("src"), F.explode("tos").alias("dst")).join(blocks, ["method", "dst"], "left_semi")
+    return U.statement_chains(defs, uses, edges)
 
 
 @query("g27_tree_walk", sql("x_tree", recursive=True, more="h AS (SELECT root, node FROM x_tree WHERE state = 's1' UNION SELECT h.root, t.parent FROM h JOIN x_tree t ON t.root = h.root AND t.node = h.node WHERE t.parent IS NOT NULL)", body="SELECT t.root, t.node, h.node IS NOT NULL AS found FROM x_tree t LEFT JOIN h ON h.root = t.root AND h.node = t.node"))
