@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import bounded_sample, held_out, small_batches, table
+from codequarry.llm.common import bounded_sample, held_out, small_batches, stash, table
 
 # The grammar's closed word classes.
 TARGETS = "you your yours u he she they them him her his their this that these those who du ihr dein euch sie er tu toi ton vous votre il elle ils usted ustedes tú ellos ella él".split()
@@ -38,7 +38,7 @@ TARGET_BONUS, NEGATED, REPORTED, THREAT_WEIGHT = 1.25, 0.6, 0.75, 3.0
 # Learning.
 SAMPLE_ROWS = 8_000
 PREFIXES = range(4, 9)
-LEAST_DOCS, LEAST_ODDS, LEAST_SURE, MOST_PATTERNS = 5, 1.5, 6.0, 2_000
+LEAST_DOCS, LEAST_ODDS, LEAST_SURE = 5, 1.5, 6.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
@@ -150,7 +150,7 @@ def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> tupl
     rated.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
     words: dict[str, float] = {}
     beginnings: dict[str, float] = {}
-    for _, pattern, odds in rated[:MOST_PATTERNS]:
+    for _, pattern, odds in rated:
         stem = pattern.rstrip("*")
         covered = max((beginnings.get(stem[:n], 0.0) for n in PREFIXES if n <= len(stem)), default=0.0)
         if covered + 0.5 > odds or pattern.endswith("*") and any(b.startswith(stem) for b in beginnings):
@@ -175,10 +175,13 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Gramm
 
     At most about ``bound`` labelled rows are read, so the labels are broadcast to docs.
     A doc_id labelled twice counts as toxic if any label says so; null labels are dropped.
+    Texts count once for the lexicon, however many copies the sample has of them; a copy is
+    toxic if any is. The lexicon has no bound but that of the sample.
     """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = bounded_sample(known, F.col("doc_id"), bound)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
+    rows = stash(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
 
     def count(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -192,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Gramm
         yield pd.DataFrame(both, columns=["pattern", "toxic", "clean"])
 
     counts = rows.mapInPandas(count, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    found = counts.where(F.expr(f"pattern = '' or toxic >= {LEAST_DOCS} and clean <= 3 * toxic")).orderBy(F.desc("toxic"), "pattern").limit(50_000).collect()
+    found = counts.where(F.expr(f"pattern = '' or toxic >= {LEAST_DOCS} and clean <= 3 * toxic")).orderBy(F.desc("toxic"), "pattern").collect()
     totals = next(((r["toxic"], r["clean"]) for r in found if r["pattern"] == ""), (0, 0))
     grammar = Grammar(*_lexicon([(r["pattern"], r["toxic"], r["clean"]) for r in found if r["pattern"]], *totals))
 
