@@ -225,6 +225,13 @@ def g27(spark, sf):
     return G.tree_walk(X.x_tree(spark, sf), F.col("state") == "s1")
 
 
+@query("u4_node_predicate", sql("x_tree", recursive=True, more="h AS (SELECT root, node FROM x_tree WHERE kind = 'assistant' AND state <> 's0' UNION SELECT h.root, t.parent FROM h JOIN x_tree t ON t.root = h.root AND t.node = h.node WHERE t.parent IS NOT NULL)", body="SELECT root, count(*) AS nodes FROM h GROUP BY root"))
+def u4(spark, sf):
+    """How many nodes of a tree hold one that meets a condition of two columns."""
+    found = G.tree_walk(X.x_tree(spark, sf), (F.col("kind") == "assistant") & (F.col("state") != "s0"))
+    return found.where("found").groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 HOLDERS = ["Column", "Row"]
 # calls in order, bodies put in; then call by call with the open nodes as a list
 SCAN = """op AS (SELECT root, [ord] AS path, op, name, callee FROM x_tree_ops UNION ALL SELECT p.root, list_append(p.path, o.ord), o.op, o.name, o.callee FROM op p JOIN x_tree_ops o ON p.op = 'loop' AND o.root = p.callee),

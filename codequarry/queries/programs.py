@@ -68,6 +68,18 @@ def g15(spark, sf):
     return K.calls_by_hierarchy(found(spark, sf), entries(spark, sf)).select("site", "caller", "callee")
 
 
+def own_class_only(sites, table):
+    """A resolver for languages without overriding: a call enters the first class, by name, that has the method."""
+    first = table.groupBy("class", "name").agg(F.min("callee").alias("callee"))
+    return sites.withColumnRenamed("declared", "class").join(first, ["class", "name"])
+
+
+@query("u5_call_resolver", sql("x_classes", "x_extends", "x_sites", "x_methods", recursive=True, more=TARGETS, body="SELECT site, min(caller) AS caller, min(callee) AS callee FROM ta GROUP BY site"))
+def u5(spark, sf):
+    sites = X.x_sites(spark, sf).withColumn("declared", F.concat(F.lit("n"), (F.col("site") % 25).cast("string")))
+    return K.targets(sites, subs(spark, sf), X.x_classes(spark, sf), X.x_methods(spark, sf), resolve=own_class_only)
+
+
 # methods and classes are reached together: keyed recursion, since each step reads all so far
 INSTANTIATED = TARGETS + """, cr AS (SELECT DISTINCT caller, creates AS class FROM x_sites), st(item, kind, k) USING KEY (item, kind) AS (
     SELECT 'c' || CAST(c_custkey AS VARCHAR), 'method', 0 FROM customer WHERE c_acctbal < 0
@@ -151,6 +163,23 @@ def g19(spark, sf):
     return L.taint_flows(s, X.x_cfg(spark, sf), s.where("block % 7 = 0").select("method", "block"), s.where("block % 5 = 0").select("method", "block"))
 
 
+@query("u3_flow_rules", sql("x_cfg", recursive=True, more="pe AS (SELECT DISTINCT method * 1000 + 1 AS start, method * 1000 + 1 AS node, 0 AS fact FROM x_cfg WHERE method % 3 = 0 UNION SELECT pe.start, c.method * 1000 + c.dst, (pe.fact + c.src) % 4 FROM pe JOIN x_cfg c ON c.method * 1000 + c.src = pe.node)", body="SELECT start, 0 AS start_fact, node, fact FROM pe"))
+def u3(spark, sf):
+    """Flow rules given as a function of path edges: each block adds its number to the fact, modulo 4."""
+    e = X.x_cfg(spark, sf)
+    node = lambda c: (F.col("method") * 1000 + F.col(c)).cast("long")
+    after = e.select(node("src").alias("node"), F.col("src").alias("_add"), node("dst").alias("to"))
+    seeds = e.where("method % 3 = 0").select((F.col("method") * 1000 + 1).cast("long").alias("node"), F.lit(0).alias("fact")).distinct()
+    never = lambda *columns: lambda paths: paths.where("false").select("*", *columns)
+    none = F.lit(None).cast("long")
+    return L.dataflow_reach(
+        seeds,
+        lambda paths: paths.join(after, "node").withColumn("fact_to", ((F.col("fact") + F.col("_add")) % 4).cast("int")),
+        never(none.alias("callee"), F.lit(0).alias("callee_fact")),
+        never(none.alias("call"), none.alias("to"), F.lit(0).alias("fact_to")),
+    )
+
+
 # path edges: start, its fact (source, base, field), node, fact; source -1 is "nothing yet"
 TRACKED = """fs AS MATERIALIZED (SELECT * FROM x_flow), mt AS MATERIALIZED (SELECT method, method * 1000 + 1 AS first, max(node) AS last FROM fs GROUP BY method),
     af AS MATERIALIZED (SELECT method * 1000 + src AS node, method * 1000 + dst AS t FROM x_cfg), cl AS MATERIALIZED (SELECT f.node, f.db, f.ub, m.first AS callee, m.last FROM fs f JOIN mt m ON f.calls AND m.method = f.method + 1), ge AS (SELECT node, db AS b, df AS f FROM fs WHERE GEN),
