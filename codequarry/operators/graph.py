@@ -104,16 +104,69 @@ def _least_before(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels
 
 
+def _through(edges: DataFrame) -> DataFrame:
+    """id, head, tail of nodes with one edge in and one out: what lies before and after them."""
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("dst").alias("tail")).where("_n = 1")
+    into = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("_m"), F.min("src").alias("head")).where("_m = 1")
+    return out.join(into, F.col("src") == F.col("dst")).select(F.col("src").alias("id"), "head", "tail")
+
+
+def _along_chains(through: DataFrame, n: int) -> DataFrame:
+    """id, head, tail, low, ring: the chain of each through node, from its first node before to its first after.
+
+    Pointers jump twice as far each round. Nodes whose pointers never leave are rings of such
+    nodes alone; low is the smallest of a ring.
+    """
+    rows = stored(through.withColumn("low", F.col("id")))
+    for _ in range(n.bit_length() + 1):
+        ahead = rows.select(F.col("id").alias("_a"), F.col("tail").alias("_tail"), F.col("low").alias("_low"))
+        back = rows.select(F.col("id").alias("_b"), F.col("head").alias("_head"))
+        both = rows.join(ahead, F.col("tail") == F.col("_a"), "left").join(back, F.col("head") == F.col("_b"), "left")
+        rows = stored(both.select("id", F.coalesce("_head", "head").alias("head"), F.coalesce("_tail", "tail").alias("tail"), F.least("low", F.coalesce("_low", "low")).alias("low"), (F.col("_a").isNotNull() | F.col("_b").isNotNull()).alias("ring")))
+        if rows.where("ring").isEmpty():
+            break
+    return rows
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, scc (its smallest node), in_cycle.
 
+    While at least half of the nodes have one edge in and one out, chains of them are
+    contracted to one edge each: such a node is in its neighbours' component if both of its
+    chain's ends are in one, else alone. The rest goes to ``_core_components``.
+    """
+    loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
+    live, live_edges, chains = stored(nodes.select("id").distinct()), stored(edges.where("src <> dst").select("src", "dst").distinct()), []
+    while True:
+        through = stored(_through(live_edges))
+        n = through.count()
+        if not n or 2 * n < live.count():
+            break
+        rows = _along_chains(through, n)
+        chains.append(rows)
+        ids = rows.select("id")
+        direct = live_edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
+        live_edges = stored(direct.union(rows.where("not ring and head <> tail").select(F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct())
+        live = stored(live.join(ids, "id", "left_anti"))
+    done = _core_components(live, live_edges)
+    for rows in reversed(chains):
+        ends = lambda c: done.select(F.col("id").alias(c), F.col("scc").alias(f"_{c}"))  # noqa: B023, E731
+        open_ = rows.where("not ring").join(ends("head"), "head", "left").join(ends("tail"), "tail", "left")
+        found = open_.select("id", F.when(F.col("_head") == F.col("_tail"), F.col("_head")).otherwise(F.col("id")).alias("scc"))
+        done = stored(done.union(found).union(rows.where("ring").select("id", F.col("low").alias("scc"))))
+    sizes = done.groupBy("scc").agg(F.min("id").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    rows = done.join(sizes, "scc").join(loops.withColumn("_l", F.lit(True)), "id", "left")
+    return rows.select("id", F.col("_least").alias("scc"), (F.coalesce("_l", F.lit(False)) | (F.col("_n") > 1)).alias("in_cycle"))
+
+
+def _core_components(nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
+    """id, scc (one of its nodes) over edges without loops.
+
     Nodes without a live predecessor or successor are trimmed, each its own component.
     Of the rest each takes the smallest node that reaches it as colour; a colour's root and
     what reaches it backwards in that colour are one component, and leave the graph.
     """
-    loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
-    all_edges = stored(edges.where("src <> dst").select("src", "dst").distinct())
-    live, live_edges, done = stored(nodes.select("id").distinct()), all_edges, None
+    live, live_edges, done = nodes, all_edges, None
     while True:  # each round takes at least one component out
         while True:
             kept = live.join(live_edges.select(F.col("dst").alias("id")), "id", "left_semi").join(live_edges.select(F.col("src").alias("id")), "id", "left_semi")
@@ -134,9 +187,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         done = found if done is None else done.union(found)
         live = stored(live.join(found, "id", "left_anti"))
         live_edges = stored(live_edges.join(live.select(F.col("id").alias("src")), "src", "left_semi").join(live.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    done = stored(done if done is not None else nodes.select("id", F.col("id").alias("scc")))
-    sizes = done.groupBy("scc").count()
-    return done.join(sizes, "scc").join(loops.withColumn("_l", F.lit(True)), "id", "left").select("id", "scc", (F.coalesce("_l", F.lit(False)) | (F.col("count") > 1)).alias("in_cycle"))
+    return stored(done if done is not None else nodes.select("id", F.col("id").alias("scc")))
 
 
 def condense_topo(components: DataFrame, edges: DataFrame) -> DataFrame:

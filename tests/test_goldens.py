@@ -566,3 +566,16 @@ def test_bucketed_retrieval_finds_most_and_with_all_probes_everything(spark):
     assert pairs(retrieve.top_k_approximate(queries, index, planes, 5, near=planes.bits)) == pairs(exact)
     shares = [r["recall"] for r in retrieve.recall(retrieve.top_k_approximate(queries, index, planes, 5), exact).collect()]
     assert len(shares) == 50 and sum(shares) / 50 >= 0.9
+
+
+def test_strong_components_of_long_chains_and_rings(spark):
+    """A chain of 3,000 nodes, a ring of 1,000, and a ring of 600 with a tail and a chord."""
+    edges = [(k, k + 1) for k in range(3000)] + [(k, 5000 + (k + 1) % 1000) for k in range(5000, 6000)] + [(k, 7000 + (k + 1) % 600) for k in range(7000, 7600)]
+    edges += [(7599, 8000), (8000, 8001), (7100, 7300), (2999, 9000), (9000, 2000)]
+    rows = spark.createDataFrame([(s if s < 5000 or s >= 6000 else s, d if not 5000 <= s < 6000 else 5000 + (s - 5000 + 1) % 1000) for s, d in edges], "src long, dst long")
+    nodes = rows.select(F.col("src").alias("id")).union(rows.select("dst")).distinct()
+    got = {r.id: (r.scc, r.in_cycle) for r in graph.strong_components(nodes, rows).collect()}
+    want = {k: (k, False) for k in range(3001)} | {8000: (8000, False), 8001: (8001, False)}
+    want |= {k: (5000, True) for k in range(5000, 6000)} | {k: (7000, True) for k in range(7000, 7600)}
+    want |= {k: (2000, True) for k in [*range(2000, 3000), 9000]}
+    assert got == want
