@@ -297,3 +297,14 @@ def test_pieces_encode_as_whole_texts():
     for name, lead in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         got = tokens.PieceEncoder(tokens.tokenizer_path(name), lead).encode(texts)
         assert got == [ids(name, t)[:-1].tobytes() for t in texts]
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Learnt on labelled documents that aren't held out, right on the others by their labels."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    rows = toxicity.op1_toxicity(spark, sf).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    found = [r["predicted"] for r in rows if r["toxic"]]
+    clean = [r["predicted"] for r in rows if not r["toxic"]]
+    assert len(found) > 50 and sum(found) >= 0.9 * len(found)
+    assert len(clean) > 500 and sum(clean) <= 0.01 * len(clean)
