@@ -121,6 +121,37 @@ def resolve_imports(imports: DataFrame, exports: DataFrame) -> DataFrame:
     return imports.select("file", "ord", "name").join(best, ["file", "ord", "name"], "left")
 
 
+#: Kinds of exported items, in the order in which they are looked for.
+ITEM_ORDER = ("class", "function", "namespace", "local", "alias")
+
+
+def resolve_items(imports: DataFrame, exports: DataFrame, declared: DataFrame) -> DataFrame:
+    """file, ord, name, found (a file), item (its kind), hops: what each import means.
+
+    imports: file, ord, name, kind (named, default or star), target; exports: file, name, item,
+    is_default; declared: file, name, item of declaration files, which needn't export what
+    they declare. A star means the whole target. Else the target is searched, then what it
+    imports by the same name in its turn: nearest first, in a file an export of that name, for
+    default imports then one flagged default, then a declared item; among these by ITEM_ORDER.
+    """
+    seed = imports.where("kind <> 'star'").select("file", "ord", "name", "kind", F.col("target").alias("at"), F.lit(0).alias("hops"))
+    onward = imports.where("kind <> 'star'").select(F.col("file").alias("at"), "name", F.col("target").alias("_to")).distinct()
+
+    def step(delta: DataFrame, _: DataFrame) -> DataFrame:
+        return delta.join(onward, ["at", "name"]).select("file", "ord", "name", "kind", F.col("_to").alias("at"), (F.col("hops") + 1).alias("hops"))
+
+    walk = fixpoint(seed, step, ["file", "ord", "at"])
+    has = exports.select(F.col("file").alias("at"), F.col("name").alias("_own"), "item", "is_default", F.lit(0).alias("_tier"))
+    has = has.union(declared.select("file", "name", "item", F.lit(False), F.lit(2)))
+    tier = F.when(F.col("_own") == F.col("name"), F.col("_tier")).when(F.col("is_default") & (F.col("kind") == "default"), F.lit(1))
+    hits = walk.join(has, "at").withColumn("_rank", tier).where("_rank is not null")
+    order = F.array_position(F.array(*map(F.lit, ITEM_ORDER)), F.col("item"))
+    best = hits.groupBy("file", "ord").agg(F.min(F.struct("hops", "_rank", order.alias("_order"), "at", "item")).alias("_b"))
+    rows = imports.select("file", "ord", "name", "kind", "target").join(best, ["file", "ord"], "left")
+    star = F.col("kind") == "star"
+    return rows.select("file", "ord", "name", F.when(star, F.col("target")).otherwise(F.col("_b.at")).alias("found"), F.when(star, "file").otherwise(F.col("_b.item")).alias("item"), F.when(star, 0).otherwise(F.col("_b.hops")).alias("hops"))
+
+
 #: Prefixes of system modules and the folder each means.
 SYSTEM_FOLDERS = (("@ohos.", "api"), ("@kit.", "kits"), ("@arkts.", "arkts"))
 

@@ -130,6 +130,32 @@ def j10(spark, sf):
     return J.resolve_imports(X.x_imports(spark, sf), X.x_exports(spark, sf))
 
 
+ITEMS = """im AS (SELECT file, ord, name, CASE ord % 7 WHEN 0 THEN 'star' WHEN 1 THEN 'default' ELSE 'named' END AS kind, target FROM x_imports), ex AS (SELECT file AS at_, name, ['class', 'function', 'namespace', 'local', 'alias'][file % 5 + 1] AS item, is_default, 0 AS tier FROM x_exports UNION ALL SELECT file, name, ['alias', 'local', 'class', 'function', 'namespace'][file % 5 + 1], false, 0 FROM x_exports WHERE file % 2 = 0
+    UNION ALL SELECT file, 'm' || CAST((file + 7) % 20 AS VARCHAR), ['class', 'function', 'namespace', 'local', 'alias'][file % 5 + 1], false, 2 FROM x_exports WHERE file % 3 = 0),
+    w AS (SELECT file, ord, name, kind, target AS at_, 0 AS hops FROM im WHERE kind <> 'star' UNION SELECT w.file, w.ord, w.name, w.kind, i.target, hops + 1 FROM w JOIN (SELECT DISTINCT file, name, target FROM im WHERE kind <> 'star') i ON i.file = w.at_ AND i.name = w.name WHERE hops < 30), g AS (SELECT file, ord, name, kind, at_, min(hops) AS hops FROM w GROUP BY ALL),
+    h AS (SELECT g.*, e.item, list_position(['class', 'function', 'namespace', 'local', 'alias'], e.item) AS o, CASE WHEN e.name = g.name THEN tier WHEN is_default AND kind = 'default' THEN 1 END AS rank FROM g JOIN ex e ON e.at_ = g.at_)"""
+
+
+@query(
+    "j10_resolve_items",
+    sql(
+        "x_imports",
+        "x_exports",
+        recursive=True,
+        more=ITEMS,
+        body="SELECT i.file, i.ord, i.name, CASE WHEN kind = 'star' THEN target ELSE b.f.at_ END AS found, CASE WHEN kind = 'star' THEN 'file' ELSE b.f.item END AS item, CASE WHEN kind = 'star' THEN 0 ELSE b.f.hops END AS hops FROM im i LEFT JOIN (SELECT file, ord, min_by({'at_': at_, 'item': item, 'hops': hops}, (hops, rank, o, at_)) AS f FROM h WHERE rank IS NOT NULL GROUP BY ALL) b ON b.file = i.file AND b.ord = i.ord",
+    ),
+)
+def j10_items(spark, sf):
+    order = ("class", "function", "namespace", "local", "alias")
+    kinds = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("file") % 5 + 1).cast("int")).alias("item")
+    e = X.x_exports(spark, sf)
+    exports = e.select("file", "name", kinds(order), "is_default").union(e.where("file % 2 = 0").select("file", "name", kinds(("alias", "local", "class", "function", "namespace")), F.lit(False)))
+    declared = e.where("file % 3 = 0").select("file", F.concat(F.lit("m"), ((F.col("file") + 7) % 20).cast("string")).alias("name"), kinds(order))
+    imports = X.x_imports(spark, sf).withColumn("kind", F.when(F.col("ord") % 7 == 0, "star").when(F.col("ord") % 7 == 1, "default").otherwise("named"))
+    return J.resolve_items(imports, exports, declared)
+
+
 IMPORT_TEXT = """CASE ord % 6 WHEN 0 THEN './m' || CAST(ord % 9 AS VARCHAR) WHEN 1 THEN '../p' || CAST(file % 5 AS VARCHAR) || '/m' || CAST(ord AS VARCHAR) WHEN 2 THEN '@ohos.' || name WHEN 3 THEN 'lib' || CAST(file % 4 AS VARCHAR) || '/src/x' WHEN 4 THEN 'cfg/' || name ELSE '@kit.' || name END"""
 
 
@@ -550,6 +576,23 @@ def s11(spark, sf):
     return io.export_dot(X.x_nodes(spark, sf).withColumn("graph", F.col("id") % 20), X.x_edges_full(spark, sf).withColumn("graph", F.col("src") % 20))
 
 
+@query(
+    "s11_export_from_start",
+    sql(
+        "x_nodes",
+        "x_edges_full",
+        recursive=True,
+        more="""gr AS (SELECT id % 20 AS graph, * FROM x_nodes), ge AS (SELECT src % 20 AS graph, src, dst FROM x_edges_full WHERE dst % 20 = src % 20), se AS (SELECT graph, id FROM gr WHERE id = graph UNION SELECT se.graph, ge.dst FROM se JOIN ge ON ge.graph = se.graph AND ge.src = se.id),
+        li AS (SELECT graph, 0 AS k, id AS a, CAST(0 AS BIGINT) AS b, '  "' || CAST(id AS VARCHAR) || '" [label="' || name || '"];' AS t FROM gr JOIN se USING (graph, id) UNION ALL SELECT graph, 1, src, dst, '  "' || CAST(src AS VARCHAR) || '" -> "' || CAST(dst AS VARCHAR) || '";' FROM ge JOIN se USING (graph) WHERE se.id = ge.src)""",
+        body="""SELECT graph, 'digraph "' || CAST(graph AS VARCHAR) || '" {' || chr(10) || string_agg(t, chr(10) ORDER BY k, a, b) || chr(10) || '}' AS text FROM li GROUP BY graph""",
+    ),
+)
+def s11_start(spark, sf):
+    """Of each graph what its first node reaches."""
+    nodes, edges = X.x_nodes(spark, sf).withColumn("graph", F.col("id") % 20), X.x_edges_full(spark, sf).withColumn("graph", F.col("src") % 20).where("dst % 20 = graph")
+    return io.export_dot(nodes, edges, nodes.where("id = graph").select("graph", "id"))
+
+
 @query(
     "s12_nest_program",
     sql(

@@ -119,8 +119,16 @@ def upsert_vectors(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return last_write_wins(rows, "id", "seq").withColumn("metadata", F.map_filter("metadata", lambda _, v: v.isNotNull()))
 
 
-def export_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph, text: one text graph for each graph id, nodes then edges in order."""
+def export_dot(nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """graph, text: one text graph for each graph id, nodes then edges in order.
+
+    start (graph, id): only what these nodes reach, in their graph; others have no row.
+    """
+    if start is not None:
+        from codequarry.operators.graph import reachable
+
+        seen = reachable(edges, start.select("graph", F.col("id").alias("root"), F.col("id").alias("node")), ("graph",)).select("graph", F.col("node").alias("id")).distinct()
+        nodes, edges = nodes.join(seen, ["graph", "id"], "left_semi"), edges.join(seen.withColumnRenamed("id", "src"), ["graph", "src"], "left_semi")
     n = nodes.select("graph", F.struct(F.lit(0).alias("k"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).alias("o"), F.concat(F.lit('  "'), F.col("id").cast("string"), F.lit('" [label="'), F.col("name"), F.lit('"];')).alias("t"))
     e = edges.select("graph", F.struct(F.lit(1).alias("k"), F.col("src").alias("a"), F.col("dst").alias("b")).alias("o"), F.concat(F.lit('  "'), F.col("src").cast("string"), F.lit('" -> "'), F.col("dst").cast("string"), F.lit('";')).alias("t"))
     body = n.union(e).groupBy("graph").agg(ordered_text("o", "t").alias("b"))
