@@ -143,6 +143,13 @@ def test_cells_of_anagrams_are_dealt_into_parts(spark):
     assert got == {(a, b) if a < b else (b, a) for i, a in enumerate(words) for b in words[i + 1 :] if near(a, b)}
 
 
+def test_words_longer_than_16_bits_count_differences():
+    a, b = "a" * 65_537, "b" * 65_537  # 65,537 differences are not one
+    c = a[:-1] + "b"
+    got = {tuple(sorted((int(q), int(p)))) for _, qs, ps in spelling_variants.near_in_cell([a, b, c], [], []) for q, p in zip(qs, ps, strict=True)}
+    assert got == {(0, 2)}
+
+
 def test_range_search_prunes(spark):
     rng = random.Random(6)
     words = sorted({"".join(rng.choice("abcdefghijklmnopqrst") for _ in range(8)) for _ in range(4000)})
