@@ -579,3 +579,56 @@ def test_strong_components_of_long_chains_and_rings(spark):
     want |= {k: (5000, True) for k in range(5000, 6000)} | {k: (7000, True) for k in range(7000, 7600)}
     want |= {k: (2000, True) for k in [*range(2000, 3000), 9000]}
     assert got == want
+
+
+def kept_rows(monkeypatch, *modules):
+    """Numbers of rows of the tables that these modules store."""
+    sizes = []
+
+    def counted(keep):
+        def run(df, *label):
+            out = keep(df, *label)
+            sizes.append(out.count())
+            return out
+
+        return run
+
+    for m in modules:
+        monkeypatch.setattr(m, "stored", counted(m.stored))
+    return sizes
+
+
+def test_calls_store_no_pairs_of_sites_and_callees(spark, monkeypatch):
+    names = [f"c{k}" for k in range(60)]
+    classes = spark.createDataFrame([("top", True), ("main", False)] + [(c, False) for c in names], "class string, abstract boolean")
+    extends = spark.createDataFrame([(c, "top") for c in names], "child string, parent string")
+    methods = spark.createDataFrame([(c, "run", False) for c in names], "class string, name string, abstract boolean")
+    sites = spark.createDataFrame([(k, "main" if k < 2 else f"c{k % 80}", "top", "run") for k in range(200)] + [(900, None, "top", None)], "site int, caller string, declared string, name string")
+    entries = spark.createDataFrame([("main",)], "class string")
+    creates = spark.createDataFrame([("main", "c1"), ("c1", "c2"), ("c2", "c3"), ("c70", "c4"), ("main", None)], "caller string, class string")
+    subs = calls.subclasses(extends, classes)
+    found = calls.targets(sites, subs, classes, methods)
+    want = pairs(calls.calls_by_hierarchy(found, entries).select("site", "caller", "callee")), pairs(calls.calls_by_instantiation(found, creates.dropna(), entries))
+    sizes = kept_rows(monkeypatch, calls)
+    table = calls.dispatch(subs, classes, methods)
+    got = pairs(calls.reached_calls(sites, table, entries)), pairs(calls.reached_calls(sites, table, entries, creates))
+    assert got == want and len(got[0]) > 5000 and {c for _, _, c in got[1]} == {"c1", "c2", "c3"}
+    assert sizes and max(sizes) <= 200
+
+
+def test_roots_share_what_the_hub_and_components_reach(spark, monkeypatch):
+    ring = [(k, (k + 1) % 14) for k in range(14)]
+    edges = spark.createDataFrame([*ring, *[(0, 5), (0, 9), (12, 0), (8, None), (100, 101), (101, 3), (101, 102), (102, 103), (7, 200), (200, 201), (103, 200), (300, 301), (301, 201), (400, 401), (None, 401)]], "src long, dst long")
+    start = spark.createDataFrame([(r, r) for r in [*range(0, 14, 2), 100, 102, 200, 300, 400, 500]], "root long, node long")
+    want = pairs(graph.reachable(edges, start))
+    wanted = pairs(graph.reachable(edges.union(edges.select("dst", "src")), start))
+    sizes = kept_rows(monkeypatch, graph)
+    got = graph.reachable_past_hub(edges, start).collect()
+    assert pairs_of(got) == want and len(got) == len(want)
+    related = flow.related_values(edges, start.select(F.col("root").alias("id"))).collect()
+    assert pairs_of(related) == wanted and len(related) == len(wanted)
+    assert max(sizes) < len(want) / 2  # no table of all pairs
+
+
+def pairs_of(rows):
+    return {tuple(r) for r in rows}
