@@ -29,3 +29,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded as DuckDB does it: scaled, to the nearest (halves away from 0), and scaled back."""
+    scaled = x * F.lit(10.0**digits)
+    size = F.abs(scaled)
+    whole = F.floor(size)
+    near = (whole + F.when(size - whole >= 0.5, 1).otherwise(0)) * F.signum(scaled) / F.lit(10.0**digits)
+    return F.when(size < 2.0**52, near).otherwise(x)  # larger ones have no fraction

@@ -95,12 +95,20 @@ def number_examples(scored: DataFrame) -> DataFrame:
     return scored.withColumn("number", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")))
 
 
-def pool_embedding(tokens: DataFrame, mode: str = "mean") -> DataFrame:
-    """doc, vec: the mean of a document's token vectors (doc, pos, vec), or the first."""
+def pool_embedding(tokens: DataFrame, mode: str = "mean", size: int | None = None) -> DataFrame:
+    """doc, vec: the mean of a document's token vectors (doc, pos, vec), or the first.
+
+    Null vectors and components aren't counted. With ``size`` a mean has so many components, null
+    where no vector has one; otherwise as many as the longest vector.
+    """
     if mode == "first":
         return tokens.groupBy("doc").agg(F.min_by("vec", "pos").alias("vec"))
-    parts = tokens.select("doc", F.posexplode("vec").alias("dim", "x")).groupBy("doc", "dim").agg(F.avg("x").alias("x"))
-    return parts.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
+    parts = tokens.select("doc", F.posexplode_outer("vec").alias("dim", "x")).groupBy("doc", "dim").agg(F.avg("x").alias("x"))
+    means = F.array_sort(F.filter(F.collect_list(F.struct("dim", "x")), lambda s: s["dim"].isNotNull()))
+    if size is None:
+        return parts.groupBy("doc").agg(F.transform(means, lambda s: s["x"]).alias("vec"))
+    rows = parts.groupBy("doc").agg(F.map_from_entries(means).alias("_means"))
+    return rows.select("doc", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at("_means", i)).alias("vec"))
 
 
 def embed(rows: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
