@@ -13,18 +13,92 @@ from pyspark.sql import types as T
 from codequarry.functions.columns import cosine, dot
 
 
+GROUP_VECTORS = 4_096  # candidates that a task scores at a time, with all queries that meet them
+NEARLY = 1e-5  # scores are rounded to 1e-6, so that nothing below the k-th by more than this can count
+
+
+def _leaders(queries: DataFrame, vectors: DataFrame, on: list[str], k: int) -> DataFrame:
+    """qid, id: what may be among the k most similar of each query, of all that meet on equal keys.
+
+    A group's vectors are dealt into parts of about GROUP_VECTORS and its queries go to all of them. A part is
+    scored by matrix products; of each query it gives on what comes near its own k-th score or above,
+    and what has no finite score. The same rule over all parts leaves few pairs for the exact formula.
+    """
+    sizes = vectors.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / GROUP_VECTORS).cast("int").alias("_parts"))
+    rows = vectors.join(sizes, on).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    asked = queries.join(sizes, on).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+
+    def best(asked_rows, rows_):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def unit(column):
+            """Vectors of length one as rows; nan where one is null, shorter or holds a null."""
+            lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+            sizes = np.unique(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            values = lists.flatten()
+            if lists.null_count == 0 and values.null_count == 0 and len(sizes) == 1:
+                out = values.to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+            else:
+                each = lists.to_pylist()
+                out = np.full((len(each), max((len(v) for v in each if v is not None), default=0)), np.nan)
+                for i, v in enumerate(each):
+                    if v is not None:
+                        out[i, : len(v)] = v
+            return out / np.sqrt((out * out).sum(axis=1))[:, None]
+
+        with np.errstate(all="ignore"):
+            q, v = unit(asked_rows.column("qvec")), unit(rows_.column("vec"))
+            found: list = [[np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]]
+            for first in range(0, len(q), 1_024):
+                some = q[first : first + 1_024]
+                score = some @ v.T if q.shape[1] == v.shape[1] else np.full((len(some), len(v)), np.nan)
+                odd = ~np.isfinite(score)
+                low = np.where(odd, -np.inf, score)
+                least = np.partition(low, -k, axis=1)[:, -k] if k < low.shape[1] else np.full(len(low), -np.inf)
+                a, b = np.nonzero(odd | (low >= least[:, None] - NEARLY))
+                for out, part in zip(found, (a + first, b, score[a, b]), strict=True):
+                    out.append(part)
+        a, b, near = map(np.concatenate, found)
+        near = pa.array(near, pa.float64(), mask=~np.isfinite(near))
+        return pa.table([asked_rows.column("qid").take(pa.array(a)), rows_.column("id").take(pa.array(b)), near], names=["qid", "id", "near"])
+
+    types = dict([*queries.select("qid").dtypes, *vectors.select("id").dtypes])
+    left = asked.select(*[F.col(c).alias(f"_{c}") for c in on], "_part", "qid", "qvec").groupBy(*[f"_{c}" for c in on], "_part")
+    met = left.cogroup(rows.select(*on, "_part", "id", "vec").groupBy(*on, "_part"))
+    met = met.applyInArrow(best, f"qid {types['qid']}, id {types['id']}, near double")
+    pairs = met.groupBy("qid", "id").agg(F.max("near").alias("near"), F.max(F.col("near").isNull()).alias("odd"))
+    order = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("near")))
+    least = F.min(F.when(F.col("_r") <= k, F.col("near"))).over(W.partitionBy("qid"))
+    rows = pairs.withColumn("_r", order).withColumn("_least", least)
+    return rows.where((F.col("_r") <= k) | F.col("odd") | (F.col("near") >= F.col("_least") - NEARLY)).select("qid", "id")
+
+
+def _placed(queries: DataFrame, vectors: DataFrame, leaders: DataFrame, key: str, k: int, once: bool) -> DataFrame:
+    """qid, id, score, place: the k best of each query by the exact formula, of leaders (qid, id)."""
+    c = F.col
+    asked, given = queries.select("qid", "qvec", c(key).alias("_key")), vectors.select("id", "vec", c(key).alias("_of"))
+    met = leaders.select(c("qid").alias("_q"), c("id").alias("_i")).join(asked, c("_q").eqNullSafe(c("qid")))
+    met = met.join(given, c("_i").eqNullSafe(c("id")) & (c("_key") == c("_of")))
+    rows = met.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score"))
+    rows = rows.distinct() if once else rows
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= k)
+
+
 def top_k_examples(queries: DataFrame, vectors: DataFrame, k: int, key: str | None = "rule") -> DataFrame:
     """qid, id, score, place: the k vectors most similar to each query, of the same key.
 
-    Candidates meet by the key first, so scoring never sees other rules' vectors; AQE
-    splits hot keys. Scores are rounded, so that ties break by id in every engine.
+    Candidates meet by the key first, so scoring never sees other rules' vectors, and a hot key is
+    dealt into parts. Scores are rounded, so that ties break by id in every engine.
     """
     if k <= 0:
         return queries.select("qid").limit(0).selectExpr("qid", "cast(null as bigint) id", "cast(null as double) score", "cast(null as int) place")
-    rows = queries.join(vectors, key) if key else queries.join(vectors)
-    rows = rows.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score"))
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("place", place).where(F.col("place") <= k)
+    if key is None:
+        queries, vectors = queries.withColumn("_one", F.lit(0)), vectors.withColumn("_one", F.lit(0))
+    key = key or "_one"
+    return _placed(queries, vectors, _leaders(queries, vectors, [key], k), key, k, False)
 
 
 def _margins(vec: Column, planes: list[list[float]]) -> Column:
@@ -70,13 +144,15 @@ def top_k_approximate(queries: DataFrame, index: DataFrame, planes: Hyperplanes,
     """As top_k_examples, but only vectors that share a probed bucket are scored.
 
     index: planes.index(vectors). Scores of what is found are exact; some of the k may be
-    missed, see recall. With ``near`` as large as ``planes.bits`` all are found.
+    missed, see recall. Rows of one id and key count as one vector. With ``near`` as large as ``planes.bits`` all are found.
     """
-    on = ["table", "bucket", *([key] if key else [])]
-    met = planes.probes(queries, near).join(index, on).select("qid", "qvec", "id", "vec")
-    rows = met.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score")).distinct()
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("place", place).where(F.col("place") <= k)
+    if k <= 0:
+        return top_k_examples(queries, index, k)
+    if key is None:
+        queries, index = queries.withColumn("_one", F.lit(0)), index.withColumn("_one", F.lit(0))
+    key = key or "_one"
+    leaders = _leaders(planes.probes(queries, near), index, ["table", "bucket", key], k)
+    return _placed(queries, index.where("table = 0"), leaders, key, k, True)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -632,3 +632,27 @@ def test_roots_share_what_the_hub_and_components_reach(spark, monkeypatch):
 
 def pairs_of(rows):
     return {tuple(r) for r in rows}
+
+
+def test_equal_ranges_stay_in_one_island(spark):
+    rows = [(p, s, e) for p in range(40) for s, e in [(407, 408), (464, 467), (464, 467), (469, 470), (469, 470)]]
+    got = windows.merge_ranges(spark.createDataFrame(rows, "path int, start long, end long")).select("path", "start", "end", "n").collect()
+    assert sorted(map(tuple, got)) == [r for p in range(40) for r in [(p, 407, 408, 1), (p, 464, 467, 2), (p, 469, 470, 2)]]
+
+
+def test_matrix_scores_leave_the_results_of_the_formula(spark, monkeypatch):
+    rng = random.Random(9)
+    vec = lambda: [rng.choice([-1.0, 0.25, 0.5, 1.0, 2.0]) for _ in range(4)]
+    rows = [(k, k % 2, vec()) for k in range(300)] + [(7, 1, vec()), (None, 0, vec()), (400, 0, None), (401, 0, [1.0, None, 1.0, 1.0]), (402, 1, [1.0, 2.0]), (403, None, vec())]
+    vectors = spark.createDataFrame(rows, "id long, rule int, vec array<double>")
+    queries = vectors.where("id % 20 < 3 or id >= 400").selectExpr("id as qid", "rule", "vec as qvec")
+    all_pairs = queries.join(vectors, "rule").select("qid", "id", F.round(retrieve.cosine(F.col("qvec"), F.col("vec")), 6).alias("score"))
+    place = F.row_number().over(retrieve.W.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    want = sorted(map(str, all_pairs.withColumn("place", place).where("place <= 6").collect()))
+    monkeypatch.setattr(retrieve, "GROUP_VECTORS", 40)
+    scored = []
+    keep = retrieve._leaders
+    monkeypatch.setattr(retrieve, "_leaders", lambda *a: scored.append(keep(*a)) or scored[-1])
+    got = retrieve.top_k_examples(queries, vectors, 6)
+    assert sorted(map(str, got.collect())) == want
+    assert scored[0].count() < all_pairs.count() / 2  # few pairs meet the formula
