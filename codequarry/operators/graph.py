@@ -271,10 +271,10 @@ def dependency_order(edges: DataFrame, start: DataFrame) -> DataFrame:
 
     edges: src imports dst. Only shortest distances are kept, so rings end too.
     """
-    e = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct())
+    e = dealt(edges.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct(), ["node"])
     seed = start.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("hops"))
     # rounds are hops, so the first row of a pair is the nearest
-    return fixpoint(seed, lambda d, _: d.join(e, "node").select("root", F.col("_to").alias("node"), (F.col("hops") + 1).alias("hops")), ["root", "node"])
+    return fixpoint(seed, lambda d, _: e.join(d).select("root", F.col("_to").alias("node"), (F.col("hops") + 1).alias("hops")), ["root", "node"])
 
 
 def import_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
