@@ -481,6 +481,21 @@ def test_undefined_bases_and_fields(spark):
     assert pairs(tracking.undefined_uses(them, missing)) == {(3, "t", "g", 1)}
 
 
+def test_a_long_procedure_takes_no_more_rounds_than_a_short_one(spark, monkeypatch):
+    """1: a = source(); then 30 statements; 31: sink(a)."""
+    from codequarry.operators.flow import PATH
+    from codequarry.plans.fixpoint import Dealt
+
+    rounds, add = [], Dealt.add
+    monkeypatch.setattr(Dealt, "add", lambda self, rows, k=0: (rounds.append(k) if self.by == PATH else None) or add(self, rows, k))
+    them = program(spark, [(1, "a", "", None, "")] + [(k, None, "", "b", "") for k in range(2, 31)] + [(31, None, "", "a", "")], [(k, k + 1) for k in range(1, 31)], entries=[1])
+    them.procedures = spark.range(1, 32).selectExpr("1L as start", "id as node")
+    sources = spark.createDataFrame([(1, "a", "")], "node long, base string, field string")
+    sinks = spark.createDataFrame([(31, "a")], "node long, base string")
+    assert pairs(tracking.taint_flows(them, sources, sinks)) == {(1, 31, "a", "")}
+    assert max(rounds) <= 2
+
+
 def test_signatures_name_methods_by_file_namespace_class_and_parameters(spark):
     methods = spark.createDataFrame([("m1", "f", None, "_default", "run", ["x:number"]), ("m2", "f", "n", "C", "run", []), ("m3", "f", "n", "C", "run", ["x:number"]), ("m4", "g", None, "C", "run", [])], "method string, file string, namespace string, class string, name string, params array<string>")
     rows = [("f", "_", "_", "run", ["x:number"], "a"), ("f", "n", "C", "run", ["x:number"], "b"), ("f", "n", "C", "run", None, "c"), ("f", "_", "C", "run", None, "d"), ("g", "_", "C", "run", ["x:number"], "e"), ("g", "_", "C", "run", [], "f")]
