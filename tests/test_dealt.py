@@ -31,3 +31,11 @@ def test_rounds_past_a_merge_keep_all_rows(spark):
     n = 45  # more than MERGED
     found = fixpoint(spark.range(1).select("id", F.array("id").alias("at")), lambda d, _: d.where(F.col("id") < n).select(F.col("id") + 1, F.array(F.col("id") + 1)).toDF("id", "at"), ["id", "at"])
     assert sorted(r.id for r in found.collect()) == list(range(n + 1))
+
+
+def test_few_rows_are_shuffled_and_the_stored_ones_not_sorted(spark):
+    t = dealt(spark.range(100).select((F.col("id") % 10).alias("a"), F.col("id").alias("b")), ["a"])
+    both = t.join(spark.createDataFrame([(3, "x"), (11, "z"), (None, "n")], "a int, tag string"), few=True)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(both) == 1 and "ShuffledHashJoin" in plan and "Sort " not in plan
+    assert both.count() == 10
