@@ -8,12 +8,15 @@ so are texts that spell out a special token, which the library finds first.
 
 Most new pieces are a word of plain letters, some with marks after it. Both vocabularies
 split between the two and nowhere else, so the library's model gets such words already
-split, many at a time; other new pieces take the library's whole path. The store of pieces
-is bounded; beyond the bound new pieces are encoded again each time.
+split, many at a time; other new pieces take the library's whole path. Where a vocabulary
+has a letter that no merge takes in, many words are one sequence for the model, with that
+letter between them: merges don't cross it, so the ids are those of the words alone. The
+store of pieces is bounded; beyond the bound new pieces are encoded again each time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -26,6 +29,7 @@ JOINED, AT_ONCE = 400, 10  # pieces encoded as one text, and such texts at a tim
 _INNER_RUN = re.compile(r"\s \s|\s $|^\s* ")
 _APART = re.compile(r"[\s\x01]")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)%#&$*\"]*)")  # a word of plain letters, and marks
+_LINES = re.compile(_PLAIN.pattern + r"\n" + _PLAIN.pattern)  # two such, one line break between them
 _RARE_SPACE = re.compile(r"[\x1c-\x1f]")  # white space for Python, not for the vocabularies
 _workers: dict = {}
 
@@ -70,21 +74,32 @@ class PieceEncoder:
         self.words = Tokenizer(self.model.model)  # takes words that are split and written as byte letters
         self.letters = byte_letters()
         self.specials = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.lead, self.store, self.tails, self.heads = lead, {}, {"": b""}, {}
+        self.lead, self.store, self.tails, self.heads, self.bare = lead, {}, {"": b""}, {}, {}
         # a mark of one id that stands between pieces, so that many are encoded as one text
         self.between = "\n" if lead else " \x01 "
         mark = self.whole([self.between.strip(" ")])[0]
         self.mark = int(np.frombuffer(mark, "<u4")[0]) if len(mark) == 4 else None
+        self.wall, self.line = self._unmerged(), mark if lead else b""
+
+    def _unmerged(self) -> tuple[str, int] | None:
+        """A letter that no merge takes in nor any word holds, and its id, if words side by side with it merge as they do alone."""
+        form = json.loads(self.model.to_str())["model"]
+        if form["type"] != "BPE" or form.get("end_of_word_suffix") or form.get("continuing_subword_prefix") or form.get("dropout") or form.get("ignore_merges"):
+            return None
+        merged = {x for m in form["merges"] for part in (m if isinstance(m, list) else m.split(" ")) for x in part}
+        shown = (self.letters[b] for b in range(0x20))  # of control characters: not in a word of plain letters
+        return next(((x, form["vocab"][x]) for x in shown if x in form["vocab"] and x not in merged), None)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, encoded: list, counts: list[int], again) -> list[bytes]:
+    def _cut(self, encoded: list, counts: list[int], again, mark: int | None = None) -> list[bytes]:
         """The ids of each piece, of texts that hold pieces with the mark between them."""
         out: list[bytes] = []
+        mark = self.mark if mark is None else mark
         for k, (e, n) in enumerate(zip(encoded, counts, strict=True)):
             ids = np.array(e.ids, dtype="<u4")
-            cuts = (np.flatnonzero(ids == self.mark) * 4).tolist()
+            cuts = (np.flatnonzero(ids == mark) * 4).tolist()
             if len(cuts) != n - 1:
                 out += again(k)
             else:
@@ -102,43 +117,51 @@ class PieceEncoder:
             out += self._cut(encoded, [len(part) for part in parts], lambda n: self.whole(parts[n]))  # noqa: B023
         return out
 
-    def _spelt(self, word: str) -> str:
-        """A word of plain letters as the model has it."""
+    def _spelt(self, word: str, spaced: bool = True) -> str:
+        """A word of plain letters as the model has it, with the space before it or without."""
         word = word if self.lead else word.lower()
         written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return self.letters[0x20] + written if self.lead else written
+        return self.letters[0x20] + written if self.lead and spaced else written
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _words(self, words: list[str], spaced: bool = True) -> list[bytes]:
         """Ids of words of plain letters, encoded side by side without another split."""
         out: list[bytes] = []
-        mark = self.letters[0x0A] if self.lead else self.letters[0x01]
+        mark, id_ = self.wall or (self.letters[0x0A] if self.lead else self.letters[0x01], self.mark)
         for k in range(0, len(words), JOINED * AT_ONCE):
-            parts = [[self._spelt(w) for w in words[i : i + JOINED]] for i in range(k, min(k + JOINED * AT_ONCE, len(words)), JOINED)]
-            rows = [[x for w in part for x in (w, mark)][:-1] for part in parts]
+            parts = [[self._spelt(w, spaced) for w in words[i : i + JOINED]] for i in range(k, min(k + JOINED * AT_ONCE, len(words)), JOINED)]
+            rows = [[mark.join(part)] if self.wall else [x for w in part for x in (w, mark)][:-1] for part in parts]
             encoded = self.words.encode_batch_fast(rows, is_pretokenized=True, add_special_tokens=False)
-            out += self._cut(encoded, [len(part) for part in parts], lambda n: [np.array(self.words.encode([w], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes() for w in parts[n]])  # noqa: B023
+            out += self._cut(encoded, [len(part) for part in parts], lambda n: [np.array(self.words.encode([w], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes() for w in parts[n]], id_)  # noqa: B023
         return out
 
     def _new(self, pieces: list[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
         plain, words, marks = [], [], []
-        others, odd = [], []
+        lines, others, odd = [], [], []
         for p in pieces:
             m = _PLAIN.fullmatch(p) if self.mark is not None else None
             if m:
                 plain.append(p)
                 words.append(m[1])
                 marks.append(m[2])
+            elif self.lead and self.mark is not None and (m := _LINES.fullmatch(p)):
+                lines.append((p, m))
             else:
                 (odd if self.mark is None or not p or _APART.search(p) else others).append(p)
         found.update(zip(odd, self.whole([" " + p for p in odd] if self.lead else odd), strict=True))
         found.update(zip(others, self._many(others), strict=True))
-        tails = list(set(marks).difference(self.tails))
+        tails = list(set(marks).union(x for _, m in lines for x in (m[2], m[4])).difference(self.tails))
         self.tails.update(zip(tails, self.whole(tails), strict=True))
-        known = {w: self.store.get(w) for w in words}
+        known = {w: self.store.get(w) for w in (*words, *(m[1] for _, m in lines))}
         unknown = [w for w, x in known.items() if x is None]
         known.update(zip(unknown, self._words(unknown), strict=True))
         found.update(zip(plain, [known[w] + self.tails[t] for w, t in zip(words, marks, strict=True)], strict=True))
+        if lines:
+            if len(self.bare) > 50_000:
+                self.bare = {}
+            bare = list({m[3] for _, m in lines}.difference(self.bare))
+            self.bare.update(zip(bare, self._words(bare, False), strict=True))
+            found.update((p, known[m[1]] + self.tails[m[2]] + self.line + self.bare[m[3]] + self.tails[m[4]]) for p, m in lines)
         if len(self.store) + len(found) + len(unknown) <= STORE_BOUND:
             # pieces that begin with white space, and empty ones, aren't kept: see _group
             self.store.update((p, x) for p, x in found.items() if p and not p[0].isspace())

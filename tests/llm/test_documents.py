@@ -308,3 +308,23 @@ def test_toxicity_on_held_out_documents(spark):
     clean = [r["predicted"] for r in rows if not r["toxic"]]
     assert len(found) > 50 and sum(found) >= 0.9 * len(found)
     assert len(clean) > 500 and sum(clean) <= 0.01 * len(clean)
+
+
+def test_words_side_by_side_and_over_a_line_break_keep_their_ids():
+    """New words are one sequence for the model, and words over a line break don't take the whole path."""
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    enc = tokens.PieceEncoder(path, True)
+    assert enc.wall is not None and tokens.PieceEncoder(tokens.tokenizer_path("word_bpe_49k.json"), False).wall is None
+    rng = np.random.default_rng(5)
+    letters = list("aeiounrstlzqXYÀéñöÿ")
+    word = lambda: "".join(rng.choice(letters, rng.integers(1, 14)))
+    mark = lambda: str(rng.choice(["", ".", ",", "!?", '")', "*&"]))
+    between = lambda: str(rng.choice([" ", " ", " ", "\n", "\n\n", "\r\n", "\n\t"]))
+    texts = ["".join(word() + mark() + between() for _ in range(200)) for _ in range(20)] + ["a.\nb c'\nd e.\n'll f\n g.\nh \n"]
+    got = enc.encode(texts)
+    assert got == [ids("byte_bpe_50k.json", t)[:-1].tobytes() for t in texts]
+    seen = []
+    whole = enc.whole
+    enc.whole = lambda pieces: seen.extend(pieces) or whole(pieces)
+    enc.encode(["one Qoneword.\nQtwoword, more"])
+    assert not any("Qtwoword" in p for p in seen)
