@@ -671,3 +671,27 @@ def test_matrix_scores_leave_the_results_of_the_formula(spark, monkeypatch):
     got = retrieve.top_k_examples(queries, vectors, 6)
     assert sorted(map(str, got.collect())) == want
     assert scored[0].count() < all_pairs.count() / 2  # few pairs meet the formula
+
+
+def test_contexts_go_along_long_chains_by_squared_steps(spark, monkeypatch):
+    """As many rounds as doublings, with the last callees; where squared steps would grow too much, by the longest that didn't."""
+    rounds = []
+    fixpoint = graph.fixpoint
+
+    def counted(seed, step, key, most=None):
+        def each(d, a):
+            rounds.append(1)
+            return step(d, a)
+
+        return fixpoint(seed, each, key, most)
+
+    monkeypatch.setattr(graph, "fixpoint", counted)
+    monkeypatch.setattr(graph, "HOPS", 3)
+    for n, jumps in ((30, 8), (8, 0)):
+        pag = spark.createDataFrame([(-1, 0, "address")] + [(i, i + 1, "copy") for i in range(n) if i % 7], "src long, dst long, kind string")
+        calls = spark.createDataFrame([(i, i + 1, i + 1) for i in range(n) if not i % 7], "src long, dst long, callee long")
+        monkeypatch.setattr(graph, "MOST_JUMPS", jumps)
+        want = {i: [x for x in range(i, 0, -1) if x % 7 == 1][:2] for i in range(n + 1)}
+        assert {r["var"]: r["ctx"] for r in flow.points_to_ctx(pag, calls, 2).collect()} == want
+        if jumps:
+            assert len(rounds) <= graph.HOPS
