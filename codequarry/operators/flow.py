@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from codequarry.operators.graph import by_doubling, connected_components, reachable, spread_join
 from codequarry.plans.fixpoint import Dealt, dealt, fixpoint, stored
 
+BATCH_ROWS = 50_000
 PATH = ["start", "start_fact", "node", "fact"]
 Flow = DataFrame | Callable[[DataFrame], DataFrame]
 
@@ -78,21 +81,52 @@ def taint_flows(stmts: DataFrame, cfg: DataFrame, sources: DataFrame, sinks: Dat
     return facts.join(at, ["method", "block", "fact"]).select("method", "source", F.col("block").alias("sink"), "fact")
 
 
-def undefined_uses(stmts: DataFrame, cfg: DataFrame, start: int = 1) -> DataFrame:
-    """method, block, name: uses that a variable's first definition may not have reached."""
-    after = cfg.select("method", F.col("src").alias("block"), F.col("dst").alias("_to"))
-    names = stmts.select("method", F.explode(F.array("use", "def")).alias("name")).distinct()
-    seed = names.select("method", F.lit(start).alias("block"), "name")
-    # a block's successors, with the names that it defines
-    defined = stmts.groupBy("method", "block").agg(F.collect_set("def").alias("_defs"))
-    onward = dealt(after.join(defined, ["method", "block"], "left"), ["method", "block"])
+def open_uses(edges: list[tuple], rows: list[tuple], start: int) -> set[tuple]:
+    """block, use of the rows (block, def, use) that start reaches past no block that defines the name."""
+    bit = {name: 1 << k for k, name in enumerate({x for _, d, u in rows for x in (d, u)} - {None})}
+    ends: dict = {}
+    for block, defined, _ in rows:
+        ends[block] = ends.get(block, 0) | bit.get(defined, 0)
+    after: dict = {}
+    for s, d in edges:
+        after.setdefault(s, []).append(d)
+    into, left = {start: (1 << len(bit)) - 1}, [start]
+    while left:
+        block = left.pop()
+        out = into[block] & ~ends.get(block, 0)
+        for d in after.get(block, ()):
+            if out & ~into.get(d, 0):
+                into[d] = into.get(d, 0) | out
+                left.append(d)
+    return {(block, use) for block, _, use in rows if into.get(block, 0) & bit.get(use, 0)}
 
-    def step(delta: DataFrame, _: DataFrame) -> DataFrame:
-        open_ = onward.join(delta).where(~F.coalesce(F.array_contains("_defs", F.col("name")), F.lit(False)))
-        return open_.select("method", F.col("_to").alias("block"), "name")
 
-    open_ = fixpoint(seed, step, ["method", "block", "name"])
-    return open_.join(stmts.select("method", "block", F.col("use").alias("name")), ["method", "block", "name"], "left_semi")
+def undefined_uses(stmts: DataFrame, cfg: DataFrame, start: int = 1) -> DataFrame:
+    """method, block, name: uses that a variable's first definition may not have reached.
+
+    A method is one row of statements and edges, walked in one task.
+    """
+    lists = stmts.where("method is not null and block is not null").groupBy("method").agg(F.collect_set(F.struct("block", "def", "use")).alias("rows"))
+    edges = cfg.groupBy("method").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    method, block, name = (stmts.schema[c].dataType for c in ("method", "block", "use"))
+    schema = StructType([StructField("method", method), StructField("block", block), StructField("name", name)])
+    arrow = to_arrow_schema(schema)
+
+    def walked(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            at, blocks, names = [], [], []
+            for k, (edges_, rows) in enumerate(zip(b.column(1), b.column(2), strict=True)):
+                found = open_uses([tuple(x.values()) for x in edges_.as_py() or ()], [tuple(x.values()) for x in rows.as_py()], start)
+                at += [k] * len(found)
+                blocks += [x for x, _ in found]
+                names += [x for _, x in found]
+                if len(at) >= BATCH_ROWS or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(blocks, arrow.field(1).type), pa.array(names, arrow.field(2).type)], schema=arrow)
+                    at, blocks, names = [], [], []
+
+    return lists.join(edges, "method", "left").select("method", "edges", "rows").mapInArrow(walked, schema)
 
 
 def points_to(pag: DataFrame) -> DataFrame:

@@ -695,3 +695,11 @@ def test_contexts_go_along_long_chains_by_squared_steps(spark, monkeypatch):
         assert {r["var"]: r["ctx"] for r in flow.points_to_ctx(pag, calls, 2).collect()} == want
         if jumps:
             assert len(rounds) <= graph.HOPS
+
+
+def test_undefined_uses_walk_a_method_in_one_task(spark, monkeypatch):
+    """No rounds over the table: a ring, a name defined on one of two ways, a block out of reach, a name used before its own definition."""
+    monkeypatch.setattr(flow, "fixpoint", None)
+    stmts = spark.createDataFrame([(1, 1, "a", "a"), (1, 2, "b", "c"), (1, 3, "c", "b"), (1, 4, "x", "b"), (1, 5, "y", "b"), (1, 9, "z", "z"), (2, 1, None, "a"), (2, 2, "a", None), (3, 2, "a", "a")], "method long, block int, def string, use string")
+    cfg = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (1, 2, 4), (1, 3, 4), (1, 4, 3), (1, 2, 5), (2, 1, 2)], "method long, src int, dst int")
+    assert pairs(flow.undefined_uses(stmts, cfg)) == {(1, 1, "a"), (1, 2, "c"), (1, 3, "b"), (1, 4, "b"), (2, 1, "a")}
