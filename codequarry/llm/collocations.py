@@ -9,8 +9,11 @@ Most windows are rare, and a phrase that occurs too seldom is neither a candidat
 of one. A first pass hashes each prefix of each window into a fixed number of counters,
 merged over all tasks. Where a counter stays under the least number, no prefix that falls
 into it occurs often enough, and the window is cut before its last word: what is cut off
-could only count towards phrases that are too rare. The counters are bounded in number, so on
-very large inputs they fill up and cut less; results are the same with any number of them.
+could only count towards phrases that are too rare. Results are the same with any number of
+counters, but full ones cut nothing. A task's own array of counters is bounded, so on larger inputs,
+which would fill it, tasks give on what they counted by ranges of counters instead: a range is
+summed in one task, and counters stay as many as the input needs. Only a bit for each group of them
+is sent to tasks.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from codequarry.llm.common import gives_back, small_batches, stash, table, width
 LONGEST, LEAST, BEST, MOST_INSIDE = 3, 10, 2000, 50  # words, occurrences, phrases of a language, percent
 SCALE = 1_000_000
 PAD = ""
-LEAST_BITS, MOST_BITS, BLOCK_BITS = 18, 26, 14  # powers of two: counters, and those of a block
+LEAST_BITS, MOST_BITS, BLOCK_BITS = 18, 26, 14  # powers of two: counters of a task, and those of a block
+FINER_BITS, RANGE_BITS, MOST_MARKS = 4, 24, 28  # powers of two: counters of a range for each one wanted, in a range at most, marks sent to tasks
 HELD_WORDS, HELD_PLACES = 300_000, 2_000_000  # words that a task numbers, and places, before it gives its windows on
 PARTS = 64  # buckets of a language's ranking
 _PIECE, _WORD = re.compile(r"[.,;:!?\x0a-\x0d]"), re.compile(r"[^\x20\x09]+")
@@ -118,14 +122,7 @@ def frequent_prefixes(rows: DataFrame, longest: int, least: int, bits: int) -> b
 
         total = np.zeros(1 << bits, np.uint8)
         for held in _held_texts(batches):
-            windows, hashes = held.windows(longest), held.hashes()
-            found, prefixes = [], None
-            for k in range(longest):
-                there = windows[:, k] >= 0
-                windows = windows[there]
-                prefixes = longer(None if prefixes is None else prefixes[there], hashes[windows[:, k]])
-                found.append(prefixes >> np.uint64(64 - bits))
-            slots, n = np.unique(np.concatenate(found), return_counts=True)
+            slots, n = np.unique(_prefix_hashes(held, longest) >> np.uint64(64 - bits), return_counts=True)
             total[slots] = np.minimum(total[slots] + np.minimum(n, least), least)
         some = [k for k in range(blocks) if total[k * block : (k + 1) * block].any()]
         for j in range(0, len(some), 64):
@@ -154,6 +151,71 @@ def frequent_prefixes(rows: DataFrame, longest: int, least: int, bits: int) -> b
     return out.tobytes()
 
 
+def _prefix_hashes(held: Held, longest: int) -> np.ndarray:
+    """The hash of each prefix of each window."""
+    windows, hashes = held.windows(longest), held.hashes()
+    found, prefixes = [], None
+    for k in range(longest):
+        there = windows[:, k] >= 0
+        windows = windows[there]
+        prefixes = longer(None if prefixes is None else prefixes[there], hashes[windows[:, k]])
+        found.append(prefixes)
+    return np.concatenate(found)
+
+
+def frequent_ranges(rows: DataFrame, longest: int, least: int, fine: int, bits: int) -> bytes:
+    """As frequent_prefixes, with 2**fine counters; a bit for each 2**(fine - bits) of them: whether one has so many.
+
+    A task gives on only the counters that it met, dealt by range; no task holds more than a range.
+    """
+    span = min(RANGE_BITS, fine)
+    span = min(span, fine - bits + 20)  # 2**20 marks of a range at most
+    wide = np.uint32 if span > 16 else np.uint16
+
+    def counted(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for held in _held_texts(batches):
+            slots, n = np.unique(_prefix_hashes(held, longest) >> np.uint64(64 - fine), return_counts=True)
+            n, ranges = np.minimum(n, least).astype(np.uint8), slots >> np.uint64(span)
+            slots = (slots & np.uint64((1 << span) - 1)).astype(wide)
+            firsts = np.flatnonzero(np.diff(ranges, prepend=np.uint64(1 << 63)))
+            ends = [*firsts[1:], len(ranges)]
+            for j in range(0, len(firsts), 64):
+                some = [*zip(firsts[j : j + 64], ends[j : j + 64], strict=True)]
+                columns = [pa.array([int(ranges[a]) for a, _ in some], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for x in (slots, n))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "slots", "counts"])
+
+    def summed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def marked() -> pa.RecordBatch:
+            often = np.packbits((total >= least).reshape(-1, 1 << (fine - bits)).any(axis=1)).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([often], pa.binary())], names=["part", "marks"])
+
+        now, total = None, np.zeros(1 << span, np.uint8)
+        for b in batches:  # sorted by range
+            for part, slots, counts in zip(*b.columns, strict=True):
+                if part.as_py() != now:
+                    if now is not None:
+                        yield marked()
+                    now, total = part.as_py(), np.zeros(1 << span, np.uint8)
+                at = np.frombuffer(slots.as_buffer(), wide)
+                total[at] = np.minimum(total[at] + np.frombuffer(counts.as_buffer(), np.uint8), least)
+        if now is not None:
+            yield marked()
+
+    small_batches(rows.sparkSession)
+    n = max(1, min(1 << (fine - span), width(rows.sparkSession)))
+    met = rows.mapInArrow(gives_back(counted), "part int, slots binary, counts binary")
+    marks = met.repartition(n, "part").sortWithinPartitions("part").mapInArrow(gives_back(summed), "part int, marks binary")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in marks.collect():  # 2**MOST_MARKS bits at most: 32 MB
+        got = np.frombuffer(bytes(r["marks"]), np.uint8)
+        out[r["part"] * len(got) : (r["part"] + 1) * len(got)] = got
+    return out.tobytes()
+
+
 def counted_windows(rows: DataFrame, longest: int, marks: bytes | None, bits: int) -> DataFrame:
     """lang, w1 to w<longest>, n: the windows of each task, counted.
 
@@ -201,13 +263,17 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     size 0 (phrase "") is the number of all words of a language.
 
     bits: 2**bits counters; 0: none, so that all windows travel whole; None: by the
-    number of characters, 2**MOST_BITS at most.
+    number of characters, held by tasks up to 2**MOST_BITS and by ranges beyond.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    if bits is None:
+    if by_size := bits is None:
         characters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = max(LEAST_BITS, min(MOST_BITS, (characters // 25).bit_length()))
-    marks = frequent_prefixes(rows, longest, least, bits) if bits else None
+        bits = max(LEAST_BITS, (characters // 25).bit_length())
+    if by_size and bits > MOST_BITS:
+        fine, bits = min(40, bits + FINER_BITS), min(MOST_MARKS, bits)
+        marks = frequent_ranges(rows, longest, least, fine, bits)
+    else:
+        marks = frequent_prefixes(rows, longest, least, bits) if bits else None
     words = [f"w{k + 1}" for k in range(longest)]
     top = counted_windows(rows, longest, marks, bits).groupBy("lang", *words).agg(F.sum("n").alias("n"))
     sums = top.rollup("lang", *words).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))

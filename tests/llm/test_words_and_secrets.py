@@ -208,3 +208,16 @@ def test_rare_prefixes_are_cut_off_the_windows(spark):
     marks = collocations.frequent_prefixes(df, 3, 10, 18)
     got = {tuple(r) for r in collocations.counted_windows(df, 3, marks, 18).collect()}
     assert got == {("en", "x", "y", "z", 20), ("en", "y", "z", "", 20), ("en", "z", "", "", 20), ("en", "", "", "", 3)}
+
+
+def test_counters_beyond_a_task_dont_fill_up(spark, monkeypatch):
+    rows = random_texts(3, 150, "abé", 60)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, collocations.collocations(df, least=5, best=40, bits=0).collect()))
+    sent = []
+    windows = collocations.counted_windows
+    monkeypatch.setattr(collocations, "counted_windows", lambda docs, longest, marks, bits: sent.append(marks) or windows(docs, longest, marks, bits))
+    monkeypatch.setattr(collocations, "LEAST_BITS", 4)
+    monkeypatch.setattr(collocations, "MOST_BITS", 4)
+    assert sorted(map(tuple, collocations.collocations(df, least=5, best=40).collect())) == want
+    assert 0 < np.unpackbits(np.frombuffer(sent[0], np.uint8)).mean() < 0.9
