@@ -200,13 +200,18 @@ def match_signatures(spec: DataFrame, methods: DataFrame, default: str = "_defau
     spec: file, namespace, class, name, params, role; methods: method, file, namespace, class, name,
     params. A namespace _ is the file itself (null in methods), a class _ is the default class.
     params is an array of "name:type" that must be equal, null for any; without it the
-    first method of that name counts, by its params and key.
+    first method of that name counts, by its params and key. Methods of one signature are one row
+    before they meet spec, so a row of spec meets one at most.
     """
-    wanted = spec.select("file", F.when(F.col("namespace") != "_", F.col("namespace")).alias("_ns"), F.when(F.col("class") == "_", F.lit(default)).otherwise(F.col("class")).alias("_class"), "name", F.col("params").alias("_params"), "role", F.struct(*spec.columns).alias("_spec"))
-    have = methods.select(F.col("method"), "file", F.col("namespace").alias("_ns_has"), F.col("class").alias("_class"), "name", F.col("params").alias("_has"))
-    rows = wanted.join(have, ["file", "_class", "name"]).where(F.col("_ns").eqNullSafe(F.col("_ns_has")) & (F.col("_params").isNull() | (F.col("_params") == F.col("_has"))))
-    first = rows.groupBy("_spec").agg(F.min_by("method", F.struct("_has", "method")).alias("method"))
-    return first.select("_spec.*", "method")
+    wanted = spec.select("file", F.when(F.col("namespace") != "_", F.col("namespace")).alias("_ns"), F.when(F.col("class") == "_", F.lit(default)).otherwise(F.col("class")).alias("_class"), "name", F.col("params").alias("_params"), F.struct(*spec.columns).alias("_spec")).distinct()
+    have = methods.select(F.col("method"), F.col("file").alias("_file"), F.col("namespace").alias("_ns_has"), F.col("class").alias("_class_has"), F.col("name").alias("_name"), F.col("params").alias("_has"))
+    place, first = ["_file", "_ns_has", "_class_has", "_name"], F.min_by("method", F.struct("_has", "method")).alias("method")
+    exact = have.groupBy(*place, "_has").agg(first)
+    any_ = exact.groupBy(*place).agg(first).withColumn("_has", F.lit(None).cast(methods.schema["params"].dataType))
+    known = exact.where("_has is not null").unionByName(any_)
+    same = (F.col("file") == F.col("_file")) & (F.col("_class") == F.col("_class_has")) & (F.col("name") == F.col("_name"))
+    rows = wanted.join(known, same & F.col("_ns").eqNullSafe(F.col("_ns_has")) & F.col("_params").eqNullSafe(F.col("_has")))
+    return rows.select("_spec.*", "method")
 
 
 def visible_names(scopes: DataFrame, names: DataFrame, imports: DataFrame) -> DataFrame:

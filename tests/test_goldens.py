@@ -503,6 +503,32 @@ def test_signatures_name_methods_by_file_namespace_class_and_parameters(spark):
     assert pairs(joins.match_signatures(spec, methods).select("role", "method")) == {("a", "m1"), ("b", "m3"), ("c", "m2"), ("f", "m4")}
 
 
+def joined_rows(df):
+    """Rows that the joins of df's plan gave, df once collected."""
+
+    def of(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return of(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return of(node.plan())
+        own = node.metrics().apply("numOutputRows").value() if name.endswith("Join") else 0
+        kids = node.children()
+        return own + sum(of(kids.apply(k)) for k in range(kids.size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_signatures_of_one_name_meet_without_pairs(spark):
+    n = 300
+    methods = spark.createDataFrame([(f"m{k}", "f", None, "c", "go", [f"x:{k % 3}"]) for k in range(n)], "method string, file string, namespace string, class string, name string, params array<string>")
+    spec = spark.createDataFrame([("f", "_", "c", "go", [f"x:{k % 4}"] if k % 2 else None, f"r{k}") for k in range(n)], "file string, namespace string, class string, name string, params array<string>, role string")
+    got = joins.match_signatures(spec, methods)
+    want = {f"r{k}": f"m{k % 4 if k % 2 else 0}" for k in range(n) if k % 4 < 3}
+    assert {r["role"]: r["method"] for r in got.collect()} == want
+    assert joined_rows(got) == len(want)
+
+
 CODE = """struct A {
   @State n: number = 0;
   build() {
