@@ -14,19 +14,26 @@ from codequarry.functions.columns import cosine, dot
 
 
 GROUP_VECTORS = 4_096  # candidates that a task scores at a time, with all queries that meet them
+GROUP_QUERIES = 16_384  # queries that such a task holds at a time
 NEARLY = 1e-5  # scores are rounded to 1e-6, so that nothing below the k-th by more than this can count
 
 
 def _leaders(queries: DataFrame, vectors: DataFrame, on: list[str], k: int) -> DataFrame:
     """qid, id: what may be among the k most similar of each query, of all that meet on equal keys.
 
-    A group's vectors are dealt into parts of about GROUP_VECTORS and its queries go to all of them. A part is
-    scored by matrix products; of each query it gives on what comes near its own k-th score or above,
+    Equal vectors score the same, so of those only the k first by id count. A group's vectors are dealt into
+    parts of about GROUP_VECTORS, its queries into blocks of about GROUP_QUERIES, and all parts meet all blocks. Each
+    is scored by matrix products; of each query it gives on what comes near its own k-th score or above,
     and what has no finite score. The same rule over all parts leaves few pairs for the exact formula.
     """
-    sizes = vectors.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / GROUP_VECTORS).cast("int").alias("_parts"))
-    rows = vectors.join(sizes, on).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-    asked = queries.join(sizes, on).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    queries = queries.select(*on, "qid", "qvec")
+    first = F.dense_rank().over(W.partitionBy(*on, "vec").orderBy("id"))
+    vectors = vectors.select(*on, "id", "vec").withColumn("_first", first).where(F.col("_first") <= k).drop("_first")
+    counted = lambda rows, most, name: rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    sizes = counted(vectors, GROUP_VECTORS, "_parts").join(counted(queries, GROUP_QUERIES, "_blocks"), on)
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    rows = vectors.join(sizes, on).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).withColumn("_block", each("_blocks"))
+    asked = queries.join(sizes, on).withColumn("_block", F.pmod(F.xxhash64("qid"), F.col("_blocks")).cast("int")).withColumn("_part", each("_parts"))
 
     def best(asked_rows, rows_):
         import numpy as np
@@ -65,8 +72,8 @@ def _leaders(queries: DataFrame, vectors: DataFrame, on: list[str], k: int) -> D
         return pa.table([asked_rows.column("qid").take(pa.array(a)), rows_.column("id").take(pa.array(b)), near], names=["qid", "id", "near"])
 
     types = dict([*queries.select("qid").dtypes, *vectors.select("id").dtypes])
-    left = asked.select(*[F.col(c).alias(f"_{c}") for c in on], "_part", "qid", "qvec").groupBy(*[f"_{c}" for c in on], "_part")
-    met = left.cogroup(rows.select(*on, "_part", "id", "vec").groupBy(*on, "_part"))
+    left = asked.select(*[F.col(c).alias(f"_{c}") for c in on], "_part", "_block", "qid", "qvec").groupBy(*[f"_{c}" for c in on], "_part", "_block")
+    met = left.cogroup(rows.select(*on, "_part", "_block", "id", "vec").groupBy(*on, "_part", "_block"))
     met = met.applyInArrow(best, f"qid {types['qid']}, id {types['id']}, near double")
     pairs = met.groupBy("qid", "id").agg(F.max("near").alias("near"), F.max(F.col("near").isNull()).alias("odd"))
     order = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("near")))
@@ -188,11 +195,14 @@ def pool_embedding(tokens: DataFrame, mode: str = "mean", size: int | None = Non
 
 
 def embed(rows: DataFrame, text_col: str, make_encoder: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
-    """rows with embedding; the encoder is made once in each task and takes batches."""
+    """rows with embedding; the encoder is made once in each task and takes batches. Other columns stay in Arrow."""
 
     def encode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         encoder = make_encoder()
-        for pdf in batches:
-            yield pdf.assign(embedding=encoder(pdf[text_col].tolist()))
+        for b in batches:
+            made = pa.array(encoder(b.column(b.schema.get_field_index(text_col)).to_pylist()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "embedding"])
 
-    return rows.mapInPandas(encode, T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+    return rows.mapInArrow(encode, T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))

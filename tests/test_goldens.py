@@ -729,3 +729,14 @@ def test_undefined_uses_walk_a_method_in_one_task(spark, monkeypatch):
     stmts = spark.createDataFrame([(1, 1, "a", "a"), (1, 2, "b", "c"), (1, 3, "c", "b"), (1, 4, "x", "b"), (1, 5, "y", "b"), (1, 9, "z", "z"), (2, 1, None, "a"), (2, 2, "a", None), (3, 2, "a", "a")], "method long, block int, def string, use string")
     cfg = spark.createDataFrame([(1, 1, 2), (1, 1, 3), (1, 2, 4), (1, 3, 4), (1, 4, 3), (1, 2, 5), (2, 1, 2)], "method long, src int, dst int")
     assert pairs(flow.undefined_uses(stmts, cfg)) == {(1, 1, "a"), (1, 2, "c"), (1, 3, "b"), (1, 4, "b"), (2, 1, "a")}
+
+
+def test_equal_vectors_make_no_pairs_beyond_k(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "GROUP_VECTORS", 5)
+    monkeypatch.setattr(retrieve, "GROUP_QUERIES", 4)
+    vectors = spark.createDataFrame([(k, "r", [float(k % 3), 1.0] if k % 4 else None) for k in range(240)] + [(0, "r", None), (1, "r", [1.0, 1.0])], "id long, rule string, vec array<double>")
+    queries = spark.createDataFrame([(f"q{k}", "r", [float(k), 1.0]) for k in range(20)], "qid string, rule string, qvec array<double>")
+    leaders = retrieve._leaders(queries, vectors, ["rule"], 2)
+    assert leaders.groupBy("qid").count().agg({"count": "max"}).first()[0] <= 4 * 2  # three directions and null
+    got = {(r["qid"], r["place"]): r["id"] for r in retrieve.top_k_examples(queries, vectors, 2).collect()}
+    assert len(got) == 40 and [got["q0", p] for p in (1, 2)] == [3, 6] and [got["q1", p] for p in (1, 2)] == [1, 1] and [got["q9", p] for p in (1, 2)] == [2, 5]
