@@ -3,7 +3,7 @@
 A method's dominator tree is one row a block: its immediate dominator, its depth, and two
 numbers, when a walk of the tree enters and leaves the block. One block dominates another
 if the numbers of the first enclose those of the second, so no list of dominators is kept.
-Versions of variables are read off the same numbers in windows, without recursion.
+Merges and versions of variables are read off the frontier and the same numbers, without recursion.
 
 The walk itself is near-linear in a method's edges (semidominators with path compression).
 A method is walked in one task, which holds some 200 bytes for each of its edges.
@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from codequarry.plans.fixpoint import fixpoint, stored
+from codequarry.plans.fixpoint import stored
 
 BATCH_ROWS = 50_000
 
@@ -150,8 +150,8 @@ def _walks(blocks: DataFrame, cfg: DataFrame, start: int, rows_of: Callable[[Wal
                 columns = [pa.array(x, types.field(k + 1).type) for k, x in enumerate(zip(*held, strict=True))]
                 return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], schema=types)  # noqa: B023
 
-            for k in range(b.num_rows):
-                for row in rows_of(Walk(b.column(1)[k].as_py(), b.column(2)[k].as_py(), start)):
+            for k, (src, dst) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                for row in rows_of(Walk(src, dst, start)):
                     at.append(k)
                     held.append(row)
                     if len(at) >= BATCH_ROWS:
@@ -191,42 +191,126 @@ def dominance_tree(tree: DataFrame) -> DataFrame:
     return tree.select("method", "block", F.col("idom").alias("parent"), place.alias("place"))
 
 
-def phi_sites(defs: DataFrame, frontier: DataFrame, cfg: DataFrame) -> DataFrame:
-    """method, block, name: where values of a variable (method, block, name) must be merged."""
-    step = frontier.select("method", "block", F.col("frontier").alias("_to"))
-    onward = lambda d: d.join(step, ["method", "block"]).select("method", F.col("_to").alias("block"), "name")
-    sites = fixpoint(onward(defs.select("method", "block", "name").distinct()), lambda d, _: onward(d), ["method", "block", "name"])
-    merges = cfg.groupBy("method", F.col("dst").alias("block")).agg(F.countDistinct("src").alias("_n")).where("_n > 1").drop("_n")
-    return sites.join(merges, ["method", "block"], "left_semi")
+def _listed(rows: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """method and its rows as a list of structs."""
+    return rows.select("method", F.struct(*columns).alias("_x")).groupBy("method").agg(F.collect_list("_x").alias(name))
+
 
+def _lists(column) -> list[list[tuple]]:
+    """The structs of each list of a batch's column, read at once; none where a list is null."""
+    offsets, values = column.offsets.to_pylist(), column.flatten()
+    rows = [*zip(*(values.field(k).to_pylist() for k in range(values.type.num_fields)), strict=True)]
+    return [rows[i - offsets[0] : j - offsets[0]] for i, j in zip(offsets, offsets[1:], strict=False)]
 
-def _versions(defs: DataFrame, phis: DataFrame) -> DataFrame:
-    """method, block, name, kind (0: merge, 1: definition), version: numbered by block, merges first."""
-    sites = phis.select("method", "block", "name", F.lit(0).alias("kind")).union(defs.select("method", "block", "name", F.lit(1)).distinct())
-    return sites.withColumn("version", F.row_number().over(W.partitionBy("method", "name").orderBy("block", "kind")))
 
+def phi_sites(defs: DataFrame, frontier: DataFrame, cfg: DataFrame) -> DataFrame:
+    """method, block, name: where values of a variable (method, block, name) must be merged.
+
+    A method's definitions are followed along its frontier in one task.
+    """
+    types = {"method": defs.schema["method"].dataType, "block": frontier.schema["frontier"].dataType, "name": defs.schema["name"].dataType}
+    schema = StructType([StructField(n, t) for n, t in types.items()])
+    arrow = to_arrow_schema(schema)
+    lists = _listed(defs, "defs", F.col("block"), F.col("name"))
+    lists = lists.join(_listed(frontier, "steps", F.col("block"), F.col("frontier")), "method").join(_listed(cfg, "edges", F.col("src"), F.col("dst")), "method")
 
-def _reaching(asked: DataFrame, moment: Column, defs: DataFrame, phis: DataFrame, tree: DataFrame) -> DataFrame:
-    """asked (method, block, name, …) with the version that holds at a moment of its block.
+    def followed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    Moments of a block: 0 its merges, 1 its use, 2 its definition, 3 its end. A site holds
-    in all that its block dominates, so sites open and close like brackets along the walk;
-    what holds is the last that opened on the level of nesting that is open then.
+        for b in batches:
+            at, blocks, names = [], [], []
+            for k, (left, steps, edges) in enumerate(zip(*map(_lists, b.columns[1:]), strict=True)):
+                after, before = {}, {}
+                for block, to in steps:
+                    after.setdefault(block, set()).add(to)
+                for src, dst in edges:
+                    before.setdefault(dst, set()).add(src)
+                seen: set = set()
+                while left:
+                    block, name = left.pop()
+                    new = {(to, name) for to in after.get(block, ()) if block is not None} - seen
+                    seen |= new
+                    left += new
+                found = [x for x in seen if x[0] is not None and len(before.get(x[0], set()) - {None}) > 1]
+                at += [k] * len(found)
+                blocks += [x for x, _ in found]
+                names += [x for _, x in found]
+                if at and (len(at) >= BATCH_ROWS or k == b.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(blocks, arrow.field(1).type), pa.array(names, arrow.field(2).type)], schema=arrow)
+                    at, blocks, names = [], [], []
+
+    return lists.select("method", "defs", "steps", "edges").mapInArrow(followed, schema)
+
+
+MERGE, DEFINITION = 0, 1
+
+
+def held_versions(spans: list[tuple], defs: list[tuple], phis: list[tuple], asked: list[tuple], at_end: bool) -> Iterator[tuple[int, int]]:
+    """place in asked, version: what holds for each (block, name) at its use, or at its block's end.
+
+    spans: block, first, last; defs, phis: block, name. A site holds in all that its block
+    dominates; of the sites that are open the last opened holds. Blocks without a span have no row.
+    """
+    sites = sorted([(b is not None, b, MERGE, x) for b, x in phis] + [(b is not None, b, DEFINITION, x) for b, x in set(defs)], key=lambda r: (r[0], r[1], r[2]) if r[0] else (False, 0, r[2]))
+    numbers: dict = {}
+    made: dict = {}
+    for _, block, kind, name in sites:
+        numbers[name] = numbers.get(name, 0) + 1
+        made.setdefault(block, ([], []))[kind].append((name, numbers[name]))
+    questions: dict = {}
+    for k, (block, name) in enumerate(asked):
+        questions.setdefault(block, []).append((k, name))
+    open_: dict = {}
+    for block, first, last in sorted((x for x in spans if x[0] is not None), key=lambda x: x[1]):
+        merges, definitions = made.get(block, ((), ()))
+        for name, version in merges:
+            open_.setdefault(name, []).append((last, version))
+        if at_end:
+            for name, version in definitions:
+                open_.setdefault(name, []).append((last, version))
+        for k, name in questions.get(block, ()):
+            held = open_.get(name, [])
+            while held and held[-1][0] < first:
+                held.pop()
+            yield k, held[-1][1] if held else 0
+        if not at_end:
+            for name, version in definitions:
+                open_.setdefault(name, []).append((last, version))
+
+
+def _reaching(asked: DataFrame, at_end: bool, once: bool, defs: DataFrame, phis: DataFrame, tree: DataFrame) -> DataFrame:
+    """asked (method, block, name, …) with the version that holds at its block's use, or end; a method is one task's row.
+
+    once: equal questions have one answer.
     """
-    spans = tree.select("method", "block", "first", "last")
-    sites = _versions(defs, phis).join(spans, ["method", "block"])
-    none, own = F.lit(None).cast("int"), F.struct(*asked.columns)
-    opens = sites.select("method", "name", F.col("first").alias("at"), (F.col("kind") * 2).alias("moment"), F.lit(1).alias("step"), "version")
-    closes = sites.select("method", "name", F.col("last").alias("at"), (F.lit(1) - F.col("kind")).alias("moment"), F.lit(-1).alias("step"), none.alias("version"))
-    rows = asked.withColumn("_row", own).join(spans, ["method", "block"])
-    questions = rows.select("method", "name", F.col("first").alias("at"), moment.alias("moment"), F.lit(0).alias("step"), none.alias("version"), "_row")
-    null = F.lit(None).cast(questions.schema["_row"].dataType)
-    events = questions.union(opens.withColumn("_row", null)).union(closes.withColumn("_row", null))
-    order = W.partitionBy("method", "name").orderBy("at", "moment")
-    events = events.withColumn("level", F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0))).where("step >= 0")
-    last = F.last("version", ignorenulls=True).over(W.partitionBy("method", "name", "level").orderBy("at", "moment").rowsBetween(W.unboundedPreceding, 0))
-    found = events.withColumn("held", F.when(F.col("level") > 0, last)).where("_row is not null")
-    return found.select("_row.*", F.coalesce("held", F.lit(0)).alias("version"))
+    schema = StructType([*asked.schema.fields, StructField("version", IntegerType())])
+    arrow, others = to_arrow_schema(schema), [c for c in asked.columns if c != "method"]
+    pair, first, second = (F.col("block"), F.col("name")), others.index("block"), others.index("name")
+    lists = _listed(asked, "asked", *map(F.col, others)).join(_listed(tree, "spans", F.col("block"), F.col("first"), F.col("last")), "method")
+    lists = lists.join(_listed(defs.select("method", *pair), "defs", *pair), "method", "left").join(_listed(phis.select("method", *pair), "phis", *pair), "method", "left")
+
+    def walked(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            rows, base = b.column(1).flatten(), b.column(1).offsets.to_pylist()
+            at, place, versions = [], [], []
+            for k, (rows_, *known) in enumerate(zip(*map(_lists, b.columns[1:]), strict=True)):
+                questions, said = [(x[first], x[second]) for x in rows_], set()
+                for i, version in held_versions(*known, questions, at_end):
+                    if once and questions[i] in said:
+                        continue
+                    said.add(questions[i])
+                    at.append(k)
+                    place.append(base[k] - base[0] + i)
+                    versions.append(version)
+                if at and (len(at) >= BATCH_ROWS or k == b.num_rows - 1):
+                    taken = rows.take(pa.array(place, pa.int64()))
+                    columns = {"method": b.column(0).take(pa.array(at, pa.int64())), "version": pa.array(versions, pa.int32())} | {c: taken.field(c) for c in others}
+                    yield pa.RecordBatch.from_arrays([columns[c] for c in arrow.names], schema=arrow)
+                    at, place, versions = [], [], []
+
+    return lists.select("method", "asked", "spans", "defs", "phis").mapInArrow(walked, schema)
 
 
 def version_variables(defs: DataFrame, uses: DataFrame, phis: DataFrame, tree: DataFrame) -> DataFrame:
@@ -236,12 +320,12 @@ def version_variables(defs: DataFrame, uses: DataFrame, phis: DataFrame, tree: D
     stands before the definition of its own block, after its merges. Uses in blocks that
     the start doesn't reach have no row.
     """
-    return _reaching(uses.select("method", "block", "name").distinct(), F.lit(1), defs, phis, tree)
+    return _reaching(uses.select("method", "block", "name"), False, True, defs, phis, tree)
 
 
 def phi_arguments(defs: DataFrame, phis: DataFrame, tree: DataFrame, cfg: DataFrame) -> DataFrame:
     """method, block, name, pred, version: what a merge takes from each predecessor; 0: nothing."""
     into = cfg.select("method", F.col("src").alias("pred"), F.col("dst").alias("block")).distinct()
     ends = phis.select("method", "block", "name").join(into, ["method", "block"]).select("method", F.col("pred").alias("block"), "name", F.col("block").alias("merge"))
-    found = _reaching(ends, F.lit(3), defs, phis, tree)
+    found = _reaching(ends, True, False, defs, phis, tree)
     return found.select("method", F.col("merge").alias("block"), "name", F.col("block").alias("pred"), "version")

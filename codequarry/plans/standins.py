@@ -145,18 +145,31 @@ def x_blocks(spark, sf_dir) -> DataFrame:
     return x_block_rows(spark, sf_dir).select("method", "block")
 
 
-def x_cfg(spark, sf_dir) -> DataFrame:
+def x_methods_once(spark, sf_dir) -> DataFrame:
+    """The rows of x_blocks, x_cfg (targets as a list, tos) and x_stmts as one stored table, so that items are sorted once."""
     r = x_block_rows(spark, sf_dir).withColumn("last", F.max("block").over(W.partitionBy("method")))
+    return stored(r.select("method", "block", F.filter(_targets(), lambda t: t <= F.col("last")).alias("tos"), *_names()), "methods")
+
+
+def _targets() -> Column:
+    """Where a block leads; null for no target."""
     ro, a = "l_returnflag = 'R' and l_linestatus = 'O'", "l_returnflag = 'A'"
     b = F.col("block")
-    targets = F.array(F.when(~F.expr(ro), b + 1), F.when(F.expr(f"{a} or {ro}"), b + 2), F.when(F.expr("l_returnflag = 'N' and l_linestatus = 'O'"), F.greatest(F.lit(1), b - 2)))
-    rows = r.select("method", b.alias("src"), F.explode(targets).alias("dst"), "last").where("dst <= last")
+    return F.array(F.when(~F.expr(ro), b + 1), F.when(F.expr(f"{a} or {ro}"), b + 2), F.when(F.expr("l_returnflag = 'N' and l_linestatus = 'O'"), F.greatest(F.lit(1), b - 2)))
+
+
+def _names() -> list[Column]:
+    return [F.concat(F.lit("v"), (F.col("l_suppkey") % 3).cast("string")).alias("def"), F.concat(F.lit("v"), (F.col("l_partkey") % 3).cast("string")).alias("use")]
+
+
+def x_cfg(spark, sf_dir) -> DataFrame:
+    r = x_block_rows(spark, sf_dir).withColumn("last", F.max("block").over(W.partitionBy("method")))
+    rows = r.select("method", F.col("block").alias("src"), F.explode(_targets()).alias("dst"), "last").where("dst <= last")
     return rows.select("method", "src", "dst").distinct()
 
 
 def x_stmts(spark, sf_dir) -> DataFrame:
-    r = x_block_rows(spark, sf_dir)
-    return r.select("method", "block", F.concat(F.lit("v"), (F.col("l_suppkey") % 3).cast("string")).alias("def"), F.concat(F.lit("v"), (F.col("l_partkey") % 3).cast("string")).alias("use"))
+    return x_block_rows(spark, sf_dir).select("method", "block", *_names())
 
 
 def x_code_statements(spark, sf_dir) -> DataFrame:

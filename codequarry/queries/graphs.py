@@ -9,6 +9,7 @@ from codequarry.operators import dominance as D
 from codequarry.operators import graph as G
 from codequarry.operators import trees as T
 from codequarry.plans import standins as X
+from codequarry.plans.fixpoint import stored
 from codequarry.plans.standins import sql
 
 QUERIES: dict = {}
@@ -150,6 +151,16 @@ def g10(spark, sf):
 SITES = DOMS + PHI + ", si AS (SELECT *, row_number() OVER (PARTITION BY method, name ORDER BY block, kind) AS version FROM (SELECT method, block, name, 0 AS kind FROM ph UNION ALL SELECT method, block, def, 1 FROM x_stmts))"
 
 
+def versioned(spark, sf):
+    """Definitions, uses, the live edges, the dominator tree and the merges; items are read and sorted once."""
+    rows = X.x_methods_once(spark, sf)
+    blocks, cfg = rows.select("method", "block"), rows.select("method", F.col("block").alias("src"), F.explode(F.array_distinct("tos")).alias("dst"))
+    tree = D.dominator_tree(blocks, cfg)
+    live = cfg.join(tree.select("method", F.col("block").alias("src")), ["method", "src"], "left_semi")
+    defs, uses = (rows.select("method", "block", F.col(c).alias("name")) for c in ("def", "use"))
+    return defs, uses, live, tree, stored(D.phi_sites(defs, D.dominance_frontier(blocks, cfg), live))
+
+
 @query(
     "g11_version_variables",
     sql(
@@ -162,9 +173,8 @@ SITES = DOMS + PHI + ", si AS (SELECT *, row_number() OVER (PARTITION BY method,
     ),
 )
 def g11(spark, sf):
-    tree = D.dominator_tree(*flow(spark, sf))
-    defs, uses = defs_uses(spark, sf)
-    return D.version_variables(defs, uses, phis(spark, sf, tree), tree)
+    defs, uses, _, tree, found = versioned(spark, sf)
+    return D.version_variables(defs, uses, found, tree)
 
 
 @query(
@@ -179,8 +189,8 @@ def g11(spark, sf):
     ),
 )
 def g11_arguments(spark, sf):
-    tree = D.dominator_tree(*flow(spark, sf))
-    return D.phi_arguments(defs_uses(spark, sf)[0], phis(spark, sf, tree), tree, live_cfg(spark, sf, tree))
+    defs, _, cfg, tree, found = versioned(spark, sf)
+    return D.phi_arguments(defs, found, tree, cfg)
 
 
 @query(

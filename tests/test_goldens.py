@@ -740,3 +740,20 @@ def test_equal_vectors_make_no_pairs_beyond_k(spark, monkeypatch):
     assert leaders.groupBy("qid").count().agg({"count": "max"}).first()[0] <= 4 * 2  # three directions and null
     got = {(r["qid"], r["place"]): r["id"] for r in retrieve.top_k_examples(queries, vectors, 2).collect()}
     assert len(got) == 40 and [got["q0", p] for p in (1, 2)] == [3, 6] and [got["q1", p] for p in (1, 2)] == [1, 1] and [got["q9", p] for p in (1, 2)] == [2, 5]
+
+
+def test_versions_of_a_method_are_read_in_one_walk(spark):
+    frame = lambda rows, *names: spark.createDataFrame(rows, f"method long, {', '.join(names)}")
+    edges = frame([(1, 1, 2), (1, 1, 3), (1, 2, 4), (1, 3, 4), (1, 5, 4)], "src int", "dst int")
+    blocks = frame([(1, k) for k in (1, 2, 3, 4, 5)], "block int")
+    defs = frame([(1, 1, "x"), (1, 2, "x"), (1, 2, "x"), (1, 5, "x"), (1, None, "x"), (None, 1, "x"), (1, 1, None)], "block int", "name string")
+    uses = frame([(1, 4, "x"), (1, 4, "x"), (1, 3, "x"), (1, 5, "x"), (1, 2, None), (1, 2, "y")], "block int", "name string")
+    tree = dominance.dominator_tree(blocks, edges)
+    live = edges.where("src < 5")
+    phis = dominance.phi_sites(defs, dominance.dominance_frontier(blocks, edges), live)
+    assert sorted(map(tuple, phis.collect())) == [(1, 4, "x")]
+    found = dominance.version_variables(defs, uses, phis, tree)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    # numbers of x: 1 no block, 2 and 3 blocks 1 and 2, 4 the merge, 5 block 5
+    assert {tuple(r) for r in found.collect()} == {(1, 4, "x", 4), (1, 3, "x", 2), (1, 2, None, 1), (1, 2, "y", 0)} and found.count() == 4
+    assert sorted(map(tuple, dominance.phi_arguments(defs, phis, tree, live).collect())) == [(1, 4, "x", 2, 3), (1, 4, "x", 3, 2)]
