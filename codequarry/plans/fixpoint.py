@@ -112,6 +112,18 @@ class Dealt:
         known = self._beside().hint("merge").select("_k", *(f"_of_{b}" for b in self.by))
         return new.join(known, (F.col("_key") == F.col("_k")) & self._same([F.col(b) for b in self.by], [F.col(f"_of_{b}") for b in self.by]), "left_anti")
 
+    def unseen(self, rows: DataFrame, words: list[str]) -> DataFrame:
+        """For each ``by`` of rows the bits of words that aren't there yet, dealt; none without one. Of other columns the least."""
+        others = [c for c in self.types if c not in (*self.by, *words)]
+        each = lambda: [F.bit_or(w).alias(w) for w in words]
+        new = self.keyed(rows).repartition(self.n, "_key").groupBy("_key", *self.by).agg(*each(), *(F.min(c).alias(c) for c in others))
+        if self.added:
+            of = [f"_of_{b}" for b in self.by]
+            known = self._beside().groupBy("_k", *of).agg(*(F.bit_or(w).alias(f"_had{w}") for w in words)).hint("merge")
+            met = new.join(known, (F.col("_key") == F.col("_k")) & self._same([F.col(b) for b in self.by], [F.col(c) for c in of]), "left")
+            new = met.select("_key", *self.by, *others, *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_had{w}", F.lit(0).cast("long")))).alias(w) for w in words))
+        return new.where(reduce(lambda x, y: x | y, (F.col(w) != 0 for w in words))).select(*self.types, "_key")
+
 
 def dealt(df: DataFrame, by: list[str]) -> Dealt:
     return Dealt(df, by).add(df)

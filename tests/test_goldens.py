@@ -757,3 +757,24 @@ def test_versions_of_a_method_are_read_in_one_walk(spark):
     # numbers of x: 1 no block, 2 and 3 blocks 1 and 2, 4 the merge, 5 block 5
     assert {tuple(r) for r in found.collect()} == {(1, 4, "x", 4), (1, 3, "x", 2), (1, 2, None, 1), (1, 2, "y", 0)} and found.count() == 4
     assert sorted(map(tuple, dominance.phi_arguments(defs, phis, tree, live).collect())) == [(1, 4, "x", 2, 3), (1, 4, "x", 3, 2)]
+
+
+def test_imports_of_many_starts_are_bits_of_few_rows(spark, monkeypatch):
+    n = 300
+    links = [(k, (k + 1) % n) for k in range(n)] + [(k, (k * 7 + 3) % n) for k in range(0, n, 3)] + [(5, None), (n, 0)]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    start = spark.createDataFrame([(k,) for k in range(n + 1)] + [(4,), (None,)], "id long")
+    kept = []
+    dealt_ = graph.Dealt
+    monkeypatch.setattr(graph, "Dealt", lambda *a: kept.append(dealt_(*a)) or kept[-1])
+    got = sorted(map(str, graph.dependency_order(edges, start).collect()))
+    after, want = {}, {(None, None): 0}
+    for s, d in links:
+        after.setdefault(s, set()).add(d)
+    for root in range(n + 1):
+        now, hops = {root}, 0
+        while now:
+            want |= {(root, x): hops for x in now}
+            now, hops = {d for x in now for d in after.get(x, ()) if (root, d) not in want}, hops + 1
+    assert got == sorted(f"Row(root={a}, node={b}, hops={h})" for (a, b), h in want.items())
+    assert 4 * kept[0].rows().count() < len(want)
