@@ -61,7 +61,7 @@ def prompts(groups: DataFrame, examples: DataFrame, vectors: DataFrame, make_enc
 
     examples: id, rule, problem, note, fix; vectors: id, rule, vec.
     """
-    code = groups.withColumn("code", F.array_join(F.transform("parts", lambda p: p["text"]), GAP))
+    code = stored(groups.withColumn("code", F.array_join(F.transform("parts", lambda p: p["text"]), GAP)))
     asked = code.select("group_id", "code", F.explode(F.array_distinct(F.transform("findings", lambda f: f["rule"]))).alias("rule"))
     vectored = stored(embed(code.select("group_id", "code"), "code", make_encoder)).select("group_id", F.col("embedding").alias("qvec"))
     queries = asked.join(vectored, "group_id").select(F.struct("group_id", "rule").alias("qid"), "rule", "qvec")
